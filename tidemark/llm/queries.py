@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import licenses, lm, near_dup, pieces, secret_scan, toxicity
+from tidemark.llm import licenses, lm, near_dup, pieces, repeats, secret_scan, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,5 +37,5 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_near_dup, op3_pieces, op8_toxicity, op9_licenses, op10_lm)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_near_dup, op3_pieces, op6_repeats, op8_toxicity, op9_licenses, op10_lm)}
 ORACLES: dict[str, str] = {}
