@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import licenses, lm, near_dup, pieces, repeats, secret_scan, toxicity
+from tidemark.llm import decontaminate, licenses, lm, near_dup, pieces, repeats, secret_scan, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeats(table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,5 +41,5 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_near_dup, op3_pieces, op6_repeats, op8_toxicity, op9_licenses, op10_lm)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_near_dup, op3_pieces, op6_repeats, op7_decontaminate, op8_toxicity, op9_licenses, op10_lm)}
+ORACLES: dict[str, str] = {"op7_decontaminate": decontaminate.ORACLE_SQL}
