@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, decontaminate, licenses, lm, near_dup, pieces, repeats, secret_scan, toxicity
+from tidemark.llm import ann, decontaminate, html_text, licenses, lm, near_dup, pieces, repeats, secret_scan, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return ann.search(vectors, vectors.where("vec_id % 20 = 0"))
@@ -46,5 +50,5 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_near_dup, op3_pieces, op5_ann, op6_repeats, op7_decontaminate, op8_toxicity, op9_licenses, op10_lm)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_near_dup, op3_pieces, op4_html_text, op5_ann, op6_repeats, op7_decontaminate, op8_toxicity, op9_licenses, op10_lm)}
 ORACLES: dict[str, str] = {"op7_decontaminate": decontaminate.ORACLE_SQL}
