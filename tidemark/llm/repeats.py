@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.textkit import chunks, cut, grouped, mix
+from tidemark.llm.textkit import chunks, cut, grouped, mix, release
 
 WINDOW = 100
 SEED = 24
@@ -320,6 +320,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     wanted = ranked.where("nth = 1").groupBy("doc").agg(F.collect_set(F.struct("seed", "pos", "reach", "crowded")).alias("wanted"))
     texts = docs.select(F.col("doc_id").alias("doc"), "text").join(wanted, "doc")
     around = cut(_surroundings(texts.select("doc", "text", "wanted")))
+    release(docs.sparkSession)
     ranges = whole.unionByName(_ordered(around.where("not crowded")))
     if not around.where("crowded").isEmpty():
         ranges = ranges.unionByName(_hashed(around.where("crowded")))

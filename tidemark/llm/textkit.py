@@ -7,6 +7,7 @@ large the batch is. A document is never cut.
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Iterator
 
@@ -122,9 +123,16 @@ def checkpoint_ready(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, computed once and kept in the shared checkpoint folder, so that they outlive any executor."""
     checkpoint_ready(df.sparkSession)
+    release(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that nothing refers to any more: it does so when the driver collects its garbage, which else may not come for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str], most: int = 1 << 62, weight: str | None = None) -> Iterator[pa.Table]:
     """From rows sorted by keys, tables of whole groups (many small ones together, about a batch each)."""
     held: list[pa.RecordBatch] = []
