@@ -250,8 +250,8 @@ _O = lambda f: (lambda e: f(monitoring.as_operations(e)))
 _NR = "list_sort(list(duration_ms))[CAST(least(floor(count(*) * {p}), count(*) - 1) AS BIGINT) + 1]"
 _I1 = f"SELECT operation, count(*) AS n, count(*) FILTER (success) AS n_success, round(avg(duration_ms), 6) AS avg_ms, round(quantile_cont(duration_ms, 0.5), 6) AS median_ms, round(min(duration_ms), 6) AS min_ms, round(max(duration_ms), 6) AS max_ms, round({_NR.format(p=0.95)}, 6) AS p95_ms, round({_NR.format(p=0.99)}, 6) AS p99_ms, count(*) FILTER (NOT success) AS n_error, round(count(*) FILTER (success) / count(*), 6) AS success_rate FROM ops GROUP BY 1"
 add("i1_operation_stats", _O(monitoring.operation_stats), _I1, "events")
-_TAGS = F.create_map(F.lit("type"), F.col("event_type"), F.lit("k"), F.get_json_object("props", "$.k"))
-add("i2_counters", lambda e: monitoring.counters(e, monitoring.counter_key(F.lit("events"), _TAGS), "value"), "SELECT 'events[k=' || json_extract_string(props, '$.k') || ',type=' || event_type || ']' AS counter, round(sum(value), 6) AS total FROM events GROUP BY 1", "events")
+_TAGS = lambda: F.create_map(F.lit("type"), F.col("event_type"), F.lit("k"), F.get_json_object("props", "$.k"))
+add("i2_counters", lambda e: monitoring.counters(e, monitoring.counter_key(F.lit("events"), _TAGS()), "value"), "SELECT 'events[k=' || json_extract_string(props, '$.k') || ',type=' || event_type || ']' AS counter, round(sum(value), 6) AS total FROM events GROUP BY 1", "events")
 add("i2_gauges", lambda e: monitoring.gauges(e.withColumn("at", F.struct("ts", "event_id")), F.col("event_type"), "value", "at"), "SELECT event_type AS gauge, round(arg_max(value, (ts, event_id)), 6) AS last_value FROM events GROUP BY 1", "events")
 add("i3_trailing", lambda e: monitoring.trailing(e, "value", EVENTS_AS_OF, 24 * 60), "SELECT count(*) AS n, round(avg(value), 6) AS avg_value, round(max(value), 6) AS max_value, round(min(value), 6) AS min_value FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-29' AND TIMESTAMP '2024-01-30'", "events")
 

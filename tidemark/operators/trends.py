@@ -16,8 +16,6 @@ from pyspark.sql.window import Window
 from tidemark.functions import columns as C
 from tidemark.operators import metrics as M
 
-ALL = Window.partitionBy()
-
 
 def direction(slope: Column, points: Column) -> Column:
     return F.when(points < 2, "insufficient_data").when(slope > 0.1, "increasing").when(slope < -0.1, "decreasing").otherwise("stable")
@@ -144,7 +142,7 @@ def weekly_growth(t: DataFrame) -> DataFrame:
     g = w.where("before > 0").withColumn("growth", (F.col("n") - F.col("before")) * 100.0 / F.col("before"))
     m = F.col("avg_growth")
     label = F.when(m > 5, "strong_growth").when(m > 0, "moderate_growth").when(m > -5, "stable").otherwise("declining")
-    return g.withColumn("avg_growth", F.avg("growth").over(ALL)).withColumn("class", label)
+    return g.withColumn("avg_growth", F.avg("growth").over(Window.partitionBy())).withColumn("class", label)
 
 
 def daily_frame(t: DataFrame) -> DataFrame:
