@@ -1,0 +1,198 @@
+"""Operators on hand-made rows."""
+
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.functions import columns as C
+from tidemark.operators import clean, monitoring, privacy, quality, sla, trends, validation
+from tidemark.operators import metrics as M
+from tidemark.operators.criteria import Criteria, last_days, named_range, search
+from tidemark.plans import jobs, registry
+from tidemark.sources import tickets as S
+
+T0 = datetime(2024, 1, 1, 10)
+AS_OF = datetime(2024, 3, 1)
+
+
+def tickets(spark, rows):
+    """rows: (id, status, severity, created, updated, resolved, assignee, group)"""
+    full = [(r[0], f"t {r[0]}", "d", r[1], r[2], r[3], r[4], r[5], r[6], r[7], ["x"], {"k": "v"}) for r in rows]
+    return spark.createDataFrame(full, S.TICKETS)
+
+
+def resolved(spark, hours):
+    return tickets(spark, [(f"T{i}", "Resolved", "SEV_3", T0, T0, T0 + timedelta(hours=h), f"u{i % 3}", f"g{i % 2}") for i, h in enumerate(hours)])
+
+
+def test_percentiles_and_stats(spark):
+    t = resolved(spark, range(1, 11))
+    p = M.resolution_percentiles(t).first()
+    assert (p.p50, round(p.p90, 6)) == (5.5, 9.1)
+    s = M.resolution_stats(resolved(spark, [28, 4, 48])).first()
+    assert round(s.avg_hours, 2) == 26.67 and s.median_hours == 28
+    assert M.resolution_stats(resolved(spark, [5])).first().sd_hours == 0.0
+    a = M.resolution_percentiles(t, approximate=True).first()
+    assert abs(a.p50 - 5.5) <= 1
+
+
+def test_outliers(spark):
+    out = M.outliers(resolved(spark, [*range(1, 11), 100])).collect()
+    assert [(r.id, r.kind) for r in out] == [("T10", "slow")]
+    assert M.outliers(resolved(spark, [1, 2, 300])).count() == 0
+
+
+def test_counts_agree(spark, small):
+    t = S.order_tickets(spark, small)
+    n = t.count()
+    for df in (M.distribution(t, "status"), M.distribution(t, "severity")):
+        rows = df.collect()
+        assert sum(r.n for r in rows) == n and abs(sum(r.percentage for r in rows) - 100) < 1e-6 and sum(r.most_common for r in rows) == 1
+    assert M.volume_summary(t).first().total == n
+    p = M.resolution_percentiles(t).first()
+    assert list(p) == sorted(p)
+
+
+def test_linear_volume(spark):
+    rows = [(f"T{d}-{i}", "Open", "SEV_3", T0 + timedelta(days=d), None, None, None, "") for d in range(10) for i in range(d + 1)]
+    t = tickets(spark, rows)
+    r = trends.trend(M.daily(t), "day", "n").first()
+    assert (r.points, round(r.slope, 6), r.direction) == (10, 1.0, "increasing")
+    assert [round(x.forecast, 6) for x in trends.forecast(M.daily(t), "day", "n", 2).orderBy("step").collect()] == [11.0, 12.0]
+    assert M.workload(t, "assignee").first().assignee == "Unassigned"
+    assert trends.fill_gaps(M.daily(t.where("id not like 'T5-%'"))).count() == 10
+    assert trends.anomalies(M.daily(t).limit(2), "day", "n").count() == 0
+    assert trends.volume_hours_correlation(t).first().correlation is None
+
+
+def test_no_tickets(spark):
+    t = tickets(spark, [])
+    assert M.resolution_overview(t).first().total == 0
+    assert quality.assess(t, AS_OF).first().total == 0
+    assert trends.trend(M.daily(t), "day", "n").first().direction == "insufficient_data"
+    assert M.monthly_growth(t).count() == 0 and trends.weekly_consistency(t).count() == 0
+
+
+def test_raw_mapping(spark, tmp_path):
+    (tmp_path / "raw.json").write_text(
+        '{"id":"A1","title":"t","status":"work in progress","severity":"high","createDate":"2024-01-02T03:04:05Z","lastUpdatedDate":"2024-01-02T03:04:05","lastResolvedDate":"nonsense","extensions":{"tt":{"assignedGroup":"g","impact":"1"}},"source":"s"}\n'
+        '{"id":"A2","title":"t","status":"odd","createDate":"2024-01-02T03:04:05+02:00"}\n{"id":"A3","status":"Open"}\n'
+    )
+    raw = S.read_raw(spark, str(tmp_path))
+    rows = {r.id: r for r in S.map_raw(raw).collect()}
+    assert rows["A1"].status == "In Progress" and rows["A1"].severity == "SEV_2" and rows["A1"].resolved_date is None
+    assert rows["A1"].metadata == {"resolver_group": "g", "impact": "1", "source": "s"} and rows["A1"].created_date == datetime(2024, 1, 2, 3, 4, 5)
+    assert rows["A2"].status == "Open" and rows["A2"].severity == "SEV_5" and rows["A2"].created_date == datetime(2024, 1, 2, 1, 4, 5)
+    assert [(r.id, r.missing) for r in S.rejected_raw(raw).collect()] == [("A3", ["title"])]
+
+
+def test_sinks(spark, tmp_path):
+    t = resolved(spark, [1, 2])
+    S.export_raw(t, f"{tmp_path}/raw")
+    assert S.read_tickets(spark, f"{tmp_path}/raw").count() == 2
+    long = M.to_long(M.resolution_rate(t), "rate")
+    S.write_json(long, f"{tmp_path}/json")
+    assert spark.read.json(f"{tmp_path}/json").count() == 3
+    names = spark.createDataFrame([("rate", "how many", "%", "x")], "name string, description string, unit string, category string")
+    S.write_csv(long, names, f"{tmp_path}/csv")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/csv").where("Metric = 'rate.rate'").first().Value == "100.0"
+    jobs.convert(long, f"{tmp_path}/orc", "orc")
+    assert spark.read.orc(f"{tmp_path}/orc").count() == 3
+    with pytest.raises(ValueError):
+        jobs.convert(long, f"{tmp_path}/x", "xls")
+    rows, following = S.page(t, 2, 0)
+    assert (rows.count(), following) == (2, 2)
+    assert S.page(t, 2, 2)[1] is None
+
+
+def test_criteria(spark):
+    with pytest.raises(ValueError):
+        Criteria(limit=0).checked()
+    with pytest.raises(ValueError):
+        Criteria(created_after=AS_OF, created_before=T0).checked()
+    with pytest.raises(ValueError):
+        last_days(None, AS_OF, 0)
+    assert named_range("yesterday", datetime(2024, 1, 2, 5))[0] == datetime(2024, 1, 1)
+    t = resolved(spark, [1, 2, 3])
+    assert search(t, Criteria(tags=["x"], phrase="T T1", limit=5)).count() == 1
+    plan = search(t, Criteria(limit=None))._jdf.queryExecution().toString()
+    assert "Sort" not in plan
+
+
+def test_filters_reach_the_scan(spark, small):
+    df = spark.read.parquet(f"{small}/orders.parquet").where(F.col("o_orderstatus").isin("F")).select("o_orderkey")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,F)]" in plan and "o_totalprice" not in plan.split("ReadSchema")[-1]
+
+
+def test_clean(spark):
+    t = tickets(spark, [("A", " DONE", "Urgent", T0, T0 - timedelta(1), T0 - timedelta(2), "ann@x.org", "g"), ("B", "", None, AS_OF + timedelta(9), None, None, None, None), (None, "Open", "SEV_1", T0, None, None, None, None)])
+    assert clean.process(t, AS_OF).count() == 0
+    rows = {r.id: r for r in clean.repair_first(t, AS_OF).collect()}
+    assert rows["A"].status == "Resolved" and rows["A"].severity == "SEV_1" and rows["A"].resolved_date == T0 and rows["A"].assignee == "ann"
+    assert rows["B"].status == "Open" and rows["B"].created_date == AS_OF and rows["B"].updated_date == AS_OF
+    assert {r.issue: r.n for r in clean.issue_counts(t, AS_OF).collect()}["missing_status"] == 1
+    df = spark.createDataFrame([(" a ", ["x", " ", None], {"k": " ", "m": "v"})], "a string, b array<string>, c map<string,string>")
+    assert tuple(clean.prune(df).first()) == ("a", ["x"], {"m": "v"})
+    assert clean.require(t, ["id", "status"]).count() == 2
+
+
+def test_privacy(spark):
+    df = spark.createDataFrame([("mail a.b@c.org from 10.0.0.1 /home/me/x password: hunter2",), (None,), ("plain",)], "text string")
+    got = [r[0] for r in df.select(privacy.redact("text")).collect()]
+    assert got == ["mail [EMAIL_REDACTED] from [IP_REDACTED] [HOME_PATH_REDACTED] password=[PASSWORD_REDACTED]", None, "plain"]
+    kept = df.select(privacy.redact("text", legacy=True)).first()[0]
+    assert "10.0.0.1" in kept and "[EMAIL_REDACTED]" in kept
+    assert [r.risk for r in privacy.report(df, "text").collect()] == ["HIGH", "LOW", "LOW"]
+
+
+def test_redaction_is_idempotent(spark, small):
+    d = spark.read.parquet(f"{small}/documents.parquet").select(privacy.redact_pii("text").alias("a"))
+    assert d.where(F.col("a") != privacy.redact_pii("a")).count() == 0
+
+
+def test_validation(spark):
+    df = spark.createDataFrame([("AB-123", "<script>x</script>"), ("", "fine words"), (None, "a < b")], "id string, text string")
+    rows = df.select(validation.field_errors("id", "ticket_id").alias("e"), validation.verdict("text").alias("v"), validation.sanitized("text", "safe_text").alias("s")).collect()
+    assert [r.e for r in rows] == [[], ["empty", "bad_format"], ["empty", "bad_format"]]
+    assert [r.v for r in rows] == ["INVALID", "VALID", "SUSPICIOUS"] and rows[2].s == "a &lt; b"
+
+
+def test_nearest_rank(spark):
+    ops = spark.createDataFrame([("a", float(i), i != 1) for i in range(1, 101)], "operation string, duration_ms double, success boolean")
+    r = monitoring.operation_stats(ops).first()
+    assert (r.p95_ms, r.p99_ms, r.median_ms, r.n_error) == (96.0, 100.0, 50.5, 1)
+
+
+def test_alert_rules(spark):
+    at = lambda m: T0 + timedelta(minutes=m)
+    s = spark.createDataFrame([("r", at(m), b) for m, b in ((0, True), (5, True), (10, True), (15, False), (20, True), (21, False))], "rule string, ts timestamp_ntz, bad boolean")
+    fired = monitoring.sustained(s, 5, "rule")
+    assert [(r.start, r.fired, r.n) for r in fired.collect()] == [(at(0), at(5), 3)]
+    assert monitoring.with_resolution(s, fired, "rule").first().resolved == at(15)
+    many = spark.createDataFrame([("r", at(m)) for m in (0, 5, 10, 16, 20)], "rule string, fired timestamp_ntz")
+    assert sorted(r.fired for r in monitoring.cooled(many, 10, "rule").collect()) == [at(0), at(10), at(20)]
+    assert monitoring.preset_rules(spark).count() == 6
+
+
+def test_sla_and_velocity(spark):
+    t = tickets(spark, [("A", "Resolved", "SEV_1", AS_OF - timedelta(days=3), None, AS_OF - timedelta(days=3, hours=-2), "u", "g"), ("B", "Open", "SEV_1", AS_OF - timedelta(days=20), None, None, None, "g")])
+    r = sla.compliance_by_severity(t, AS_OF).first()
+    assert (r.compliant, r.total, r.sla_hours) == (1, 2, 4)
+    v = sla.velocity(t, AS_OF).first()
+    assert (v.sprint_0, v.sprint_1, v.consistency) == (1, 0, 0.0)
+    assert sla.dashboard(t, AS_OF).first().current_velocity == 1
+
+
+def test_analysis_survives_a_failing_metric(spark):
+    r = registry.Registry(good=M.resolution_rate, bad=lambda t: t.select("no_such_column"))
+    rows = jobs.analyze(resolved(spark, [1, 2]), AS_OF, r, None).collect()
+    assert any(x.metric == "metric.bad" and x.key == "error" for x in rows) and any(x.metric == "metric.good" and x.key == "rate" and x.value == "100.0" for x in rows)
+    assert r.supports("good") and r.remove("good") and r.names() == ["bad"]
+
+
+def test_week_labels(spark):
+    days = [datetime(2020, 1, 1) + timedelta(days=37 * i) for i in range(200)]
+    df = spark.createDataFrame([(d,) for d in days], "d timestamp_ntz")
+    assert [r[0] for r in df.select(C.week_label("d")).collect()] == [d.strftime("%Y-W%U") for d in days]

@@ -268,6 +268,7 @@ _RUNS = ", s AS (SELECT event_type, ts, max(value) > 10 AS bad FROM events GROUP
 add("i6_sustained", lambda e: monitoring.sustained(_BAD(e), 30, "event_type"), _RUNS + " SELECT * FROM f", "events")
 add("i7_performance", _O(lambda o: monitoring.performance_violations(monitoring.operation_stats(o), 20.0).select("operation", "n")), "SELECT operation, count(*) AS n FROM ops GROUP BY 1 HAVING count(*) >= 10 AND (avg(duration_ms) > 20 OR count(*) FILTER (NOT success) / count(*) > 0.1)", "events")
 add("i8_cooldown", lambda e: monitoring.cooled(monitoring.sustained(_BAD(e), 30, "event_type"), 24 * 60, "event_type"), None, "events")
+ORACLES["i8_cooldown"] = f"WITH RECURSIVE {VIEW}{_RUNS}, k AS (SELECT event_type, min(fired) AS fired FROM f GROUP BY 1 UNION ALL SELECT k.event_type, (SELECT min(f.fired) FROM f WHERE f.event_type = k.event_type AND date_diff('microsecond', k.fired, f.fired) // 1000000 >= 86400) FROM k WHERE k.fired IS NOT NULL) SELECT event_type, fired FROM k WHERE fired IS NOT NULL"
 add("i9_resolution", lambda e: monitoring.with_resolution(_BAD(e), monitoring.sustained(_BAD(e), 30, "event_type"), "event_type").select("event_type", "start", "fired", "resolved"), _RUNS + " SELECT event_type, start, fired, min(ts) AS resolved FROM (SELECT f.*, s.ts FROM f LEFT JOIN s ON s.event_type = f.event_type AND NOT s.bad AND s.ts > f.fired) GROUP BY ALL", "events")
 
 
