@@ -37,7 +37,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.llm.textkit import chunks, cut, grouped, mix, release
 
@@ -309,15 +308,16 @@ def repeats(docs: DataFrame) -> DataFrame:
     """One row per text: bytes, bytes and runs to remove, a digest of the rest, and the runs (start, end, start, ...) in bytes."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = _occurrences(docs.where("doc_id is not null"))
-    by_seed = found.repartition("seed")
-    same = Window.partitionBy("seed", "around").orderBy("doc", "pos")
-    seed = Window.partitionBy("seed")
-    ranked = by_seed.withColumn("nth", F.dense_rank().over(same))
-    ranked = ranked.withColumn("kinds", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(seed))
-    ranked = cut(ranked.where("nth > 1 or kinds > 1").select("seed", "doc", "pos", "reach", "nth", (F.col("kinds") > CROWD).alias("crowded")))
+    # counts are combined before the shuffle and joins can split a hot seed's rows: no task sees all of them
+    again = cut(found.groupBy("seed").agg(F.count("*").alias("c")).where("c > 1").select("seed"))
+    rows = cut(found.join(again, "seed"))
+    first = rows.groupBy("seed", "around").agg(F.min(F.struct("doc", "pos")).alias("first"))
+    kinds = first.groupBy("seed").agg(F.count("*").alias("kinds"))
+    ranked = rows.join(first.join(kinds, "seed"), ["seed", "around"]).withColumn("later", F.struct("doc", "pos") > F.col("first"))
+    ranked = cut(ranked.where("later or kinds > 1").select("seed", "doc", "pos", "reach", "later", (F.col("kinds") > CROWD).alias("crowded")))
     left, right = F.shiftright("reach", 7), F.col("reach").bitwiseAND(127)
-    whole = ranked.where("nth > 1").select("doc", (F.col("pos") - left).cast("int").alias("a"), (F.col("pos") + right).cast("int").alias("b"))
-    wanted = ranked.where("nth = 1").groupBy("doc").agg(F.collect_set(F.struct("seed", "pos", "reach", "crowded")).alias("wanted"))
+    whole = ranked.where("later").select("doc", (F.col("pos") - left).cast("int").alias("a"), (F.col("pos") + right).cast("int").alias("b"))
+    wanted = ranked.where("not later").groupBy("doc").agg(F.collect_set(F.struct("seed", "pos", "reach", "crowded")).alias("wanted"))
     texts = docs.select(F.col("doc_id").alias("doc"), "text").join(wanted, "doc")
     around = cut(_surroundings(texts.select("doc", "text", "wanted")))
     release(docs.sparkSession)
