@@ -216,7 +216,7 @@ def test_pairs_count():
     r = np.random.default_rng(1)
     x = r.integers(0, 2, (4000, 6)).astype(np.uint8)
     y = (x[:, 0] & x[:, 1]).astype(float)
-    m = toxicity.train_machine(x, y, np.ones(len(y)), np.zeros(1, np.int32), 0.0, epochs=60)
+    m = toxicity.train_machine(x, y, np.ones(len(y)), np.zeros(1, np.int32), 0.0, steps=500)
     row, feature = np.nonzero(x)
     assert ((m.score(row, feature, len(x)) >= 0.5) == (y == 1)).mean() > 0.98
 

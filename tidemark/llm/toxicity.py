@@ -1,8 +1,8 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are a text's words (letters, digits and non-ASCII characters, A-Z
-lower-cased) and their beginnings, hashed into ``2**18`` buckets. Buckets whose
-share of toxic and other training texts differs most become features; a
+lower-cased) and their beginnings, hashed into ``2**18`` buckets. Buckets that
+stand clearly more often in toxic training texts than in others become features; a
 factorization machine (bias, a weight per feature, and a ``rank``-vector per
 feature whose inner products weigh pairs of features) is trained on them with
 Adam on the logistic loss. Pairs thus count in their own right, beyond what
@@ -15,6 +15,7 @@ alone. Conflicting labels of one id count as toxic. Without labels of both
 kinds all scores are the prior. Each row gives one row.
 """
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,14 +84,14 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def train_machine(x: np.ndarray, y: np.ndarray, importance: np.ndarray, feature: np.ndarray, bias: float, rank: int = 8, epochs: int = 40, seed: int = 5) -> Machine:
-    """Adam on the weighted logistic loss with a small decay; x: texts by features, 0 or 1."""
+def train_machine(x: np.ndarray, y: np.ndarray, importance: np.ndarray, feature: np.ndarray, bias: float, rank: int = 8, steps: int = 2500, seed: int = 5) -> Machine:
+    """Adam on the weighted logistic loss with a small decay, so many batches long however many texts there are; x: texts by features, 0 or 1."""
     rng = np.random.default_rng(seed)
     m = x.shape[1]
     p = [np.array([bias]), np.zeros(m), rng.normal(0, 0.02, (m, rank))]
     first, second = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
     step = 0
-    for _ in range(epochs):
+    for _ in range(math.ceil(steps / math.ceil(len(y) / 512))):
         order = rng.permutation(len(y))
         for i in range(0, len(y), 512):
             rows = order[i : i + 512]
@@ -98,7 +99,7 @@ def train_machine(x: np.ndarray, y: np.ndarray, importance: np.ndarray, feature:
             s = a @ p[2]
             z = p[0] + a @ p[1] + 0.5 * ((s * s).sum(axis=1) - a @ (p[2] ** 2).sum(axis=1))
             g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[rows]) * importance[rows] / len(rows)
-            grads = [np.array([g.sum()]), a.T @ g + 1e-4 * p[1], a.T @ (g[:, None] * s) - p[2] * (a.T @ g)[:, None] + 1e-3 * p[2]]
+            grads = [np.array([g.sum()]), a.T @ g + 1e-5 * p[1], a.T @ (g[:, None] * s) - p[2] * (a.T @ g)[:, None] + 1e-4 * p[2]]
             step += 1
             for q, f, v, d in zip(p, first, second, grads, strict=True):
                 f += 0.1 * (d - f)
@@ -107,24 +108,26 @@ def train_machine(x: np.ndarray, y: np.ndarray, importance: np.ndarray, feature:
     return Machine(feature, float(p[0][0]), p[1], p[2])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, features: int = 1024, least_z: float = 4.0, rank: int = 8) -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, features: int = 1024, least_texts: int = 6, least_z: float = 5.0, least_lift: float = 2.0, rank: int = 8) -> Machine:
     """A machine for ``labels.toxic``, from docs (doc_id, text)."""
     chosen, n = sampled_labels(labels, sample)
     prior = float(np.log((n[1] + 0.5) / (n[0] + 0.5)))
     number = np.full(2**BITS, -1, np.int32)
     if not n[0] or not n[1]:
         return Machine(number, prior, np.zeros(0), np.zeros((0, rank)))
-    terms = cut(_sample_terms(docs, chosen))
+    # texts that repeat count once, toxic if any copy is
+    copies = _sample_terms(docs, chosen).groupBy(F.xxhash64("terms").alias("copy"), "terms").agg(F.max("toxic").alias("toxic"))
+    terms = cut(copies.select("toxic", "terms"))
     size = {r["toxic"]: r["n"] for r in terms.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n0, n1 = size.get(0, 0), size.get(1, 0)
     if not n0 or not n1:
         return Machine(number, prior, np.zeros(0), np.zeros((0, rank)))
-    seen = terms.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum(1 - F.col("toxic")).alias("d0"), F.sum("toxic").alias("d1")).where("d0 + d1 >= 4").toPandas()  # at most 2**18 rows
+    seen = terms.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum(1 - F.col("toxic")).alias("d0"), F.sum("toxic").alias("d1")).where(F.col("d1") >= least_texts).toPandas()  # at most 2**18 rows
     p0, p1 = seen["d0"].to_numpy() / n0, seen["d1"].to_numpy() / n1
     p = (seen["d0"] + seen["d1"]).to_numpy() / (n0 + n1)
-    z = np.abs(p1 - p0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n0 + 1 / n1))
+    z = (p1 - p0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n0 + 1 / n1))
     best = np.lexsort((seen["term"].to_numpy(), -z))[:features]
-    best = best[z[best] >= least_z]
+    best = best[(z[best] >= least_z) & (p1[best] >= least_lift * p0[best])]
     number[seen["term"].to_numpy()[best]] = np.arange(len(best))
     rows = _picked(terms, number).toPandas()
     x = np.zeros((len(rows), len(best)), np.uint8)
