@@ -307,3 +307,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(comp, "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def oracle_sql(k: int, percent: int) -> str:
+    """DuckDB SQL for near_duplicates over documents: all pairs that share a shingle, then reachability."""
+    upper, lower = "".join(map(chr, range(65, 91))), "".join(map(chr, range(97, 123)))
+    shingle = " || ' ' || ".join(f"w[i + {j}]" for j in range(k))
+    return f"""
+    WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(w) >= {k} THEN list_distinct(list_transform(range(1, len(w) - {k - 2}), lambda i: {shingle})) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS sh FROM d),
+    u AS (SELECT doc_id, unnest(sh) AS x FROM s), n AS (SELECT doc_id, len(sh) AS n FROM s),
+    p AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS c FROM u a JOIN u b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+    e AS (SELECT i, j FROM p JOIN n na ON na.doc_id = i JOIN n nb ON nb.doc_id = j WHERE 100 * c >= {percent} * (na.n + nb.n - c)),
+    r AS (SELECT doc_id AS node, doc_id AS comp FROM n UNION SELECT e.j, r.comp FROM r JOIN e ON e.i = r.node)
+    SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM (SELECT node AS doc_id, min(comp) AS component_id FROM r GROUP BY 1) JOIN n USING (doc_id)"""

@@ -51,4 +51,4 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secrets, op2_near_dup, op3_pieces, op4_html_text, op5_ann, op6_repeats, op7_decontaminate, op8_toxicity, op9_licenses, op10_lm)}
-ORACLES: dict[str, str] = {"op7_decontaminate": decontaminate.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op2_near_dup": near_dup.oracle_sql(3, 85), "op7_decontaminate": decontaminate.ORACLE_SQL}
