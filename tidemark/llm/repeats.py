@@ -319,10 +319,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     whole = ranked.where("later").select("doc", (F.col("pos") - left).cast("int").alias("a"), (F.col("pos") + right).cast("int").alias("b"))
     wanted = ranked.where("not later").groupBy("doc").agg(F.collect_set(F.struct("seed", "pos", "reach", "crowded")).alias("wanted"))
     texts = docs.select(F.col("doc_id").alias("doc"), "text").join(wanted, "doc")
-    around = cut(_surroundings(texts.select("doc", "text", "wanted")))
-    release(docs.sparkSession)
-    ranges = whole.unionByName(_ordered(around.where("not crowded")))
-    if not around.where("crowded").isEmpty():
+    crowded = not ranked.where("crowded").isEmpty()
+    del found, again, rows, first, kinds, ranked  # so that what they keep on disk goes once it isn't needed
+    around = _surroundings(texts.select("doc", "text", "wanted"))
+    ranges = whole.unionByName(_ordered(around.where("not crowded") if crowded else around))
+    if crowded:
         ranges = ranges.unionByName(_hashed(around.where("crowded")))
+    ranges = cut(ranges)
+    del around, texts, wanted, whole
+    release(docs.sparkSession)
     per_text = ranges.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("ranges")).withColumnRenamed("doc", "doc_id")
     return _applied(docs.join(per_text, "doc_id", "left").select("doc_id", "text", "ranges"))
