@@ -122,24 +122,25 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, features: int
     n0, n1 = size.get(0, 0), size.get(1, 0)
     if not n0 or not n1:
         return Machine(number, prior, np.zeros(0), np.zeros((0, rank)))
-    seen = terms.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum(1 - F.col("toxic")).alias("d0"), F.sum("toxic").alias("d1")).where(F.col("d1") >= least_texts).toPandas()  # at most 2**18 rows
+    seen = terms.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum(1 - F.col("toxic")).alias("d0"), F.sum("toxic").alias("d1")).where(F.col("d1") >= least_texts).toArrow()  # at most 2**18 rows
     p0, p1 = seen["d0"].to_numpy() / n0, seen["d1"].to_numpy() / n1
-    p = (seen["d0"] + seen["d1"]).to_numpy() / (n0 + n1)
+    p = (seen["d0"].to_numpy() + seen["d1"].to_numpy()) / (n0 + n1)
     z = (p1 - p0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n0 + 1 / n1))
     best = np.lexsort((seen["term"].to_numpy(), -z))[:features]
     best = best[(z[best] >= least_z) & (p1[best] >= least_lift * p0[best])]
     number[seen["term"].to_numpy()[best]] = np.arange(len(best))
-    rows = _picked(terms, number).toPandas()
-    x = np.zeros((len(rows), len(best)), np.uint8)
-    for i, f in enumerate(rows["features"]):
+    rows = _picked(terms, number).toArrow()  # at most 2 * sample rows
+    ordered = sorted(zip(rows.column("toxic").to_pylist(), rows.column("features").to_pylist(), strict=True))  # in whatever order they came
+    x = np.zeros((len(ordered), len(best)), np.uint8)
+    for i, (_, f) in enumerate(ordered):
         x[i, f] = 1
-    y = rows["toxic"].to_numpy(np.float64)
+    y = np.array([t for t, _ in ordered], np.float64)
     importance = np.where(y == 1, n[1] / n1, n[0] / n0) * (n0 + n1) / (n[0] + n[1])
     return train_machine(x, y, importance, number, prior, rank)
 
 
 def _picked(terms: DataFrame, number: np.ndarray) -> DataFrame:
-    """The features among each text's terms, in the order of a hash of the row."""
+    """The features among each text's terms."""
     schema = pa.schema([("toxic", pa.int32()), ("features", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,8 +152,7 @@ def _picked(terms: DataFrame, number: np.ndarray) -> DataFrame:
             at = np.searchsorted(row, np.arange(b.num_rows + 1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(f, pa.int32()))], schema=schema)
 
-    out = terms.mapInArrow(run, "toxic int, features array<int>")
-    return out.orderBy(F.xxhash64("features"), "toxic", "features")
+    return terms.mapInArrow(run, "toxic int, features array<int>")
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
