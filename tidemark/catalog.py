@@ -66,6 +66,15 @@ FIVE = "round(avg(h), 6) AS avg_hours, round(quantile_cont(h, 0.5), 6) AS median
 PS = ", ".join(f"round(quantile_cont(h, {n / 100}), 6) AS p{n}" for n in M.PERCENTILES)
 
 # sources
+_RAW = lambda e: e.select(
+    F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("title"), F.lit(None).cast("string").alias("description"), F.element_at(F.array(*map(F.lit, ["new", "work in progress", " Resolved", "odd"])), (F.col("event_id") % 4 + 1).cast("int")).alias("status"),
+    F.element_at(F.array(*map(F.lit, ["sev1", "HIGH", "severity_3", "?"])), (F.col("event_id") % 4 + 1).cast("int")).alias("severity"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("createDate"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("lastUpdatedDate"), F.lit("nonsense").alias("lastResolvedDate"),
+    F.lit(None).cast("string").alias("assignee"), F.lit(None).cast("array<string>").alias("tags"), F.lit("s").alias("source"), F.lit(None).cast("string").alias("externalId"),
+    F.struct(F.struct(F.col("event_type").alias("assignedGroup"), *[F.lit(None).cast("string").alias(c) for c in ("impact", "urgency", "category", "subcategory")]).alias("tt")).alias("extensions"),
+)
+add("a1_a5_raw", lambda e: S.map_raw(_RAW(e)).select("id", "title", "description", "status", "severity", "created_date", "updated_date", "resolved_date", "resolver_group", F.col("metadata")["source"].alias("source"), F.size("metadata").alias("n_metadata"), F.size("tags").alias("n_tags")),
+    "SELECT CAST(event_id AS VARCHAR) AS id, event_type AS title, '' AS description, CASE event_id % 4 WHEN 1 THEN 'In Progress' WHEN 2 THEN 'Resolved' ELSE 'Open' END AS status, CASE event_id % 4 WHEN 0 THEN 'SEV_1' WHEN 1 THEN 'SEV_2' WHEN 2 THEN 'SEV_3' ELSE 'SEV_5' END AS severity, date_trunc('second', ts) AS created_date, date_trunc('second', ts) AS updated_date, CAST(NULL AS TIMESTAMP) AS resolved_date, event_type AS resolver_group, 's' AS source, CAST(2 AS INTEGER) AS n_metadata, CAST(0 AS INTEGER) AS n_tags FROM events", "events")
+add("a8_rejects", lambda e: S.rejected_raw(_RAW(e).withColumn("title", F.when(F.col("title") != "click", F.col("title")))).select("id", "missing"), "SELECT CAST(event_id AS VARCHAR) AS id, 'title' AS missing FROM events WHERE event_type = 'click'", "events")
 add("a7_records", lambda t: S.to_records(t.select("id", "status", "severity", "assignee")), """SELECT '{"id":"' || id || '","status":"' || status || '","severity":"' || severity || '","assignee":' || coalesce('"' || assignee || '"', 'null') || '}' AS record FROM t""")
 add("a8_search", lambda t: search(t, Criteria(statuses=["Open", "In Progress"], severities=["SEV_1"], limit=100)).select("id", "status", "created_date"), "SELECT id, status, created_date FROM t WHERE status IN ('Open', 'In Progress') AND severity = 'SEV_1' ORDER BY created_date, id LIMIT 100")
 add("a9_by_id", lambda t: S.by_id(t, "T0000007").select("id", "status", "severity", "assignee"), "SELECT id, status, severity, assignee FROM t WHERE id = 'T0000007'")
@@ -98,6 +107,8 @@ add(
     "SELECT id, CAST(CAST(created_date AS DATE) AS VARCHAR) AS day, strftime(created_date, '%Y-W%U') AS week_label, CAST(monday AS VARCHAR) || '/' || CAST(monday + 6 AS VARCHAR) AS week_period, month, 'Q' || quarter(created_date) AS quarter, strftime(created_date, '%B') AS month_name, CAST(hour(created_date) AS INTEGER) AS hour, strftime(created_date, '%A') AS day_name, CAST(isodow(created_date) - 1 AS INTEGER) AS dow FROM t",
 )
 add("c10_unassigned", lambda t: t.select("id", C.or_unassigned("assignee").alias("assignee")), "SELECT id, who AS assignee FROM t")
+add("c11_analysis_frame", lambda t: M.analysis_frame(t, AS_OF), "SELECT id, title, status, severity, created_date, updated_date, resolved_date, assignee, resolver_group, done AS is_resolved, round(age, 6) AS age_hours, round(h, 6) AS resolution_time_hours FROM t")
+add("c12_time_series", lambda t: M.time_series(t, AS_OF), "SELECT CAST(CAST(created_date AS DATE) AS VARCHAR) AS date, created_date AS datetime, id AS ticket_id, status, severity, done AS is_resolved, round(h, 6) AS resolution_hours, round(age, 6) AS age_hours, who AS assignee, team AS resolver_group FROM t")
 add("c15_category", lambda t: M.to_long(M.resolution_rate(t), "rate").unionByName(M.to_long(S.count_by_status(t), "status", "status")).select("metric", "key", C.metric_category(F.concat_ws("_", "metric", "key")).alias("category")),
     "SELECT 'rate' AS metric, k AS key, CASE k WHEN 'total' THEN 'volume_metrics' WHEN 'resolved' THEN 'resolution_metrics' ELSE 'other_metrics' END AS category FROM (SELECT unnest(['total', 'resolved', 'rate']) AS k) UNION ALL SELECT DISTINCT 'status.' || status, 'n', CASE WHEN status = 'Resolved' THEN 'resolution_metrics' ELSE 'status_metrics' END FROM t")
 add("c16_to_long", lambda t: M.to_long(M.distribution(t, "severity").select("severity", "n"), "severity", "severity"), "SELECT 'severity.' || severity AS metric, 'n' AS key, CAST(count(*) AS VARCHAR) AS value FROM t GROUP BY severity")

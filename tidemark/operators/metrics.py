@@ -7,6 +7,7 @@ once; bounds and totals that come from one row are joined as one row.
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,20 @@ def with_hours(t: DataFrame) -> DataFrame:
     return t.withColumn("h", C.resolution_hours())
 
 
+def analysis_frame(t: DataFrame, as_of: datetime | str) -> DataFrame:
+    """The wide projection that metrics read. (C11)"""
+    kept = ("id", "title", "status", "severity", "created_date", "updated_date", "resolved_date", "assignee", "resolver_group")
+    return t.select(*kept, C.is_resolved().alias("is_resolved"), C.age_hours(as_of).alias("age_hours"), C.resolution_hours().alias("resolution_time_hours"))
+
+
+def time_series(t: DataFrame, as_of: datetime | str) -> DataFrame:
+    """The projection that trends read: rows with a creation time, unsorted."""
+    return t.where("created_date is not null").select(
+        C.day("created_date").alias("date"), F.col("created_date").alias("datetime"), F.col("id").alias("ticket_id"), "status", "severity", C.is_resolved().alias("is_resolved"),
+        C.resolution_hours().alias("resolution_hours"), C.age_hours(as_of).alias("age_hours"), C.or_unassigned("assignee").alias("assignee"), C.or_unassigned("resolver_group").alias("resolver_group"),
+    )
+
+
 def positive(t: DataFrame) -> DataFrame:
     return with_hours(t).where("h > 0")
 
