@@ -328,3 +328,23 @@ add("j17_registry", lambda t: jobs.METRICS.calculate("resolution_by_severity", t
 add("j18_trend_registry", lambda t: jobs.TRENDS.calculate("seasonality", t), ORACLES["g10_seasonality"].split("WITH ", 1)[1].replace(VIEW, "", 1).strip())
 add("j19_statistics", lambda e: registry.statistics(e, "value", "user_id"), "SELECT 'value' AS \"column\", count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round(min(value), 6) AS min, round(quantile_cont(value, 0.5), 6) AS median, round(max(value), 6) AS max FROM events UNION ALL SELECT 'user_id', count(user_id), round(avg(user_id), 6), round(stddev_samp(user_id), 6), min(user_id), quantile_cont(user_id, 0.5), max(user_id) FROM events", "events")
 add("j19_distributions", lambda t: registry.distributions(t, "status", "severity"), "SELECT 'status' AS \"column\", status AS value, count(*) AS n FROM t GROUP BY 2 UNION ALL SELECT 'severity', severity, count(*) FROM t GROUP BY 2")
+
+
+def _stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream, read to its end: daily statistics of each operation."""
+    from uuid import uuid4
+
+    from tidemark.streaming import events as stream
+
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    # a pattern, as a stream's source is a folder or a pattern of files
+    rows = stream.read(spark, f"{sf_dir}/events.parque[t]", schema, files=8)
+    name = f"stats_{uuid4().hex}"
+    writer = stream.windowed_stats(monitoring.as_operations(rows), "1 day").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True)
+    shared = spark.sparkContext.getCheckpointDir()  # offsets and state belong in the shared folder where one is named
+    (writer.option("checkpointLocation", f"{shared}/{name}") if shared else writer).start().awaitTermination()
+    return rounded(spark.table(name).select(F.to_date("start").alias("day"), "operation", "n", "n_success", "avg_ms", "min_ms", "max_ms"))
+
+
+QUERIES["i1_stream_stats"] = _stream_stats
+ORACLES["i1_stream_stats"] = f"WITH {VIEW} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, operation, count(*) AS n, count(*) FILTER (success) AS n_success, round(avg(duration_ms), 6) AS avg_ms, round(min(duration_ms), 6) AS min_ms, round(max(duration_ms), 6) AS max_ms FROM ops GROUP BY ALL"
