@@ -123,14 +123,15 @@ def checkpoint_ready(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, computed once and kept in the shared checkpoint folder, so that they outlive any executor."""
     checkpoint_ready(df.sparkSession)
-    release(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of frames that nothing refers to any more: it does so when the driver collects its garbage, which else may not come for long."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark delete the shuffle files of frames that nothing refers to any more: it does so when the driver collects its garbage, which else may not come for long. The session refers to the last query until it has run another."""
+    for _ in range(2):  # what the first pass frees may have been all that held the rest
+        gc.collect()
+        spark.range(1).count()
+        spark.sparkContext._jvm.System.gc()
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str], most: int = 1 << 62, weight: str | None = None) -> Iterator[pa.Table]:
