@@ -245,6 +245,43 @@ def test_language_model_of_little(spark):
     assert len(r) == 2 and r[0].train_tokens == 0 and r[0].n_known == 0 and r[0].base_score == 0.0
 
 
+def test_language_model_counts_rare_bigrams(spark):
+    ids = [i for i in range(20_000) if zlib.crc32(str(i).encode()) % 10]
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0][:3]
+    names = [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join(names[j % 3000] for j in range(n, n + 40))) for n, i in zip(range(0, 12_000, 20), ids, strict=False)] + [(ids[-1], "zebra quokka"), (ids[-2], "zebra quokka")]
+    rows += [(held[0], "zebra quokka"), (held[1], "quokka zebra"), (held[2], "zebra new w1 w2 w2")]
+    train = [(i, [*t.split(), None]) for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    main, every, out = collections.Counter(), collections.Counter(), collections.Counter()
+    for i, w in train:
+        for pair in zip([None, *w], w, strict=False):
+            every[pair] += 1
+            (out if zlib.crc32(str(i).encode()) % 10 == 1 else main)[pair] += 1
+
+    def word(c, side):
+        got = collections.Counter()
+        for pair, n in c.items():
+            got[pair[side]] += n
+        return got
+
+    v = len(word(every, 1)) + 1
+
+    def estimates(c, a, b):
+        return np.array([c[0][a, b] / max(1, c[1][a]), c[2][b] / sum(c[2].values()), 1 / v])
+
+    of = lambda c: (c, word(c, 0), word(c, 1))
+    m, e = of(main), of(every)
+    pairs = list(out)
+    weights = lm._weights(lm.buckets(np.array([m[1][a] for a, _ in pairs])), np.array([out[p] for p in pairs], float), np.array([estimates(m, *p) for p in pairs]))
+    for parts in (0, 1):
+        got = {r.doc_id: r.score for r in lm.score(docs(spark, rows), parts).collect()}
+        for i, t in rows[:50] + rows[-5:]:
+            w = [*t.split(), None]
+            want = sum(math.log10(weights[lm.buckets(np.array([e[1][a]]))[0]] @ estimates(e, a, b)) for a, b in zip([None, *w], w, strict=False))
+            assert math.isclose(got[i], want, rel_tol=2e-3), (i, t)
+        assert got[held[0]] > got[held[1]]
+
+
 def test_interpolation_is_a_distribution():
     r = np.random.default_rng(0)
     main, held = r.poisson(0.3, (50, 50)), r.poisson(0.1, (50, 50))
