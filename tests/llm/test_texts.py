@@ -165,6 +165,15 @@ def test_tree_matching():
     assert merged[4][0][4][0][2] == "x1" and merged[4][0][4][1][2] is None and merged[1] == 2
 
 
+def test_html_template_within_articles(spark):
+    art = "<article><p>Story {i} begins</p><div><p>Read our plain notice</p></div><p>goes on {i}</p><p>All of us write here.</p><div class=extra>{extra}</div></article>"
+    rows = [(i, f"http://a.example/{i}", PAGE.format(i=i, body=art.format(i=i, extra="only here" if i == 2 else "<b></b>"))) for i in range(4)]
+    long = "a report of the same kind and length, which differs only after its first eighty characters: "
+    rows += [(10 + i, f"http://r.example/{i}", f"<div class=r>{long}{i}</div>") for i in range(4)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {i: f"Story {i} begins\n\ngoes on {i}" + ("\n\nonly here" if i == 2 else "") for i in range(4)} | {10 + i: f"{long}{i}" for i in range(4)}
+
+
 def test_html_hostile_text_is_linear():
     html_text.blocks('<a "' * 3000)
     html_text.blocks("<div>" * 3000 + "x")

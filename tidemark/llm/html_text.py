@@ -4,9 +4,12 @@ Pages become DOM trees; runs of like siblings are one node. The trees of a
 host's pages are aligned by simple tree matching (dynamic programming over the
 children of equally labelled nodes) and merged into the host's template tree,
 which counts for each node the pages it is on and whether its text stays the
-same. Constant nodes are template; varying slots are content. The slot to read
-is the page's article where it marks one; else the part of the host's template
-with the most varying text that is no menu, header, footer or the like.
+same. Constant nodes are template; varying slots are content. So are, within a
+run, texts that every page's run has. The slot to read is the page's article
+where it marks one; else the part of the host's template with the most varying
+text that is no menu, header, footer or the like. Texts that the template has as
+constant over three pages or more are left out of either; only a marked article
+that is constant throughout stands.
 
 Merging is associative up to the order of siblings, so each task merges its
 own pages, then some tasks' trees of a host are merged, then those: no task
@@ -17,6 +20,7 @@ rows weigh in the template as often as they stand. Pages without an url share
 the empty host.
 """
 
+import hashlib
 import html
 import json
 import re
@@ -170,20 +174,31 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, bool]]:
     return out
 
 
-# A tree node: [label, pages, key of its own text or None if it varies, length of own text, children]
+# A tree node: [label, pages, key of its own text or None if it varies, length of own text, children, keys of the texts that all pages with own text have, pages with own text]
+
+
+def key(text: str) -> str:
+    """Tells whole texts apart; short ones stand as they are."""
+    return (text if len(text) <= 16 else hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=12).hexdigest()) + str(len(text))
 
 
 def tree(page: str | None) -> list:
     """The page's tree of blocks; runs of like siblings are one node."""
-    root: list = ["", 1, "", 0, []]
+    root: list = ["", 1, "", 0, [], [], 0]
+    seen: set[tuple[int, str]] = set()
     for path, text, _ in blocks(page):
         node = root
         for label in path:
             if not node[4] or node[4][-1][0] != label:
-                node[4].append([label, 1, "", 0, []])
+                node[4].append([label, 1, "", 0, [], [], 0])
             node = node[4][-1]
-        node[2] = text[:80] + str(len(text)) if node[2] == "" else None
+        k = key(text)
+        node[2] = k if node[2] == "" else None
         node[3] += len(text)
+        if (id(node), k) not in seen:
+            seen.add((id(node), k))
+            node[5].append(k)
+        node[6] = 1
     return root
 
 
@@ -211,7 +226,9 @@ def merge(a: list, b: list) -> tuple[int, list]:
             j -= 1
             children.append(right[j])
     own = a[2] if a[2] == b[2] else a[2] or b[2] if "" in (a[2], b[2]) else None
-    return 1 + best[-1][-1], [a[0], a[1] + b[1], own, a[3] + b[3], children[::-1]]
+    others = set(b[5])
+    shared = [k for k in a[5] if k in others] if a[6] and b[6] else a[5] or b[5]
+    return 1 + best[-1][-1], [a[0], a[1] + b[1], own, a[3] + b[3], children[::-1], shared, a[6] + b[6]]
 
 
 def wrapper(template: list) -> tuple[list[str], list[str]]:
@@ -219,9 +236,9 @@ def wrapper(template: list) -> tuple[list[str], list[str]]:
     constant: list[str] = []
 
     def varying(node: list, path: str) -> int:
-        if node[2] and node[1] >= 3:
-            constant.append(f"{path}\t{node[2]}")
-        own = node[3] if node[2] is None or node[1] < 3 else 0
+        if node[6] >= 3:
+            constant.extend(f"{path}\t{k}" for k in node[5])
+        own = node[3] if node[2] is None or node[6] < 3 else 0
         return own + sum(varying(c, f"{path}/{c[0]}") for c in node[4])
 
     total = varying(template, "")
@@ -239,14 +256,20 @@ def wrapper(template: list) -> tuple[list[str], list[str]]:
 def extract(page: str | None, path: list[str] | None, constant: frozenset[str] | None) -> str:
     """The page's main text."""
     found = blocks(page)
-    if any(inside for _, _, inside in found):
-        return "\n\n".join(text for _, text, inside in found if inside)
-    if path:
+    marked = [b for b in found if b[2]]
+    if marked:
+        found = marked
+    elif path:
         within = [b for b in found if list(b[0][: len(path)]) == path]
         found = within or found
     if constant:
-        found = [b for b in found if f"/{'/'.join(b[0])}\t{b[1][:80]}{len(b[1])}" not in constant]
-    return "\n\n".join(text for _, text, _ in found)
+        found = [b for b in found if f"/{'/'.join(b[0])}\t{key(b[1])}" not in constant]
+    return "\n\n".join(text for _, text, _ in found or marked)
+
+
+def _pruned(node: list) -> list:
+    """The same tree without texts that are on too few pages to be constant."""
+    return [*node[:4], [_pruned(c) for c in node[4]], node[5] if node[6] >= 3 else [], node[6]]
 
 
 def host(url: str) -> Column:
@@ -287,17 +310,17 @@ def templates(pages: DataFrame, ways: int = 16) -> DataFrame:
         if rows:
             yield batch(rows)
 
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def again(batches: Iterator[pa.RecordBatch], last: bool = False) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, ["host", "salt"]):
             trees = zip(t.column("host").to_pylist(), map(json.loads, t.column("tree").to_pylist()), strict=True)
-            rows = [(name, 0, x) for name, x in _merged(trees, 1 << 40)]
+            rows = [(name, 0, _pruned(x) if last else x) for name, x in _merged(trees, 1 << 40)]
             if rows:
                 yield batch(rows)
 
     schema = "host string, salt int, tree string"
     some = pages.select(host("url").alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(own, schema)
     few = some.repartition("host", "salt").sortWithinPartitions("host", "salt").mapInArrow(again, schema)
-    return few.repartition("host").sortWithinPartitions("host").mapInArrow(again, schema).select("host", "tree")
+    return few.repartition("host").sortWithinPartitions("host").mapInArrow(lambda batches: again(batches, True), schema).select("host", "tree")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
