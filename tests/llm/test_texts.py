@@ -53,6 +53,13 @@ def test_secret_redaction(spark):
     assert secret_scan.scan(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_license_labels_of_long_expressions():
+    names = [f"A{i}" for i in range(200)]
+    both = f"({' OR '.join(names[:20])}) AND ({' OR '.join(names[20:60])})"
+    for expression, n in ((both, 60), (" OR ".join(names), 200), (" AND ".join(f"({a} OR {b})" for a, b in zip(names[::2], names[1::2], strict=True)), 200)):
+        assert licenses.scan_text(f"SPDX-License-Identifier: {expression}")["labels"] == ",".join(sorted(x.lower() for x in names[:n]))
+
+
 def plain_places(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)

@@ -82,7 +82,7 @@ def postfix(expression: str) -> list[str]:
 
 
 def evaluate(tokens: list[str]) -> tuple[list[frozenset[str]], bool]:
-    """The alternatives that an expression allows, each a set of licences that hold together, and whether it was well formed. "x with y" is one licence."""
+    """The alternatives that an expression allows, each a set of licences that hold together, and whether it was well formed. "x with y" is one licence. Nested choices multiply; what only needs the licences takes :func:`licences`."""
     stack: list[list[frozenset[str]]] = []
     whole = True
     for t in tokens:
@@ -92,9 +92,9 @@ def evaluate(tokens: list[str]) -> tuple[list[frozenset[str]], bool]:
                 continue
             b, a = stack.pop(), stack.pop()
             if t == "or":
-                stack.append(list(dict.fromkeys(a + b))[:64])
+                stack.append(list(dict.fromkeys(a + b)))
             elif t == "and":
-                stack.append(list(dict.fromkeys(x | y for x in a[:16] for y in b[:16])))
+                stack.append(list(dict.fromkeys(x | y for x in a for y in b)))
             else:
                 stack.append([frozenset(f"{x}-with-{y}" for x in one for y in frozenset().union(*b)) for one in a])
         else:
@@ -102,6 +102,27 @@ def evaluate(tokens: list[str]) -> tuple[list[frozenset[str]], bool]:
     return [x for s in stack for x in s], whole and len(stack) == 1
 
 
+def licences(tokens: list[str]) -> tuple[set[str], bool]:
+    """All licences of an expression's alternatives, without forming these, and whether it was well formed."""
+    stack: list[set[str]] = []
+    whole = True
+    for t in tokens:
+        if t in PRECEDENCE:
+            if len(stack) < 2:
+                whole = False
+                continue
+            b, a = stack.pop(), stack.pop()
+            if t == "with":
+                stack.append({f"{x}-with-{y}" for x in a for y in b})
+            else:
+                small, large = sorted((a, b), key=len)
+                large |= small
+                stack.append(large)
+        else:
+            stack.append({t.lower()})
+    return set().union(*stack), whole and len(stack) == 1
+
+
 def scan_text(text: str | None) -> dict:
     """Words, base places, labels and score of one text."""
     parts = (text or "").encode("utf-8", "replace").translate(_FOLD).split()
@@ -128,9 +149,9 @@ def scan_text(text: str | None) -> dict:
         tagged |= phrase == TAG
     if tagged:
         for m in _TAG_LINE.finditer(text or ""):
-            choices, whole = evaluate(postfix(m[1]))
-            if choices:
-                labels.update(x for one in choices for x in one)
+            named, whole = licences(postfix(m[1]))
+            if named:
+                labels |= named
                 out["expressions"].append(m[1].strip())
                 doubt *= 1 - (0.95 if whole else 0.5)
     if places:
