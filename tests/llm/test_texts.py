@@ -45,6 +45,23 @@ def test_secret_assignments():
     assert len(secret_scan.scan_text("secret=" * 3000)[0]) == 1  # linear in the text
 
 
+def test_secret_built_of_many_pieces():
+    pieces = [hashlib.sha1(str(i).encode()).hexdigest()[:24].upper() for i in range(2000)]
+    text = f'api_key = "{pieces[0]}"\n' + "\n".join(f'api_key = api_key + "{p}"' for p in pieces[1:])
+    assert [text[a:b] for k, a, b in secret_scan.scan_text(text)[1] if k == "literal"] == pieces
+    masked = secret_scan.mask(text)
+    assert not any(p in masked for p in pieces)
+    doubled = 'a = "k3yVal_88xZq"\n' + "a = a + a\n" * 2000 + 'secret = a + "tail9"'
+    assert {doubled[a:b] for k, a, b in secret_scan.scan_text(doubled)[1] if k == "literal"} == {"k3yVal_88xZq", "tail9"}
+    r = random.Random(4)
+    for _ in range(300):
+        parts = ["".join(r.choice("aB3 x<>_") for _ in range(r.randint(1, 40))) for _ in range(r.randint(1, 400))]
+        if r.random() < 0.5:
+            parts = [p.replace(" ", "").replace("<", "").replace("x", "y") or "q" for p in parts]
+        value = secret_scan.Value([(p, 0, 0) for p in parts])
+        assert abs(value.factor() - secret_scan.value_factor("".join(parts))) < 1e-9
+
+
 def test_secret_redaction(spark):
     d = clashing(docs(spark, [*AWKWARD, "token=abcdefghij"]))
     out = secret_scan.redact(d)

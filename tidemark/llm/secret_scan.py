@@ -38,6 +38,8 @@ _NAME_CHAR = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*\Z")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _PLACEHOLDER = re.compile(r"(?i)x{4,}|\*{3,}|\.{3,}|\$\{|\{\{|<[a-z_ -]*>|change_?me|example|placeholder|your[_-]|\Anull\Z|\Anone\Z|\Atrue\Z|\Afalse\Z|\Aundefined\Z|\A(.)\1*\Z")
+#: Those of them that make no difference by where they stand, so that a longer value keeps them.
+_PLACEHOLDER_WITHIN = re.compile(_PLACEHOLDER.pattern.split(r"|\Anull", 1)[0])
 
 #: How much each word in a target's name says that its value is secret; the largest counts.
 NAME_WEIGHTS = {
@@ -61,12 +63,73 @@ def value_factor(value: str) -> float:
     """How secret-like a value is, 0 to 1: long enough, no placeholder, mixed letters."""
     if len(value) < 8 or _PLACEHOLDER.search(value) or " " in value.strip():
         return 0.0
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    kinds = sum(map(bool, (re.search("[a-z]", value), re.search("[A-Z]", value), re.search("[0-9]", value), re.search("[^A-Za-z0-9]", value))))
+    return _mixed(Counter(value), len(value))
+
+
+def _mixed(counts: Counter, n: int) -> float:
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values() if c / n)
+    letters = "".join(counts)
+    kinds = sum(map(bool, (re.search("[a-z]", letters), re.search("[A-Z]", letters), re.search("[0-9]", letters), re.search("[^A-Za-z0-9]", letters))))
     return min(1.0, entropy / 3.0) * (1.0 if kinds >= 2 else 0.6)
 
 
+#: Values up to this length are held and scored as texts; longer ones by sums over their pieces.
+_HELD = 4096
+_EDGE = 64
+
+
+class Value:
+    """A value put together from literals and earlier values: its pieces, and what scoring needs of the whole. Nothing is copied per piece, so a text that builds a value step by step stays linear."""
+
+    __slots__ = ("pieces", "text", "n", "counts", "head", "tail", "first", "last", "blank", "never")
+
+    def __init__(self, pieces: list) -> None:
+        """Pieces: literals (value, start, end), and values."""
+        self.pieces = pieces
+        parts = [p if isinstance(p, Value) else Value._literal(p[0]) for p in pieces]
+        self.n = sum(p.n for p in parts)
+        self.text = "".join(p.text for p in parts) if self.n <= _HELD else None
+        if self.text is not None:
+            self._measure(self.text)
+            return
+        self.counts, self.never = Counter(), False
+        self.head = self.tail = ""
+        self.first = self.last = 0
+        self.blank = True
+        for p in parts:
+            self.never |= p.never or bool(_PLACEHOLDER_WITHIN.search(self.tail + p.head))
+            self.head = (self.head + p.head)[:_EDGE] if len(self.head) < _EDGE else self.head
+            self.tail = (self.tail + p.tail)[-_EDGE:]
+            self.last = p.last + (self.counts[" "] if self.blank else self.last) if p.blank else p.last
+            if self.blank:
+                self.first = self.counts[" "] + p.first
+            self.counts.update(p.counts)
+            self.blank &= p.blank
+
+    @staticmethod
+    def _literal(text: str) -> "Value":
+        v = Value.__new__(Value)
+        v.pieces, v.text, v.n = [], text, len(text)
+        v._measure(text)
+        return v
+
+    def _measure(self, text: str) -> None:
+        self.counts, self.head, self.tail = Counter(text), text[:_EDGE], text[-_EDGE:]
+        self.blank = not text.strip()
+        # spaces before and after all else
+        self.first = text[: len(text) - len(text.lstrip())].count(" ")
+        self.last = text[len(text.rstrip()) :].count(" ")
+        self.never = bool(_PLACEHOLDER_WITHIN.search(text))
+
+    def factor(self) -> float:
+        """As :func:`value_factor` of the whole; a placeholder in angle brackets is seen across pieces only within 64 characters of where they meet."""
+        if self.text is not None and self.n <= _HELD:
+            return value_factor(self.text)
+        if self.never or len({c.lower() for c in self.counts}) == 1 or not self.blank and self.counts[" "] > self.first + self.last:
+            return 0.0
+        return _mixed(self.counts, self.n)
+
+
 def assignments(text: str) -> Iterator[tuple[str, list[tuple[str | None, str, int, int]]]]:
     """Name and right-hand terms, in order: (identifier or None, literal value, start, end) of each."""
     done = 0
@@ -104,19 +167,26 @@ def assignments(text: str) -> Iterator[tuple[str, list[tuple[str | None, str, in
 
 def literals(text: str, min_score: float = 0.5) -> list[tuple[str, int, int]]:
     """Spans of the literals that end up in sensitive targets; constants assigned earlier in the text are followed."""
-    known: dict[str, list[tuple[str, int, int]]] = {}
+    known: dict[str, Value] = {}
     found: dict[tuple[int, int], None] = {}
+    told: set[int] = set()  # values whose pieces are found already; known and pieces keep them alive
+    kept: list[Value] = []
     for name, terms in assignments(text):
-        parts: list[tuple[str, int, int]] = []
-        for ident, value, start, end in terms:
-            parts += known[ident] if ident in known else [(value, start, end)]
-            if len(parts) > 64:  # a value built from itself over and over: its first parts name it already
-                parts = list(dict.fromkeys(parts))
-                break
-        known[name] = parts
+        value = known[name] = Value([known[ident] if ident in known else (v, start, end) for ident, v, start, end in terms])
+        kept.append(value)
         weight = name_weight(name)
-        if weight and weight * value_factor("".join(p[0] for p in parts)) >= min_score:
-            found.update(dict.fromkeys((a, b) for v, a, b in parts if len(v) >= 4))
+        if weight and weight * value.factor() >= min_score:
+            todo = [value]
+            while todo:
+                one = todo.pop()
+                if id(one) in told:
+                    continue
+                told.add(id(one))
+                for p in one.pieces:
+                    if isinstance(p, Value):
+                        todo.append(p)
+                    elif len(p[0]) >= 4:
+                        found[p[1], p[2]] = None
     return [("literal", a, b) for a, b in found]
 
 
