@@ -13,19 +13,17 @@ def _are_stars(edges: DataFrame) -> bool:
     return bad.agg(F.count("*").alias("n")).first()["n"] == 0
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) of every node on an edge (columns u, v: long).
 
     Each round hooks every node's larger neighbours, then its smaller ones, to
     the smallest node it sees; both are joins against a minimum per node, so a
     hub's rows are never gathered. The edges shrink to stars in O(log^2 n)
-    rounds; each round's edges are kept in the checkpoint folder. Loops and
+    rounds, and the loop ends with them only; each round's edges are kept in the checkpoint folder. Loops and
     repeated edges are allowed, null ends are not followed.
     """
     now = cut(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    for _ in range(most_rounds):
-        if _are_stars(now):
-            break
+    while not _are_stars(now):
         # large star: neighbours larger than a node go to the smallest node it sees
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))

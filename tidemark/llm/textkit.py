@@ -8,7 +8,8 @@ large the batch is. A document is never cut.
 from __future__ import annotations
 
 import gc
-import os
+import re
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,9 +19,10 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 _RNG = np.random.default_rng(20240229)
-#: A random odd 64-bit value per byte and per place in a word.
+#: A random odd 64-bit value per byte.
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_PLACE = _RNG.integers(1, 2**63, 4096, dtype=np.uint64) * U64(2) + U64(1)
+#: Bytes of words that are hashed at once.
+_AT_ONCE = 1 << 21
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of words: all but space, tab, line feed, vertical tab, form feed, carriage return.
@@ -75,16 +77,30 @@ def words(buf: np.ndarray, off: np.ndarray, is_word: np.ndarray = IS_WORD) -> tu
     return starts, ends, np.searchsorted(starts, off)
 
 
+def _places(n: int) -> np.ndarray:
+    """A random odd 64-bit value for each of the first n places in a word, however long it is."""
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * U64(0xD1B54A32D192ED03)) | U64(1)
+
+
+_SHORT = _places(4096)
+
+
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes."""
-    if len(starts) == 0:
-        return np.zeros(0, np.uint64)
-    size = np.diff(np.append(starts, len(buf)))
-    place = np.arange(starts[0], len(buf)) - np.repeat(starts, size)
-    val = _BYTE[buf[starts[0] :]] * _PLACE[place & 4095]
-    val[place >= np.repeat(ends - starts, size)] = 0
-    h = np.add.reduceat(val, starts - starts[0])
-    return mix(h + (ends - starts).astype(np.uint64) * U64(0x9E3779B97F4A7C15))
+    out = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + _AT_ONCE)))
+        a, z, size = starts[i], ends[j - 1], ends[i:j] - starts[i:j]
+        room = np.diff(np.append(starts[i:j], z))
+        place = np.arange(a, z) - np.repeat(starts[i:j], room)
+        longest = int(size.max())
+        value = _SHORT if longest <= len(_SHORT) else _places(longest)
+        inside = place < np.repeat(size, room)
+        val = _BYTE[buf[a:z]] * value[np.where(inside, place, 0)] * inside
+        out[i:j] = mix(np.add.reduceat(val, starts[i:j] - a) + size.astype(np.uint64) * U64(0x9E3779B97F4A7C15))
+        i = j
+    return out
 
 
 def shingle_sets(wh: np.ndarray, first: np.ndarray, k: int) -> Iterator[np.ndarray]:
@@ -114,10 +130,13 @@ def crc_mod(column: str, mod: int):
 
 
 def checkpoint_ready(spark: SparkSession) -> None:
-    """Checkpoints go to the shared folder that the session names in spark.checkpoint.dir; only where none is named (tests on one machine), to one of our own."""
+    """Checkpoints go to the shared folder that the session names in spark.checkpoint.dir. Without one, only a session on one machine gets a folder of its own; a cluster's can't be guessed."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join("/tmp", "tidemark-checkpoints"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
