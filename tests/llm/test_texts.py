@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import AWKWARD, SCHEMA, clashing, docs
 from tidemark.llm import html_text, licenses, pieces, secret_scan
@@ -182,11 +184,64 @@ def test_html_wrapper(spark):
     assert [r.text for r in got] == [f"Story {i} begins here and goes on\n\nand ends {i}." for i in range(4)]
 
 
+def plain_matching(a, b):
+    """Nodes of the largest match of two trees of equal label, all choices tried."""
+
+    def forest(x, y):
+        if not x or not y:
+            return 0
+        best = max(forest(x[1:], y), forest(x, y[1:]))
+        return max(best, plain_matching(x[0], y[0]) + forest(x[1:], y[1:])) if x[0][0] == y[0][0] else best
+
+    return 1 + forest(a[1], b[1])
+
+
 def test_tree_matching():
-    a, b = (html_text.tree(f"<div><h1>x</h1><p>{t}</p>{more}</div>") for t, more in (("one", ""), ("two", "<ul><li>z</ul>")))
-    n, merged = html_text.merge(a, b)
-    assert n == 4 and [c[0] for c in merged[4][0][4]] == ["h1", "p", "ul"]
-    assert merged[4][0][4][0][2] == "x1" and merged[4][0][4][1][2] is None and merged[1] == 2
+    r = random.Random(7)
+
+    def grown(depth):
+        return [r.choice("ab"), [grown(depth - 1) for _ in range(r.randint(0, 3))] if depth else [], []]
+
+    for _ in range(300):
+        a, b = grown(3), grown(3)
+        b[0] = a[0]
+        pairs = html_text.matching(a, b)
+        assert len(pairs) == plain_matching(a, b)
+        assert all(x[0] == y[0] for x, y in pairs) and len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == len(pairs)
+
+
+def tokens_f1(a, b):
+    a, b = Counter(a.split()), Counter(b.split())
+    return 1.0 if a == b else 2 * sum((a & b).values()) / max(1, sum(a.values()) + sum(b.values()))
+
+
+def test_html_without_marks(spark, small):
+    """The template finds the article where the pages don't mark it."""
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    bare = pages.withColumn("html", F.regexp_replace("html", "<(/?)article>", "<$1div>"))
+    got = {r.page_id: r.text for r in html_text.main_text(bare).collect()}
+    want = {r.page_id: html_text.extract(r.html, None) for r in pages.collect()}
+    scores = [tokens_f1(got[i], want[i]) for i in want]
+    assert len(scores) == pages.count() and sum(scores) / len(scores) >= 0.95
+
+
+def test_html_names_are_votes_only(spark):
+    art = "<article><div class='alert-story'><p>The storm alert of day {i} told in full length here</p></div><article><a href=x>Read also {i}</a></article><div class='comments'><p>reader {i} says no</p></div><div class='share-bar'>tell {i}</div></article>"
+    rows = [(i, f"http://a.example/{i}", PAGE.format(i=i, body=art.format(i=i))) for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in (1, 4):
+        got = {r.page_id: r.text for r in html_text.main_text(df.orderBy(F.rand(3)).repartition(parts)).collect()}
+        assert got == {i: f"The storm alert of day {i} told in full length here" for i in range(5)}
+
+
+def test_html_of_one_host_and_copies(spark):
+    body = "<div class=c><p>Story {i} is told at some length in this place</p><p>Subscribe to our letter</p></div>"
+    rows = [(i, "http://one.example/x", PAGE.format(i=i, body=body.format(i=i // 3))) for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.main_text(df.union(df)).collect()}
+    assert got == {i: f"Story {i // 3} is told at some length in this place" for i in range(60)}
+    copies = spark.createDataFrame([(i, "http://two.example/x", PAGE.format(i=0, body=body.format(i=0))) for i in range(9)], "page_id long, url string, html string")
+    assert {r.text for r in html_text.main_text(copies).collect()} == {"Story 0 is told at some length in this place\n\nSubscribe to our letter"}
 
 
 def test_html_template_within_articles(spark):
@@ -200,5 +255,7 @@ def test_html_template_within_articles(spark):
 
 def test_html_hostile_text_is_linear():
     html_text.blocks('<a "' * 3000)
-    html_text.blocks("<div>" * 3000 + "x")
     html_text.blocks("<" * 50_000)
+    assert html_text.extract("<div>" * 3000 + "x", None) == "x"
+    assert html_text.extract("<div>a<p>" * 3000 + "x", None).count("a") == 3000
+    html_text.extract("<div class=a>x</div><div class=b>y</div>" * 2000, None)

@@ -1,23 +1,27 @@
 """Main text of web pages by wrapper induction.
 
-Pages become DOM trees; runs of like siblings are one node. The trees of a
-host's pages are aligned by simple tree matching (dynamic programming over the
-children of equally labelled nodes) and merged into the host's template tree,
-which counts for each node the pages it is on and whether its text stays the
-same. Constant nodes are template; varying slots are content. So are, within a
-run, texts that every page's run has. The slot to read is the page's article
-where it marks one; else the part of the host's template with the most varying
-text that is no menu, header, footer or the like. Texts that the template has as
-constant over three pages or more are left out of either; only a marked article
-that is constant throughout stands.
-
-Merging is associative up to the order of siblings, so each task merges its
-own pages, then some tasks' trees of a host are merged, then those: no task
-sees all pages of a host, only trees.
+A page becomes a tree of its block elements; three or more like siblings in a
+row are one repeated node. Of each host the most common tree is the reference.
+Every page's tree is aligned with it by simple tree matching (dynamic
+programming over the children of equally labelled nodes), and what the pages
+have at each node is added up: constant texts are template, varying slots are
+content. The slot to read is found by going down from the root as long as one
+child holds most of the varying text outside links; an article or main element
+and class names count there as votes, they don't decide. Pages that lack the
+slot are their own template.
+
+Within the slot, parts that HTML itself names (nav, footer, aside, form,
+script, an article within the article and the like) are left out, so are texts
+that half of the host's pages (three at least) have at that node, and parts
+whose class or id has no other words than those of boilerplate. The last two
+stand where they hold most of the page's slot, as in near copies of a page.
+
+The sums are over distinct pages of all of a host, whatever their order; no
+task gathers a host. Alignment looks at the first 60 levels; text below stands
+at the last of them.
 
 Null and empty pages give the empty text. Every row gives one row; repeated
-rows weigh in the template as often as they stand. Pages without an url share
-the empty host.
+rows count once in the template. Pages without an url share the empty host.
 """
 
 import hashlib
@@ -25,12 +29,13 @@ import html
 import json
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textkit import grouped
+from tidemark.llm.textkit import cut
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)([^>\"']*+(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*+)*+|[^>]*+)>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([A-Za-z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([A-Za-z_:-]+)")
@@ -48,71 +53,88 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Where that search ends.
 FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-#: Words of a class or id that say what a part is.
+#: Words of a class or id that say what a part is, if it has no others than these and those below.
 BOILERPLATE = frozenset(
     "ad ads adv advert adverts advertisement banner sponsor sponsored promo promotion menu nav navbar navigation navi breadcrumb breadcrumbs footer sidebar aside widget widgets cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup share sharing social related recommended recommendations comment comments disqus replies respond pagination pager toolbar masthead login search copyright disclaimer skip".split()
 )
+GENERIC = frozenset("area bar block box button buttons container content entry form group header inner item items link links list outer panel post posts row section text title top bottom left right main wrap wrapper".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: A header's headings may belong to the article.
 HEADER = frozenset(["header"])
+#: Elements whose runs are one node from the first repetition on.
+FLOW = frozenset("p li dt dd tr td th option blockquote pre".split())
+LEVELS = 60
+#: A text is template if so many of the host's pages, and such a share of those with text at the node, have it.
+LEAST_PAGES, SHARE = 3, 0.5
+#: Template texts, and parts with names of boilerplate, that hold such a share of a page's slot are its content after all.
+MOST_TEMPLATE, MOST_DOUBT = 0.75, 0.5
+#: Largest sum of wrappers, in bytes, that is sent to all tasks; beyond it pages are joined by host.
+BROADCAST = 16 << 20
 
 
-#: Parts that a host's pages are dealt into.
-PARTS = 32
+class Block(NamedTuple):
+    path: tuple[tuple[str, int], ...]  #: label and number of each block element from the root
+    text: str
+    links: int  #: characters in links
+    doubt: bool  #: in a part that its class or id calls boilerplate
 
 
 class Element:
-    __slots__ = ("tag", "label", "kind")
+    __slots__ = ("tag", "label", "kind", "number")
 
-    def __init__(self, tag: str, label: str, kind: str) -> None:
-        self.tag, self.label, self.kind = tag, label, kind
+    def __init__(self, tag: str, label: str, kind: str, number: int) -> None:
+        self.tag, self.label, self.kind, self.number = tag, label, kind, number
 
 
 def describe(tag: str, attributes: str) -> tuple[str, str]:
-    """A label for alignment, and the kind of part: drop, header, article or plain."""
+    """A label for alignment, and the kind of part: drop, doubt, header, article or plain."""
     if not attributes.strip("/ \t\r\n"):
-        words, role, hidden, label = frozenset(), "", False, tag
+        tokens, role, hidden, label = [], "", False, tag
     else:
         a = {(m[1] or m[5]).lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
-        names = f"{a.get('class', '')} {a.get('id', '')}"
-        words = frozenset(w.lower() for w in _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", names)))
+        names = [re.sub(r"([a-z])([A-Z])", r"\1 \2", n) for n in f"{a.get('class', '')} {a.get('id', '')}".split()]
+        tokens = [frozenset(w.lower() for w in _WORDS.findall(n)) for n in names]
         role = a.get("role", "").lower()
         hidden = "hidden" in a or a.get("aria-hidden", "") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
-        label = tag + "".join(f".{w}" for w in sorted(words)) if words else tag
+        label = tag + "".join(f".{w}" for w in sorted(frozenset().union(*tokens)))
     if tag in DROPPED or hidden or role in ROLES:
         return label, "drop"
+    if tag not in ("html", "body", "article", "main") and any(t & BOILERPLATE and t <= BOILERPLATE | GENERIC for t in tokens):
+        return label, "doubt"
     if tag in ("article", "main") or role in ("main", "article"):
-        return label, "drop" if words & {"comment", "comments", "related", "ad", "ads", "advert", "sidebar", "promo"} else "article"
-    if words & BOILERPLATE and tag not in ("html", "body"):
-        return label, "drop"
-    if tag == "header" or words & HEADER and tag not in ("html", "body"):
+        return label, "article"
+    if tag == "header" or tag not in ("html", "body") and any(t == HEADER for t in tokens):
         return label, "header"
     return label, "plain"
 
 
-def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, bool]]:
-    """Blocks of text outside dropped parts, in page order: labels from the root, text, and whether it is in a marked article. Unclosed and misnested elements are borne with."""
-    out: list[tuple[tuple[str, ...], str, bool]] = []
+def blocks(page: str | None) -> list[Block]:
+    """Blocks of text outside dropped parts, in page order. Unclosed and misnested elements are borne with."""
+    out: list[Block] = []
     if not page:
         return out
     stack: list[Element] = []
-    kinds = {"drop": 0, "header": 0, "article": 0, "plain": 0}
+    kinds = {"drop": 0, "doubt": 0, "header": 0, "article": 0, "plain": 0}
     parts: list[str] = []
-    headings = 0
+    headings = links = anchors = articles = number = 0
 
     def flush() -> None:
+        nonlocal links
         if parts:
             text = parts[0] if len(parts) == 1 else "".join(parts)
             parts.clear()
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
-                out.append((tuple(e.label for e in stack if e.tag in BLOCK), text, kinds["article"] > 0))
+                out.append(Block(tuple((e.label, e.number) for e in stack if e.tag in BLOCK), text, min(links, len(text)), kinds["doubt"] > 0))
+        links = 0
 
     def pop() -> None:
-        nonlocal headings
+        nonlocal headings, anchors, articles
         e = stack.pop()
         kinds[e.kind] -= 1
         headings -= e.tag in HEADINGS
+        anchors -= e.tag == "a"
+        articles -= e.tag == "article"
 
     at, n = 0, len(page)
     while at < n:
@@ -122,6 +144,7 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, bool]]:
         upto = m.start() if m else n
         if upto > at and not kinds["drop"] and (not kinds["header"] or headings and kinds["article"]):
             parts.append(page[at:upto])
+            links += (upto - at) * (anchors > 0)
         if not m:
             break
         at = m.end()
@@ -165,162 +188,256 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, bool]]:
             at = close.end() if close else n
             continue
         label, kind = describe(tag, m[3])
-        if kind != "plain" and tag not in BLOCK and kind != "drop":
+        if tag == "article" and articles:  # what HTML calls related to the one around it: teasers, readers' comments
+            kind = "drop"
+        elif kind in ("article", "header") and tag not in BLOCK:
             kind = "plain"
-        stack.append(Element(tag, label, kind))
+        number += 1
+        stack.append(Element(tag, label, kind, number))
         kinds[kind] += 1
         headings += tag in HEADINGS
+        anchors += tag == "a"
+        articles += tag == "article"
     flush()
     return out
 
 
-# A tree node: [label, pages, key of its own text or None if it varies, length of own text, children, keys of the texts that all pages with own text have, pages with own text]
-
-
-def key(text: str) -> str:
-    """Tells whole texts apart; short ones stand as they are."""
-    return (text if len(text) <= 16 else hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=12).hexdigest()) + str(len(text))
-
-
-def tree(page: str | None) -> list:
-    """The page's tree of blocks; runs of like siblings are one node."""
-    root: list = ["", 1, "", 0, [], [], 0]
-    seen: set[tuple[int, str]] = set()
-    for path, text, _ in blocks(page):
-        node = root
-        for label in path:
-            if not node[4] or node[4][-1][0] != label:
-                node[4].append([label, 1, "", 0, [], [], 0])
-            node = node[4][-1]
-        k = key(text)
-        node[2] = k if node[2] == "" else None
-        node[3] += len(text)
-        if (id(node), k) not in seen:
-            seen.add((id(node), k))
-            node[5].append(k)
-        node[6] = 1
-    return root
-
-
-def merge(a: list, b: list) -> tuple[int, list]:
-    """Simple tree matching of two nodes of equal label: the number of nodes that match, and the merged node. Children match in order; those of one side only stay where they stand."""
-    left, right = a[4], b[4]
-    best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-    pair: dict[tuple[int, int], tuple[int, list]] = {}
-    for i, x in enumerate(left):
-        for j, y in enumerate(right):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j])
-            if x[0] == y[0]:
-                pair[i, j] = merge(x, y)
-                best[i + 1][j + 1] = max(best[i + 1][j + 1], best[i][j] + pair[i, j][0])
+def key(text: str) -> int:
+    """Tells whole texts apart; never 0."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) or 1
+
+
+# A tree node: [label, children, the numbers of its blocks]
+
+
+def tree(found: list[Block]) -> list:
+    """The tree of a page's blocks."""
+    root: list = ["", [], []]
+    open_: list[tuple[int, list]] = [(0, root)]
+    for i, b in enumerate(found):
+        depth = 1
+        path = b.path[:LEVELS]
+        while depth < len(open_) and depth <= len(path) and open_[depth][0] == path[depth - 1][1]:
+            depth += 1
+        del open_[depth:]
+        for label, number in path[depth - 1 :]:
+            above = open_[-1][1][1]
+            if not above or above[-1][0] != label or label.split(".")[0] not in FLOW:
+                above.append([label, [], []])
+            open_.append((number, above[-1]))
+        open_[-1][1][2].append(i)
+    return _folded(root)
+
+
+def _folded(node: list) -> list:
+    """Three or more like siblings in a row become one repeated node."""
     children: list = []
-    i, j = len(left), len(right)
-    while i or j:
-        if i and j and (i - 1, j - 1) in pair and best[i][j] == best[i - 1][j - 1] + pair[i - 1, j - 1][0]:
-            i, j = i - 1, j - 1
-            children.append(pair[i, j][1])
-        elif i and (not j or best[i][j] == best[i - 1][j]):
-            i -= 1
-            children.append(left[i])
-        else:
-            j -= 1
-            children.append(right[j])
-    own = a[2] if a[2] == b[2] else a[2] or b[2] if "" in (a[2], b[2]) else None
-    others = set(b[5])
-    shared = [k for k in a[5] if k in others] if a[6] and b[6] else a[5] or b[5]
-    return 1 + best[-1][-1], [a[0], a[1] + b[1], own, a[3] + b[3], children[::-1], shared, a[6] + b[6]]
-
-
-def wrapper(template: list) -> tuple[list[str], list[str]]:
-    """What a host's template says: the labels from the root to the slot with the most varying text, and the constant texts' keys with their paths."""
-    constant: list[str] = []
-
-    def varying(node: list, path: str) -> int:
-        if node[6] >= 3:
-            constant.extend(f"{path}\t{k}" for k in node[5])
-        own = node[3] if node[2] is None or node[6] < 3 else 0
-        return own + sum(varying(c, f"{path}/{c[0]}") for c in node[4])
-
-    total = varying(template, "")
-    path, node = [], template
-    while total:
-        weights = [(varying(c, ""), i) for i, c in enumerate(node[4])]
-        top = max(weights, default=(0, 0))
-        if top[0] < 0.7 * total or not node[4][top[1]][4]:
+    kids = [_folded(c) for c in node[1]]
+    i = 0
+    while i < len(kids):
+        j = i
+        while j < len(kids) and kids[j][0] == kids[i][0]:
+            j += 1
+        children += [_united(kids[i:j])] if j - i > 2 else kids[i:j]
+        i = j
+    return [node[0], children, node[2]]
+
+
+def _united(nodes: list) -> list:
+    """One node for a run of like ones: the children by label."""
+    by_label: dict[str, list] = {}
+    for n in nodes:
+        for c in n[1]:
+            by_label.setdefault(c[0], []).append(c)
+    return [nodes[0][0], [c[0] if len(c) == 1 else _united(c) for c in by_label.values()], [i for n in nodes for i in n[2]]]
+
+
+def shape(node: list) -> list:
+    """The tree without its texts."""
+    return [node[0], [shape(c) for c in node[1]]]
+
+
+def matching(a: list, b: list) -> list[tuple[list, list]]:
+    """Simple tree matching of two nodes of equal label: the pairs of nodes of the largest match that keeps order and ancestors."""
+    tables: dict[tuple[int, int], tuple[int, list[list[int]]]] = {}
+
+    def size(x: list, y: list) -> int:
+        k = id(x), id(y)
+        if k not in tables:
+            left, right = x[1], y[1]
+            best = [[0] * (len(right) + 1)]
+            for c in left:
+                above, row = best[-1], [0]
+                for j, d in enumerate(right):
+                    m = max(above[j + 1], row[j])
+                    if c[0] == d[0]:
+                        m = max(m, above[j] + size(c, d))
+                    row.append(m)
+                best.append(row)
+            tables[k] = 1 + best[-1][-1], best
+        return tables[k][0]
+
+    size(a, b)
+    pairs: list[tuple[list, list]] = []
+    todo = [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        pairs.append((x, y))
+        best = tables[id(x), id(y)][1]
+        i, j = len(x[1]), len(y[1])
+        while i and j:
+            c, d = x[1][i - 1], y[1][j - 1]
+            if best[i][j] == best[i - 1][j]:
+                i -= 1
+            elif best[i][j] == best[i][j - 1]:
+                j -= 1
+            else:
+                todo.append((c, d))
+                i, j = i - 1, j - 1
+    return pairs
+
+
+def numbered(node: list) -> dict[int, int]:
+    """The number of each node of a tree, from the root down, by identity."""
+    out: dict[int, int] = {}
+    todo = [node]
+    while todo:
+        x = todo.pop()
+        out[id(x)] = len(out)
+        todo += reversed(x[1])
+    return out
+
+
+def slot(node: list, mass: dict[int, float]) -> int:
+    """The number of the node to read. mass: how much varying text outside links each node has itself. Marks weigh double and class names of boilerplate a tenth."""
+    number = numbered(node)
+
+    def vote(label: str) -> float:
+        tag, *names = label.split(".")
+        if names and set(names) & BOILERPLATE and set(names) <= BOILERPLATE | GENERIC:
+            return 0.1
+        return 2.0 if tag in ("article", "main") or "article" in names else 1.0
+
+    weight: dict[int, float] = {}
+    for x in reversed(list(_nodes(node))):  # children come before their parents
+        weight[id(x)] = vote(x[0]) * (mass.get(number[id(x)], 0.0) + sum(weight[id(c)] for c in x[1]))
+    while node[1]:
+        top = max(node[1], key=lambda c: weight[id(c)])
+        if not top[1] or weight[id(top)] < 0.7 * (mass.get(number[id(node)], 0.0) + sum(weight[id(c)] for c in node[1])):
             break
-        node = node[4][top[1]]
-        path.append(node[0])
-    return path, list(dict.fromkeys(c for c in constant if not c.startswith("\t")))
+        node = top
+    return number[id(node)]
 
 
-def extract(page: str | None, path: list[str] | None, constant: frozenset[str] | None) -> str:
-    """The page's main text."""
-    found = blocks(page)
-    marked = [b for b in found if b[2]]
-    if marked:
-        found = marked
-    elif path:
-        within = [b for b in found if list(b[0][: len(path)]) == path]
-        found = within or found
-    if constant:
-        found = [b for b in found if f"/{'/'.join(b[0])}\t{key(b[1])}" not in constant]
-    return "\n\n".join(text for _, text, _ in found or marked)
+def _nodes(node: list) -> Iterator[list]:
+    todo = [node]
+    while todo:
+        x = todo.pop()
+        yield x
+        todo += reversed(x[1])
 
 
-def _pruned(node: list) -> list:
-    """The same tree without texts that are on too few pages to be constant."""
-    return [*node[:4], [_pruned(c) for c in node[4]], node[5] if node[6] >= 3 else [], node[6]]
+class Wrapper(NamedTuple):
+    reference: list
+    slot: int
+    constant: frozenset[tuple[int, int]]  #: node and key of each template text
 
 
-def host(url: str) -> Column:
-    return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
+def wrapper(reference: str, sums: list) -> Wrapper:
+    """sums: node, mass, keys of template texts."""
+    node = json.loads(reference)
+    return Wrapper(node, slot(node, {s["node"]: s["mass"] for s in sums}), frozenset((s["node"], k) for s in sums for k in s["keys"] or ()))
+
+
+def own_mass(number: dict[int, int], node: list, found: list[Block]) -> dict[int, float]:
+    return {number[id(x)]: float(sum(len(found[i].text) - found[i].links for i in x[2])) for x in _nodes(node) if x[2]}
+
+
+def extract(page: str | None, known: Wrapper | None) -> str:
+    """The page's main text."""
+    found = blocks(page)
+    if not found:
+        return ""
+    own = tree(found)
+    number = numbered(own)
+    constant: set[int] = set()
+    top = None
+    if known:
+        names = numbered(known.reference)
+        for x, y in matching(known.reference, own):
+            n = names[id(x)]
+            if n == known.slot:
+                top = y
+            constant.update(i for i in y[2] if (n, key(found[i].text)) in known.constant)
+    if top is None or not any(x[2] for x in _nodes(top)):
+        at = slot(own, own_mass(number, own, found))
+        top = next(x for x in _nodes(own) if number[id(x)] == at)
+    within = sorted(i for x in _nodes(top) for i in x[2])
+    total = sum(len(found[i].text) for i in within)
+    for doubted, most in ((constant, MOST_TEMPLATE), ({i for i in within if found[i].doubt}, MOST_DOUBT)):
+        if sum(len(found[i].text) for i in within if i in doubted) < most * total:
+            within = [i for i in within if i not in doubted]
+    return "\n\n".join(found[i].text for i in within)
 
 
-_TREES = pa.schema([("host", pa.string()), ("salt", pa.int32()), ("tree", pa.string())])
+def host(url: str) -> Column:
+    return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def _merged(rows: Iterator[tuple[str, list]], most: int = 20_000) -> Iterator[tuple[str, list]]:
-    """One tree per host, and more where many hosts are held at once."""
-    held: dict[str, list] = {}
-    for name, t in rows:
-        held[name] = merge(held[name], t)[1] if name in held else t
-        if len(held) > most:
-            yield from held.items()
-            held = {}
-    yield from held.items()
+def _with_texts(node: list, found: list[Block]) -> list:
+    return [node[0], [_with_texts(c, found) for c in node[1]], [(key(found[i].text), len(found[i].text) - found[i].links) for i in node[2]]]
 
 
-def templates(pages: DataFrame, ways: int = 16) -> DataFrame:
-    """host and its template tree as JSON."""
+def _trees(pages: DataFrame) -> DataFrame:
+    """host, shape and tree (with keys and lengths of texts) of each page, as JSON."""
+    schema = pa.schema([("host", pa.string()), ("shape", pa.string()), ("tree", pa.string())])
 
-    def batch(rows: list[tuple[str, int, list]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([json.dumps(r[2], separators=(",", ":")) for r in rows], pa.string())], schema=_TREES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shapes, trees = [], []
+            for page in b.column(1):
+                found = blocks(page.as_py())
+                t = tree(found)
+                shapes.append(json.dumps(shape(t), separators=(",", ":")))
+                trees.append(json.dumps(_with_texts(t, found), separators=(",", ":")))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shapes, pa.string()), pa.array(trees, pa.string())], schema=schema)
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    return pages.select(host("url").alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(run, "host string, shape string, tree string")
 
-        salt = TaskContext.get().partitionId() % ways
-        pages_of = ((h, tree(page.as_py())) for b in batches for h, page in zip(b.column(0).to_pylist(), b.column(1), strict=True))
-        rows: list[tuple[str, int, list]] = []
-        for name, t in _merged(pages_of):
-            rows.append((name, salt, t))
-            if len(rows) >= 1000:
-                yield batch(rows)
-                rows = []
-        if rows:
-            yield batch(rows)
 
-    def again(batches: Iterator[pa.RecordBatch], last: bool = False) -> Iterator[pa.RecordBatch]:
-        for t in grouped(batches, ["host", "salt"]):
-            trees = zip(t.column("host").to_pylist(), map(json.loads, t.column("tree").to_pylist()), strict=True)
-            rows = [(name, 0, _pruned(x) if last else x) for name, x in _merged(trees, 1 << 40)]
-            if rows:
-                yield batch(rows)
+def _texts(rows: DataFrame) -> DataFrame:
+    """rows: host, tree, reference. Of each page the texts at the reference's nodes: host, node, key, n, length; with key 0 once a page and node."""
+    schema = pa.schema([("host", pa.string()), ("node", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("length", pa.int64())])
 
-    schema = "host string, salt int, tree string"
-    some = pages.select(host("url").alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(own, schema)
-    few = some.repartition("host", "salt").sortWithinPartitions("host", "salt").mapInArrow(again, schema)
-    return few.repartition("host").sortWithinPartitions("host").mapInArrow(lambda batches: again(batches, True), schema).select("host", "tree")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums: dict[tuple[str, int, int], list[int]] = {}
+            for name, page, reference in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                ref = json.loads(reference)
+                names = numbered(ref)
+                for x, y in matching(ref, json.loads(page)):
+                    if y[2]:
+                        for k, length in [(0, 0), *dict.fromkeys(map(tuple, y[2]))]:
+                            row = sums.setdefault((name, names[id(x)], k), [0, 0])
+                            row[0] += 1
+                            row[1] += length
+            keys = list(sums)
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], schema.types[i]) for i in range(3)] + [pa.array([sums[k][i] for k in keys], pa.int64()) for i in range(2)], schema=schema)
+
+    return rows.select("host", "tree", "reference").mapInArrow(run, "host string, node int, key long, n long, length long")
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """host, reference (its most common tree) and sums: node, mass of varying text, keys of template texts."""
+    trees = cut(_trees(pages).groupBy("host", F.xxhash64("tree").alias("copy"), "tree").agg(F.min("shape").alias("shape")))
+    shapes = trees.groupBy("host", "shape").agg(F.count("*").alias("n"))
+    references = shapes.groupBy("host").agg(F.max_by("shape", F.struct("n", F.length("shape"), "shape")).alias("reference"))
+    texts = cut(_texts(trees.join(references, "host")).groupBy("host", "node", "key").agg(F.sum("n").alias("n"), F.sum("length").alias("length")))
+    nodes = texts.groupBy("host", "node").agg(F.sum(F.when(F.col("key") == 0, F.col("n"))).alias("pages"), F.sum("length").alias("length"))
+    often = texts.where((F.col("key") != 0) & (F.col("n") >= LEAST_PAGES)).join(nodes.select("host", "node", "pages"), ["host", "node"]).where(F.col("n") >= SHARE * F.col("pages"))
+    often = often.groupBy("host", "node").agg(F.collect_list("key").alias("keys"), F.sum("length").alias("constant"))
+    each = nodes.join(often, ["host", "node"], "left").withColumn("mass", (F.col("length") - F.coalesce("constant", F.lit(0))).cast("double"))
+    return each.groupBy("host").agg(F.collect_list(F.struct("node", "mass", "keys")).alias("sums")).join(references, "host")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -329,21 +446,18 @@ def main_text(pages: DataFrame) -> DataFrame:
     out = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[list[str], frozenset[str]]] = {}
+        held: dict[str, Wrapper] = {}
         for b in batches:
             texts = []
-            for page, template in zip(b.column(2), b.column(3).to_pylist(), strict=True):
-                if template is not None and template not in known:
-                    if len(known) > 1000:
-                        known.clear()
-                    path, constant = wrapper(json.loads(template))
-                    known[template] = path, frozenset(constant)
-                texts.append(extract(page.as_py(), *known.get(template, (None, None))))
+            for page, name, reference, sums in zip(b.column(2), b.column(3).to_pylist(), b.column(4), b.column(5), strict=True):
+                if name not in held and reference.is_valid:
+                    if len(held) > 1000:
+                        held.clear()
+                    held[name] = wrapper(reference.as_py(), sums.as_py())
+                texts.append(extract(page.as_py(), held.get(name)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=out)
 
-    # a host with a large share of all pages would be one task: its pages are dealt out, with a copy of its tree for each part
-    parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
-    trees = templates(pages).withColumn("part", parts)
-    dealt = pages.withColumns({"host": host("url"), "part": F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS)).cast("int")})
-    made = dealt.join(trees, ["host", "part"], "left").select("page_id", "url", "html", "tree")
+    known = cut(wrappers(pages))
+    size = known.agg(F.sum(F.octet_length("reference") + F.size("sums") * 32)).first()[0] or 0
+    made = pages.withColumn("host", host("url")).join(F.broadcast(known) if size <= BROADCAST else known, "host", "left").select("page_id", "url", "html", "host", "reference", "sums")
     return made.mapInArrow(run, "page_id long, url string, text string, n_chars long")
