@@ -87,6 +87,24 @@ def test_near_duplicates(spark, monkeypatch, blocks):
     assert {r.doc_id: r.n_shingles for r in got}[8] == len(shingles(texts[8], 3))
 
 
+def test_near_duplicates_of_a_template(spark):
+    """Thousands of texts that share three quarters of their words, and a few links among them: none is lost, and texts part company."""
+    r = np.random.default_rng(9)
+    same = [f"t{i}" for i in range(150)]
+    own = lambda i: [f"o{i}x{j}" for j in range(50)]
+    texts = [" ".join(same + own(i)) for i in range(4000)]
+    texts += [" ".join([*texts[i].split()[:-6], *[f"z{i}y{j}" for j in range(6)]]) for i in range(0, 4000, 40)]
+    order = r.permutation(len(texts))
+    d = docs(spark, [(int(i), texts[j]) for i, j in enumerate(order)])
+    signed = near_dup.signatures(d.select("doc_id", "text"), 3)
+    found = near_dup.candidate_links(signed.select("doc_id", "n", "regs"), 0.85 - near_dup.MARGIN).count()
+    assert found < 2 * len(texts)
+    place = np.argsort(order)
+    want = {(min(a, b), max(a, b)) for i in range(100) for a, b in [(int(place[40 * i]), int(place[4000 + i]))]}
+    got = {(r.component_id, r.doc_id) for r in near_dup.near_duplicates(d, k=3, percent=85).where("not kept").collect()}
+    assert got == want
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     assert [r.component_id for r in near_dup.near_duplicates(docs(spark, [None, ""])).orderBy("doc_id").collect()] == [0, 1]

@@ -5,12 +5,18 @@ truncated minima on an exponential scale (``floor(1 - log_b(min))``): the sketch
 of a union is the element-wise maximum, and equal sets have equal sketches.
 Bands of ``ROWS`` register values are bucket keys. Within a bucket the joint
 likelihood of two sketches (how many registers are larger, smaller, equal)
-estimates the Jaccard similarity; documents that may be similar form candidate
+estimates the Jaccard similarity; documents whose estimate is no more than
+``MARGIN`` (over four standard errors) below the threshold form candidate
 clusters. Within a cluster links are confirmed on the full sets.
 
 Scale. Equal sets are one class before anything is compared, so copies never
-meet each other. Large buckets are split by a salt and joined through their
-centres. Clusters are compared in blocks of bounded size: first each block
+meet each other. A bucket is compared in parts of ``BUCKET`` rows, dealt out
+anew for every band. A part compares whatever isn't in its largest cluster with
+all of the part, so a group of near copies costs one comparison a row. One row
+of each of its clusters goes on: to a bucket of those, or, where these are too
+many (texts of one template that aren't near each other), to ``DEEPER`` buckets
+by further registers, until all fit. So texts below the threshold part company
+rather than pile up. Clusters are compared in blocks of bounded size: first each block
 within itself and with the cluster's centre; then only what is not yet in the
 cluster's largest component is compared with the other blocks. No pairs of a
 group are listed; what each block returns is at most a link per document.
@@ -31,23 +37,23 @@ from pyspark.sql import functions as F
 from tidemark.llm.components import components
 from tidemark.llm.textkit import LOWER, chunks, cut, grouped, mix, shingle_sets, word_hashes, words
 
-REGISTERS = 128
+REGISTERS = 256
 #: Base of the exponential scale; register values fit a byte for 32-bit minima.
 BASE = 1.1
 ROWS = 6
 BANDS = 40
-#: Sketches that may be similar by this estimate or more are in one cluster; beyond the second, one need not be a centre.
-MAYBE, SURELY = 0.4, 0.75
+#: Sketches whose estimate is at most so far below the threshold are in one cluster.
+MARGIN = 0.12
 #: Most documents and shingles of a block.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 400_000
-#: Rows of one bucket that are compared in one task.
-BUCKET = 4096
+#: Rows of a bucket that are compared together, and the buckets by further registers that a row of a fuller one goes to.
+BUCKET, DEEPER = 512, 8
 
 _RNG = np.random.default_rng(77)
 _A = (_RNG.integers(0, 2**31, REGISTERS, dtype=np.uint64) * 2 + 1).astype(np.uint32)[:, None]
 _B = _RNG.integers(0, 2**32, REGISTERS, dtype=np.uint64).astype(np.uint32)[:, None]
-#: Each band's registers: dealt out twice.
-_DEALT = np.concatenate([_RNG.permutation(REGISTERS)[: REGISTERS // ROWS * ROWS].reshape(-1, ROWS) for _ in range(2)])[:BANDS]
+#: Each band's registers.
+_DEALT = _RNG.permutation(REGISTERS)[: BANDS * ROWS].reshape(BANDS, ROWS)
 
 
 def sketch(items: np.ndarray) -> np.ndarray:
@@ -106,9 +112,18 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, regs binary")
 
 
+def _packed(regs: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    packed = np.zeros(len(regs), np.uint64)
+    for c in columns:
+        packed = (packed << np.uint64(8)) | regs[:, c].astype(np.uint64)
+    return packed
+
+
+_KEYED = pa.schema([("key", pa.int64()), ("doc_id", pa.int64())])
+
+
 def _band_keys(classes: DataFrame) -> DataFrame:
     """key, doc_id for each band of each class."""
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64())])
     salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,42 +131,65 @@ def _band_keys(classes: DataFrame) -> DataFrame:
             if b.num_rows:
                 regs = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, REGISTERS)
                 for i, cols in enumerate(_DEALT):
-                    packed = np.zeros(len(regs), np.uint64)
-                    for c in cols:
-                        packed = (packed << np.uint64(8)) | regs[:, c].astype(np.uint64)
-                    yield pa.RecordBatch.from_arrays([pa.array(mix(packed ^ salt[i]).view(np.int64)), b.column(0)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(mix(_packed(regs, cols) ^ salt[i]).view(np.int64)), b.column(0)], schema=_KEYED)
 
     return classes.select("doc_id", "regs").mapInArrow(run, "key long, doc_id long")
 
 
-def _compare_bucket(docs: np.ndarray, n: np.ndarray, regs: np.ndarray, first: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
-    """Links that join whatever may be similar in a bucket, and its centres. first: each row's estimate with row 0."""
-    links = [(int(docs[i]), int(docs[0])) for i in np.flatnonzero(first >= MAYBE) if i]
-    of = np.where(first >= MAYBE, 0, -1)
-    done = first >= SURELY
-    done[0] = True
-    centres = [int(docs[0])]
-    while not done.all():
-        c = int(np.argmin(done))
-        centres.append(int(docs[c]))
-        est = similarity(regs[c], n[c], regs, n)
-        if of[c] < 0:
-            of[c] = c
-        near = est >= MAYBE
-        for other in set(of[near].tolist()) - {of[c]}:
-            if other >= 0:
-                links.append((int(docs[other]), int(docs[c])))
+def _next_keys(rows: DataFrame, depth: int) -> DataFrame:
+    """rows: key, many, doc_id, regs. One bucket for the rows of a key that fit in one, else ``DEEPER`` by further registers."""
+    rng = np.random.default_rng(1000 + depth)
+    columns = [rng.permutation(REGISTERS)[:ROWS] for _ in range(DEEPER)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, many = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(zero_copy_only=False)
+            regs = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(-1, REGISTERS)
+            one = pa.array(~many)
+            yield pa.RecordBatch.from_arrays([pa.array(mix(key[~many] + np.uint64(depth)).view(np.int64)), b.column(2).filter(one)], schema=_KEYED)
+            docs = b.column(2).filter(pa.array(many))
+            for i, cols in enumerate(columns):
+                deep = mix(mix(key[many] + np.uint64(i + 1)) ^ _packed(regs[many], cols))
+                yield pa.RecordBatch.from_arrays([pa.array(deep.view(np.int64)), docs], schema=_KEYED)
+
+    return rows.select("key", "many", "doc_id", "regs").mapInArrow(run, "key long, doc_id long")
+
+
+def _near(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, least: float) -> np.ndarray:
+    """Whether pairs have an estimate of least or more; only those with nearly as many equal registers are estimated."""
+    ok = (a == b).sum(axis=-1) >= (least - 0.06) * REGISTERS
+    if ok.any():
+        of = lambda x: np.broadcast_to(x, (len(ok), *np.shape(x)[1:]) if np.ndim(x) == 2 else (len(ok),))[ok]
+        ok[ok] = similarity(of(a), of(n_a), of(b), of(n_b)) >= least
+    return ok
+
+
+def _compare_bucket(docs: np.ndarray, n: np.ndarray, regs: np.ndarray, first: np.ndarray, least: float) -> tuple[list[tuple[int, int]], list[int]]:
+    """Links that join whatever may be similar among rows, and one row of each cluster. first: whether each row may be similar to row 0."""
+    links = [(int(docs[i]), int(docs[0])) for i in np.flatnonzero(first) if i]
+    of = np.where(first, 0, np.arange(len(docs)))
+    of[0] = 0
+    asked = np.zeros(len(docs), bool)
+    asked[0] = True
+    while True:
+        # pairs within the largest cluster need no answer; of all others one side is asked
+        todo = np.flatnonzero(~asked & (of != np.bincount(of).argmax()))
+        if not len(todo):
+            break
+        c = int(todo[0])
+        asked[c] = True
+        near = np.flatnonzero(_near(regs[c][None], n[c : c + 1], regs, n, least))
+        for other in np.unique(of[near]).tolist():
+            if other != of[c]:
+                links.append((int(docs[near[of[near] == other][0]]), int(docs[c])))
                 of[of == other] = of[c]
-        fresh = near & (of < 0)
-        links += [(int(docs[i]), int(docs[c])) for i in np.flatnonzero(fresh)]
-        of[fresh] = of[c]
-        done |= est >= SURELY
-        done[c] = True
-    return links, centres
+    return links, docs[np.unique(of)].tolist()
 
 
-def _bucket_pass(rows: DataFrame) -> DataFrame:
-    """rows: key, salt, n_salts, doc_id, n, regs. Returns u, v of links (key null), and the centres u of salted buckets (with key)."""
+def _bucket_pass(rows: DataFrame, least: float) -> DataFrame:
+    """rows: key, salt, n_salts, doc_id, n, regs. Returns u, v of links (key null), and of buckets in several parts a row u of each cluster (with key)."""
     schema = pa.schema([("key", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,45 +197,52 @@ def _bucket_pass(rows: DataFrame) -> DataFrame:
             key, salt, parts, docs, n = (t.column(c).to_numpy() for c in ("key", "salt", "n_salts", "doc_id", "n"))
             regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint8).reshape(-1, REGISTERS)
             at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])]))
-            head = np.repeat(at, np.diff(np.append(at, len(key))))
-            first = np.concatenate([similarity(regs[i : i + 4096], n[i : i + 4096], regs[head[i : i + 4096]], n[head[i : i + 4096]]) for i in range(0, len(key), 4096)])
-            first[at] = 1.0
-            simple = np.minimum.reduceat(first, at) >= SURELY  # groups that are near their first row
-            whole = np.repeat(simple, np.diff(np.append(at, len(key)))) & (head != np.arange(len(key)))
+            ends = np.append(at[1:], len(key))
+            head = np.repeat(at, ends - at)
+            first = np.concatenate([_near(regs[i : i + 4096], n[i : i + 4096], regs[head[i : i + 4096]], n[head[i : i + 4096]], least) for i in range(0, len(key), 4096)])
+            first[at] = True
+            simple = np.logical_and.reduceat(first, at)  # groups that are near their first row
+            whole = np.repeat(simple, ends - at) & (head != np.arange(len(key)))
             keys: list[int | None] = [None] * int(whole.sum())
             us, vs = docs[whole].tolist(), docs[head[whole]].tolist()
-            for g in np.flatnonzero(simple & (parts[at] > 1)).tolist():
-                keys.append(int(key[at[g]]))
-                us.append(int(docs[at[g]]))
-                vs.append(int(docs[at[g]]))
-            ends = np.append(at[1:], len(key))
+            some = at[simple & (parts[at] > 1)]
+            keys += key[some].tolist()
+            us += docs[some].tolist()
+            vs += docs[some].tolist()
             for g in np.flatnonzero(~simple).tolist():
                 i, j = at[g], ends[g]
-                links, centres = _compare_bucket(docs[i:j], n[i:j], regs[i:j], first[i:j])
+                links, go_on = _compare_bucket(docs[i:j], n[i:j], regs[i:j], first[i:j], least)
                 keys += [None] * len(links)
                 us += [x[0] for x in links]
                 vs += [x[1] for x in links]
                 if parts[i] > 1:
-                    keys += [int(key[i])] * len(centres)
-                    us += centres
-                    vs += centres
+                    keys += [int(key[i])] * len(go_on)
+                    us += go_on
+                    vs += go_on
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(us, pa.int64()), pa.array(vs, pa.int64())], schema=schema)
 
     return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "doc_id").mapInArrow(run, "key long, u long, v long")
 
 
-def candidate_links(classes: DataFrame) -> DataFrame:
-    """u, v: links that put classes which may be similar into one cluster. classes: doc_id, n, regs."""
+def candidate_links(classes: DataFrame, least: float) -> DataFrame:
+    """u, v: links that put classes whose estimate is least or more into one cluster. classes: doc_id, n, regs."""
     keys = _band_keys(classes)
-    size = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").withColumn("n_salts", F.ceil(F.col("size") / BUCKET).cast("int"))
-    # the members of buckets with company, then their sketches
-    rows = keys.join(size, "key").withColumn("salt", F.when(F.col("n_salts") > 1, F.pmod(F.xxhash64("doc_id"), "n_salts").cast("int")).otherwise(0)).join(classes, "doc_id")
-    found = cut(_bucket_pass(rows.select("key", "salt", "n_salts", "doc_id", "n", "regs")))
-    centres = found.where("key is not null").select("key", F.col("u").alias("doc_id")).distinct()
-    if not centres.isEmpty():
-        more = centres.join(classes, "doc_id").select("key", F.lit(0).alias("salt"), F.lit(1).alias("n_salts"), "doc_id", "n", "regs")
-        found = found.unionByName(_bucket_pass(more))
-    return found.where("key is null").select("u", "v").distinct()
+    links = None
+    depth = 0
+    while True:
+        size = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").withColumn("n_salts", F.ceil(F.col("size") / BUCKET).cast("int"))
+        # the members of buckets with company, then their sketches
+        rows = keys.join(size, "key").withColumn("salt", F.when(F.col("n_salts") > 1, F.pmod(F.xxhash64("doc_id", "key"), "n_salts").cast("int")).otherwise(0)).join(classes, "doc_id")
+        found = cut(_bucket_pass(rows.select("key", "salt", "n_salts", "doc_id", "n", "regs"), least))
+        new = found.where("key is null").select("u", "v")
+        links = new if links is None else links.unionByName(new)
+        on = found.where("key is not null").select("key", F.col("u").alias("doc_id")).distinct()
+        if on.isEmpty():
+            return links.distinct()
+        # each bucket has fewer rows than before, and in the end all fit: rows that no further register tells apart are one cluster
+        depth += 1
+        many = on.groupBy("key").agg((F.count("*") > BUCKET).alias("many"))
+        keys = cut(_next_keys(on.join(many, "key").join(classes, "doc_id"), depth))
 
 
 class _Sets:
@@ -299,8 +344,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sets = signed.where("n > 0 and doc_id is not null")
     equal = sets.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
     members = sets.join(equal, ["s1", "s2", "n"])
-    classes = cut(members.where("doc_id = rep").groupBy("doc_id", "n").agg(F.max("regs").alias("regs")))
-    clusters = components(candidate_links(classes)).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")).join(classes.select("doc_id", "n"), "doc_id")
+    classes = cut(members.where("doc_id = rep").groupBy("doc_id", "s1", "s2", "n").agg(F.first("regs").alias("regs")))  # equal sets have equal registers
+    weights = classes.groupBy("doc_id").agg(F.sum("n").alias("n"))
+    clusters = components(candidate_links(classes, percent / 100 - MARGIN)).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")).join(weights, "doc_id")
     near = links(docs, clusters, k, percent)
     edges = near.unionByName(members.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
     comp = components(edges).select(F.col("node").alias("doc_id"), "component")
