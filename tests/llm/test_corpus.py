@@ -210,14 +210,27 @@ def test_nearest_of_few_and_awkward(spark):
 
 
 def test_toxicity(spark):
-    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    """Held-out texts: most toxic ones found, hardly a false one."""
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     got = {r.doc_id: r for r in toxicity.classify(clashing(d), labels).collect()}
     truth = {r.doc_id: r.toxic for r in labels.collect()}
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for i, r in got.items())
     held = [i for i in truth if got[i].held_out]
-    right = sum(got[i].predicted == truth[i] for i in held) / len(held)
-    assert right >= 0.9 and all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r.score <= 1 for i, r in got.items())
-    assert all(truth[i] or not got[i].predicted for i in held)
+    found = [i for i in held if got[i].predicted]
+    right = sum(truth[i] for i in found)
+    assert right >= 0.85 * sum(truth[i] for i in held) and right >= 0.95 * len(found)
+
+
+@pytest.mark.parametrize("rank", [0, 8])
+def test_toxicity_of_neutral_parts(spark, rank):
+    """Two words that are as common in clean texts make toxic ones together (or when both lack): a machine without factors can't tell."""
+    texts = [" ".join(np.random.default_rng(i).permutation([*words(8, i).split(), *["blarg"] * (i & 1), *["quimly"] * (i >> 1 & 1)])) for i in range(3000)]
+    d = docs(spark, texts)
+    labels = spark.createDataFrame([(i, 1, int((i & 1) == (i >> 1 & 1))) for i in range(3000)], "doc_id long, quality int, toxic int")
+    held = [r for r in toxicity.classify(d, labels, rank=rank).collect() if r.held_out]
+    right = sum(r.predicted == ((r.doc_id & 1) == (r.doc_id >> 1 & 1)) for r in held) / len(held)
+    assert right > 0.95 if rank else right < 0.8
 
 
 def test_toxicity_without_labels(spark):

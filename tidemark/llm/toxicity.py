@@ -1,8 +1,10 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are a text's words (letters, digits and non-ASCII characters, A-Z
-lower-cased) and their beginnings, hashed into ``2**18`` buckets. Buckets that
-stand clearly more often in toxic training texts than in others become features; a
+lower-cased) and their beginnings, hashed into ``2**18`` buckets. Features are
+the buckets that stand clearly more often in toxic training texts, or in
+others, and both parts of each pair of frequent buckets that stands together
+more often in toxic texts than either part alone lets expect; a
 factorization machine (bias, a weight per feature, and a ``rank``-vector per
 feature whose inner products weigh pairs of features) is trained on them with
 Adam on the logistic loss. Pairs thus count in their own right, beyond what
@@ -108,7 +110,7 @@ def train_machine(x: np.ndarray, y: np.ndarray, importance: np.ndarray, feature:
     return Machine(feature, float(p[0][0]), p[1], p[2])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, features: int = 1024, least_texts: int = 6, least_z: float = 5.0, least_lift: float = 2.0, rank: int = 8) -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, features: int = 1024, least_texts: int = 6, least_z: float = 5.0, least_lift: float = 2.0, rank: int = 8, pair_terms: int = 1536) -> Machine:
     """A machine for ``labels.toxic``, from docs (doc_id, text)."""
     chosen, n = sampled_labels(labels, sample)
     prior = float(np.log((n[1] + 0.5) / (n[0] + 0.5)))
@@ -122,21 +124,50 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, features: int
     n0, n1 = size.get(0, 0), size.get(1, 0)
     if not n0 or not n1:
         return Machine(number, prior, np.zeros(0), np.zeros((0, rank)))
-    seen = terms.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum(1 - F.col("toxic")).alias("d0"), F.sum("toxic").alias("d1")).where(F.col("d1") >= least_texts).toArrow()  # at most 2**18 rows
-    p0, p1 = seen["d0"].to_numpy() / n0, seen["d1"].to_numpy() / n1
-    p = (seen["d0"].to_numpy() + seen["d1"].to_numpy()) / (n0 + n1)
-    z = (p1 - p0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n0 + 1 / n1))
-    best = np.lexsort((seen["term"].to_numpy(), -z))[:features]
-    best = best[(z[best] >= least_z) & (p1[best] >= least_lift * p0[best])]
-    number[seen["term"].to_numpy()[best]] = np.arange(len(best))
-    rows = _picked(terms, number).toArrow()  # at most 2 * sample rows
+    seen = terms.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum(1 - F.col("toxic")).alias("d0"), F.sum("toxic").alias("d1")).where(F.col("d0") + F.col("d1") >= least_texts).toArrow().sort_by("term")  # at most 2**18 rows
+    term, d0, d1 = (seen[c].to_numpy() for c in ("term", "d0", "d1"))
+    p0, p1 = d0 / n0, d1 / n1
+    z = _lean(p0, p1, n0, n1)
+    toxic = np.flatnonzero((d1 >= least_texts) & (z >= least_z) & (p1 >= least_lift * p0))
+    clean = np.flatnonzero((z <= -least_z) & (p0 >= least_lift * p1))
+    chosen_ = np.concatenate([toxic[np.argsort(-z[toxic], kind="stable")][: features // 2], clean[np.argsort(z[clean], kind="stable")][: features // 4]])
+    usual = np.argsort(-(d0 + d1), kind="stable")[:pair_terms]
+    some = np.unique(np.concatenate([chosen_, usual]))
+    number[term[some]] = np.arange(len(some))
+    rows = _picked(terms, number).toArrow()  # at most 2 * sample rows, of at most pair_terms + features numbers
     ordered = sorted(zip(rows.column("toxic").to_pylist(), rows.column("features").to_pylist(), strict=True))  # in whatever order they came
-    x = np.zeros((len(ordered), len(best)), np.uint8)
+    x = np.zeros((len(ordered), len(some)), np.uint8)
     for i, (_, f) in enumerate(ordered):
         x[i, f] = 1
     y = np.array([t for t, _ in ordered], np.float64)
+    at = np.searchsorted(some, usual)
+    pairs = usual[_paired(x[:, at], y, z[usual], least_texts, least_z, least_lift, features // 8)] if len(usual) else usual
+    kept = np.unique(np.concatenate([chosen_, pairs]))
+    number[:] = -1
+    number[term[kept]] = np.arange(len(kept))
     importance = np.where(y == 1, n[1] / n1, n[0] / n0) * (n0 + n1) / (n[0] + n[1])
-    return train_machine(x, y, importance, number, prior, rank)
+    return train_machine(np.ascontiguousarray(x[:, np.searchsorted(some, kept)]), y, importance, number, prior, rank)
+
+
+def _lean(p0: np.ndarray, p1: np.ndarray, n0: int, n1: int) -> np.ndarray:
+    """How many standard errors the share among toxic texts is above that among others."""
+    p = (p0 * n0 + p1 * n1) / (n0 + n1)
+    return (p1 - p0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n0 + 1 / n1))
+
+
+def _paired(x: np.ndarray, y: np.ndarray, z: np.ndarray, least_texts: int, least_z: float, least_lift: float, most: int) -> np.ndarray:
+    """Columns of x whose joint presence with another column leans toxic clearly more than either does alone, of the most such pairs."""
+    both = np.zeros((2, x.shape[1], x.shape[1]), np.float32)
+    for i in range(0, len(x), 2000):
+        for label in (0, 1):
+            a = x[i : i + 2000][y[i : i + 2000] == label].astype(np.float32)
+            both[label] += a.T @ a
+    n0, n1 = float((y == 0).sum()), float((y == 1).sum())
+    gain = _lean(both[0] / n0, both[1] / n1, n0, n1) - np.maximum(z[:, None], z[None, :])
+    ok = (both[1] >= least_texts) & (both[1] / n1 >= least_lift * both[0] / n0) & (gain >= least_z)
+    a, b = np.nonzero(np.triu(ok, 1))
+    best = np.argsort(-gain[a, b], kind="stable")[:most]
+    return np.unique(np.concatenate([a[best], b[best]]))
 
 
 def _picked(terms: DataFrame, number: np.ndarray) -> DataFrame:
