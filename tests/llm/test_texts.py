@@ -43,8 +43,35 @@ def test_secret_assignments():
     assert found("client-secret => 'k3yVal_88xZq'") == ["k3yVal_88xZq"]
     assert found('color = "k3yVal_88xZq"\nprivate_key: changeme') == []
     assert found("password=${PW}") == [] and found("x = y = z") == []
-    assert secret_scan.mask('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" x') == '[ASSIGN_REMOVED]" x'
+    assert secret_scan.mask('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" x') == 'token = "[ASSIGN_REMOVED]" x'
     assert len(secret_scan.scan_text("secret=" * 3000)[0]) == 1  # linear in the text
+    for hostile in ("x=f(" * 20_000, 'x="""' * 20_000, "x: " * 20_000, '<a b="' * 20_000, "<a>b" * 20_000, "key='" * 20_000, "x=(\n" * 20_000, 'x="a"+' * 20_000):
+        secret_scan.scan_text(hostile)
+
+
+@pytest.mark.parametrize(
+    "snippet",
+    [
+        'os.environ["API_KEY"] = "{}"', 'const apiKey: string = "{}";', 'SECRET_TOKEN = """{}"""', 'password = decrypt("{}")', 'pwd = ("{}"\n  "tail9")', 'client_secret = "{}" +\n  "tail9"', "<password>{}</password>",
+        '<add key="ApiKey" value="{}"/>', "db:\n  password: {}\n", '{{"auth": {{"client_secret": "{}"}}}}', "export AWS_SECRET_ACCESS_KEY={}", "private_key => '{}'", 'authToken := "{}"', 'x = "{}"\ncfg["signing-key"] = x', "api_key: Optional[str] = '{}'", "c = connect(host, user='x', password='{}')", "key = api_secret = wrap(str('{}'))",
+    ],
+)
+def test_secret_syntaxes(snippet):
+    value = "k3yVal88xZq7"
+    text = snippet.format(value)
+    assert value in [text[a:b] for k, a, b in secret_scan.scan_text(text)[1] if k == "literal"]
+    assert value not in secret_scan.mask(text)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "password = getPassword()", "token = self.request.token", 'api_key = os.getenv("SERVICE_API_KEY")', "secret = config.secret_name", "password: String", "auth_token = request.headers['X-Auth-Token']", 'title = "k3yVal88xZq7"', "let password = readLine(stdin);", "the password: please ask someone",
+        "if token == other_token:", "password=changeme-changeme", "<password></password>", "a secret: very_long_words_here",
+    ],
+)
+def test_secret_negatives(text):
+    assert [text[a:b] for k, a, b in secret_scan.scan_text(text)[1] if k == "literal"] == []
 
 
 def test_secret_built_of_many_pieces():
@@ -79,6 +106,22 @@ def test_license_labels_of_long_expressions():
         assert licenses.scan_text(f"SPDX-License-Identifier: {expression}")["labels"] == ",".join(sorted(x.lower() for x in names[:n]))
 
 
+def test_license_labels_against_alternatives():
+    """The licences of an expression are those of all its alternatives, worked out one by one."""
+    r = random.Random(6)
+
+    def grown(depth):
+        if not depth or r.random() < 0.3:
+            return r.choice(["MIT", "GPL-2.0", "BSD-3-Clause", "GPL-2.0 WITH Classpath-exception-2.0", "Zlib", "0BSD"])
+        return f"({grown(depth - 1)} {r.choice(['AND', 'OR', 'or', 'and'])} {grown(depth - 1)})"
+
+    for _ in range(300):
+        tokens = licenses.postfix(e := grown(3))
+        ways, whole = licenses.evaluate(tokens)
+        assert whole and licenses.licences(tokens) == (set().union(*ways), True)
+        assert licenses.scan_text(f"SPDX-License-Identifier: {e}")["labels"] == ",".join(sorted(set().union(*ways)))
+
+
 def plain_places(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)

@@ -2,10 +2,14 @@
 
 Three fixed base kinds are found by pattern (``assign``, ``access``, ``hex``).
 On top, every assignment in source or configuration syntax (``name = expr``,
-``name: expr``, ``"name": expr``, ``name := expr``, ``name => expr``) is lexed
-into a target name and the literals on its right-hand side. Names already
-assigned are constants and are followed (``a = "x"; password = a + "y"``
-reports both literals). A literal is reported (kind ``literal``) when the
+``name: expr``, ``"name": expr``, ``name := expr``, ``name => expr``,
+``x["name"] = expr``, ``name: type = expr``, ``<name>text</name>``,
+``key="name" value="text"``) is lexed into a target name and the literals on its
+right-hand side: quoted ones (also triple-quoted, over several lines where a
+``+`` or parenthesis says so, and as arguments of calls) and bare ones. Bare
+words that read as a reference (``self.request.token``, ``getPassword``) are no
+literals. Names already assigned are constants and are followed
+(``a = "x"; password = a + "y"`` reports both literals). A literal is reported (kind ``literal``) when the
 weight of the sensitive words in its target's name, times a factor for how
 secret-like the whole value is, reaches ``min_score``.
 
@@ -18,6 +22,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
@@ -32,12 +38,21 @@ _BASE_ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # 16 or more with the prefix; a
 _BASE_HEX = re.compile(r"[0-9a-f]{32,}")
 
 _OPERATOR = re.compile(r":=|=>|[=:]")
-_TERM = re.compile(r"[ \t]*(?:\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z0-9_+/.\-=~$@%{}<>!*#]+))")
-_PLUS = re.compile(r"[ \t]*[+.]?[ \t]*(?=[\"'])|[ \t]*\+[ \t]*")
+_QUOTED = r"\"\"\"(.*?)\"\"\"|'''(.*?)'''|\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'"
+_TERM = re.compile(rf"[ \t]*(?:(?<![A-Za-z0-9_])(?:[rbfu]{{1,2}}(?=[\"']))?(?:{_QUOTED})|([A-Za-z0-9_+/.\-=~$@%{{}}<>!*#]+))", re.DOTALL)
+_ARGUMENT = re.compile(rf"{_QUOTED}|[()\n=:]", re.DOTALL)
+_PLUS = re.compile(r"[ \t]*[+.]?[ \t]*(?=[\"'])|[ \t]*\+[ \t]*(?:\r?\n[ \t]*)?")
+_PLUS_WITHIN = re.compile(r"\s*[+.]?\s*(?=[\"'])|\s*\+\s*")
+#: A type between a name and its value.
+_TYPED = re.compile(r":[ \t]*[A-Za-z_][A-Za-z0-9_.<>\[\]|, ?]{0,80}?[ \t]*=(?![=>])")
+_ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:-]*)(?: [^<>]*)?>[ \t]*([^<>\s]+)[ \t]*</")
+_PAIR = re.compile(r"\b(?:key|name)=[\"']([^\"'\n]+)[\"'][ \t]+value=[\"']([^\"'\n]+)[\"']", re.IGNORECASE)
+#: Bare words that are references rather than values: plain words, with digits at their ends at most, joined by dots and dashes.
+_REFERENCE = re.compile(r"[A-Za-z_]+[0-9]{0,2}(?:[._-]+[A-Za-z_]*[0-9]{0,2})*\Z")
 _NAME_CHAR = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.-")
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*\Z")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-_PLACEHOLDER = re.compile(r"(?i)x{4,}|\*{3,}|\.{3,}|\$\{|\{\{|<[a-z_ -]*>|change_?me|example|placeholder|your[_-]|\Anull\Z|\Anone\Z|\Atrue\Z|\Afalse\Z|\Aundefined\Z|\A(.)\1*\Z")
+_PLACEHOLDER = re.compile(r"(?i)\[[a-z]+_removed\]|x{4,}|\*{3,}|\.{3,}|\$\{|\{\{|<[a-z_ -]*>|change_?me|example|placeholder|your[_-]|\Anull\Z|\Anone\Z|\Atrue\Z|\Afalse\Z|\Aundefined\Z|\A(.)\1*\Z")
 #: Those of them that make no difference by where they stand, so that a longer value keeps them.
 _PLACEHOLDER_WITHIN = re.compile(_PLACEHOLDER.pattern.split(r"|\Anull", 1)[0])
 
@@ -130,15 +145,74 @@ class Value:
         return _mixed(self.counts, self.n)
 
 
-def assignments(text: str) -> Iterator[tuple[str, list[tuple[str | None, str, int, int]]]]:
-    """Name and right-hand terms, in order: (identifier or None, literal value, start, end) of each."""
+class Term(NamedTuple):
+    name: str | None  #: of a bare word that may have been assigned
+    value: str
+    start: int
+    literal: bool  #: whether it stands for itself if it wasn't
+
+
+def _quoted(m: re.Match) -> tuple[str, int] | None:
+    g = next((g for g in range(1, 5) if m[g] is not None), 0)
+    return (m[g], m.start(g)) if g else None
+
+
+def _arguments(text: str, at: int) -> tuple[list[Term], int]:
+    """The quoted arguments of a call that opens at a place, and where they end: with its parenthesis or line, or before the next operator, which has a target of its own."""
+    terms: list[Term] = []
+    depth = 1
+    while depth and (m := _ARGUMENT.search(text, at)):
+        if m[0] in "\n=:":
+            break
+        at = m.end()
+        if q := _quoted(m):
+            if not re.fullmatch(r"[A-Z0-9_]+", q[0]):  # a name to look up
+                terms.append(Term(None, *q, True))
+        else:
+            depth += 1 if m[0] == "(" else -1
+    return terms, at
+
+
+def _right(text: str, at: int) -> tuple[list[Term], int]:
+    """The terms of a right-hand side, and where it ends; with a call it ends where the call opens, as its arguments may be assignments."""
+    terms: list[Term] = []
+    call = None
+    opened = re.compile(r"[ \t]*\(\s*").match(text, at)
+    plus = _PLUS_WITHIN if opened else _PLUS
+    at = opened.end() if opened else at
+    while t := _TERM.match(text, at):
+        if q := _quoted(t):
+            at = t.end()
+            if q[0]:
+                terms.append(Term(None, *q, True))
+        else:
+            bare = t[5].rstrip(".")
+            at = t.end()
+            if text[at : at + 1] == "(":
+                call = call or at + 1
+                more, at = _arguments(text, at + 1)
+                terms += more
+            elif bare:
+                name = bare if _IDENTIFIER.match(bare) else None
+                terms.append(Term(name, bare, t.start(5), text[at : at + 1] != "[" and not _REFERENCE.match(bare)))
+        p = plus.match(text, at)
+        if not q and not (p and "+" in p[0]) or not p or p.end() == at:
+            break
+        at = p.end()
+    return terms, call or at
+
+
+def assignments(text: str) -> Iterator[tuple[str, list[Term]]]:
+    """Name and right-hand terms, in order."""
     done = 0
     for m in _OPERATOR.finditer(text):
-        i = m.start()
+        i, after = m.start(), m.end()
         if i < done:
             continue
         while i > done and text[i - 1] in " \t":
             i -= 1
+        if i > done and text[i - 1] == "]":
+            i -= 1
         if i > done and text[i - 1] in "\"'":
             i -= 1
         end = i
@@ -147,22 +221,28 @@ def assignments(text: str) -> Iterator[tuple[str, list[tuple[str | None, str, in
         name = text[i:end].lstrip("-.0123456789")
         if not name:
             continue
-        terms, at = [], m.end()
-        while t := _TERM.match(text, at):
-            g = 1 if t[1] is not None else 2 if t[2] is not None else 3
-            bare = t[3].rstrip(".") if g == 3 else t[g]
-            start = t.start(g)
-            if bare:
-                terms.append((bare if g == 3 and _IDENTIFIER.match(bare) else None, bare, start, start + len(bare)))
-            at = t.end()
-            p = _PLUS.match(text, at)
-            if g == 3 and not (p and "+" in p[0]) or not p or not p[0].strip() and p.end() == at:
-                break
-            at = p.end()
+        if m[0] == ":" and (typed := _TYPED.match(text, m.start())):
+            after = typed.end()
+        terms, upto = _right(text, after)
         if terms:
-            done = terms[0][2] if terms[0][0] or len(terms) == 1 and text[m.end() - 1] == ":" and "=" in terms[0][1] else terms[-1][3]
-            done = max(done, m.end())
+            # a bare word may be the target of the next operator
+            first = terms[0]
+            chained = first.name or len(terms) == 1 and m[0] == ":" and "=" in first.value and text[first.start - 1] not in "\"'"
+            done = max(first.start if chained else upto, after)
             yield name, terms
+        else:
+            done = max(done, after)
+
+
+def _marked_up(text: str) -> Iterator[tuple[str, list[Term]]]:
+    """Names and values of elements and of key-value attributes."""
+    if "</" in text:
+        for m in _ELEMENT.finditer(text):
+            if text.startswith(m[1], m.end()):
+                yield m[1], [Term(None, m[2], m.start(2), True)]
+    if "value=" in text:
+        for m in _PAIR.finditer(text):
+            yield m[1], [Term(None, m[2], m.start(2), True)]
 
 
 def literals(text: str, min_score: float = 0.5) -> list[tuple[str, int, int]]:
@@ -171,8 +251,12 @@ def literals(text: str, min_score: float = 0.5) -> list[tuple[str, int, int]]:
     found: dict[tuple[int, int], None] = {}
     told: set[int] = set()  # values whose pieces are found already; known and pieces keep them alive
     kept: list[Value] = []
-    for name, terms in assignments(text):
-        value = known[name] = Value([known[ident] if ident in known else (v, start, end) for ident, v, start, end in terms])
+    for name, terms in chain(assignments(text), _marked_up(text)):
+        pieces = [known[t.name] if t.name in known else (t.value, t.start, t.start + len(t.value)) for t in terms if t.name in known or t.literal]
+        if not pieces:
+            known.pop(name, None)
+            continue
+        value = known[name] = Value(pieces)
         kept.append(value)
         weight = name_weight(name)
         if weight and weight * value.factor() >= min_score:
@@ -190,13 +274,17 @@ def literals(text: str, min_score: float = 0.5) -> list[tuple[str, int, int]]:
     return [("literal", a, b) for a, b in found]
 
 
+def _assigned(text: str) -> list[re.Match]:
+    return [m for m in _BASE_ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
+
+
 def scan_text(text: str | None, min_score: float = 0.5) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans and all spans of one text, each by start, then kind as listed; code points, end exclusive."""
     base: list[tuple[str, int, int]] = []
     more: list[tuple[str, int, int]] = []
     if text:
-        if ":" in text or "=" in text:
-            base += [("assign", *m.span()) for m in _BASE_ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
+        if ":" in text or "=" in text or "</" in text:
+            base += [("assign", *m.span()) for m in _assigned(text)]
             more = literals(text, min_score)
         if "AKIA" in text:
             base += [("access", *m.span()) for m in _BASE_ACCESS.finditer(text)]
@@ -229,10 +317,12 @@ def scan(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
 
 
 def mask(text: str | None, min_score: float = 0.5) -> str | None:
-    """The text with every found span's value replaced by a tag of its kind; overlapping spans become one."""
+    """The text with every found value replaced by a tag of its kind; names and quotes stay, overlapping values become one."""
     _, spans = scan_text(text, min_score)
     if not spans:
         return text
+    values = [("assign", *m.span(2)) for m in _assigned(text)] if any(k == "assign" for k, _, _ in spans) else []
+    spans = sorted([s for s in spans if s[0] != "assign"] + values, key=lambda s: (s[1], _RANK[s[0]], s[2]))
     out, at, i = [], 0, 0
     while i < len(spans):
         kind, a, b = spans[i]
