@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,6 +144,29 @@ def test_repeats(spark, monkeypatch, crowd):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
 
 
+def test_repeats_in_blocks(spark, monkeypatch):
+    """Seeds of a text don't depend on where its blocks are cut."""
+    p = words(60, 1)
+    text = words(400, 1) + "ab" * 700 + p + "z" * 900 + words(300, 2) + p + "é" * 300 + words(200, 3)[50:]
+    for block in (211, 500):
+        monkeypatch.setattr(repeats, "BLOCK", block)
+        batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": [text]})
+        whole = pieces = None
+        for part, buf, off in repeats.chunks(batch):
+            whole = sorted(repeats.seeds(buf, off)[0].tolist())
+            pieces = sorted(x + shift for _, b, o, shift, own, end in repeats.blocks(part, buf, off) for x in repeats.seeds(b, o)[0].tolist() if own <= x < end)
+        assert pieces == whole
+
+
+def test_repeats_of_long_and_monotone_texts(spark):
+    r = np.random.default_rng(2)
+    long = bytes(r.integers(97, 123, 5_000_000, dtype=np.uint8)).decode()
+    texts = [long[:2_500_000] + long[1_000_000:1_000_400] + long[2_500_000:], "q" * 2_000_000, "xyz" * 400_000, long[3_000_000:3_000_150] + "!", "q" * 120]
+    got = {r.doc_id: r for r in repeats.repeats(docs(spark, list(enumerate(texts)))).collect()}
+    assert [(got[i].n_removed, got[i].n_spans) for i in range(5)] == [(400, 1), (2_000_000 - 1, 1), (1_200_000 - 3, 1), (150, 1), (120, 1)]
+    assert got[1].kept_sha256 == hashlib.sha256(b"q").hexdigest() and got[2].kept_sha256 == hashlib.sha256(b"xyz").hexdigest()
+
+
 def test_repeats_of_repeated_and_missing_ids(spark):
     p = words(60, 1)
     got = repeats.repeats(docs(spark, [(1, p), (1, p), (None, p), (2, p)])).collect()
@@ -352,6 +376,28 @@ def test_interpolation_is_a_distribution():
     assert np.allclose((10.0 ** lm.log_table(main + held, w).astype(float)).sum(axis=1), 1, atol=1e-4)
 
 
+def test_pipeline_stages_bear_awkward_rows(spark, small):
+    """Null, empty, repeated and long texts, further columns, empty tables: each stage keeps what it has no reason to drop."""
+    import corpus_pipeline as cp
+
+    p = words(60, 77)
+    long = words(40_000, 78)
+    rows = [*enumerate(AWKWARD), (50, p), (51, p), (52, p + " token = \"k3yVal88xZq7\""), (53, long), (54, long), (55, long[:-20]), (None, p), (56, "plain"), (56, "plain")]
+    d = docs(spark, rows).withColumns({c: F.lit("x") for c in ("n", "key", "cluster", "_gone", "_held", "host", "kept", "score", "toxic", "u", "v")})
+    ids = lambda df: sorted(-1 if r.doc_id is None else r.doc_id for r in df.select("doc_id").collect())
+    at = d
+    for name, stage in cp.STAGES:
+        assert stage(spark, d.limit(0), small).count() == 0, name
+        at = stage(spark, at, small).persist()
+        if name != "pieces":
+            assert at.columns == d.columns
+        if name == "toxicity":
+            assert ids(at) == sorted(-1 if i is None else i for i, _ in rows)
+        if name == "near_duplicates":
+            assert ids(at) == sorted([-1, 0, 1, 2, 3, 4, 6, 7, 8, 50, 53, 56, 56])  # "one" again, and a copy of the long line, go
+    assert all(r.exact for r in at.collect())
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline as cp
 

@@ -24,6 +24,10 @@ documents makes one row. A seed with more than ``CROWD`` different surroundings
 is not ordered in one task: its windows are hashed (128 bits) and the earliest
 of each found by an aggregate.
 
+A long text is looked at in blocks of ``BLOCK`` bytes that overlap by all that a
+seed depends on. In periodic text (one letter over and over) seeds in a row have
+equal surroundings; they are one row and one range.
+
 Null and empty texts have no bytes. Rows that repeat an id and its text count
 as one text and get the same result; texts of one id that differ are taken as
 versions of one place, so that neither is earlier at equal positions. Rows
@@ -46,6 +50,10 @@ SEED = 24
 SPAN = WINDOW - SEED + 1
 #: Bytes on each side of a seed that a window with it can reach.
 REACH = WINDOW - SEED
+#: Bytes of a long text that are looked at together.
+BLOCK = 1 << 20
+#: Rows with these for a seed are no seeds but ranges that repeat for certain.
+RANGES = 64
 #: Most different surroundings of a seed that one task orders.
 CROWD = 50_000
 
@@ -118,27 +126,52 @@ def seeds(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     places, doc, hp, lo, hi = places[ok], doc[ok], hp[ok], lo[ok], hi[ok]
     # and if no window of those has a smaller hash
     top = hp.copy()
-    for i in np.flatnonzero(lo > np.maximum(places - SPAN + 1, off[doc])).tolist():
-        top[i] = best[lo[i] : hi[i] + 1].max()
+    some = np.flatnonzero(lo > np.maximum(places - SPAN + 1, off[doc]))
+    if len(some):
+        top[some] = ~_range_minima(~best, lo[some], hi[some])
     ok = top == hp
     return places[ok], hp[ok], doc[ok]
 
 
+def blocks(part: pa.RecordBatch, buf: np.ndarray, off: np.ndarray, size: int | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int, int, int]]:
+    """A run of texts as it is, or a long text in blocks: the rows, bytes and edges, where the bytes start in the text, and which of the places in the bytes are the block's own. Each block has what its own places' seeds and surroundings depend on."""
+    size = size or BLOCK
+    if part.num_rows > 1 or len(buf) <= 2 * size:
+        yield part, buf, off, 0, 0, len(buf)
+        return
+    for a in range(0, len(buf), size):
+        first, last = max(0, a - 2 * WINDOW), min(len(buf), a + size + 2 * WINDOW)
+        yield part, buf[first:last], np.array([0, last - first]), first, a - first, min(a + size, len(buf)) - first
+
+
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """seed, around (hash of the surroundings), doc, pos, left, right of each seed."""
+    """seed, around (hash of the surroundings), doc, pos, reach of each seed. Of seeds in a row with equal surroundings (periodic text) the first is told, and the range of the others: a seed below ``RANGES``, its end for around, its start for pos."""
     schema = pa.schema([("seed", pa.int64()), ("around", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32()), ("reach", pa.int16())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, buf, off in chunks(b):
-                places, h, doc = seeds(buf, off)
-                if len(places):
+            for whole, every, edges in chunks(b):
+                for part, buf, off, shift, own, end in blocks(whole, every, edges):
+                    places, h, doc = seeds(buf, off)
+                    mine = (places >= own) & (places < end)
+                    places, h, doc = places[mine], h[mine], doc[mine]
+                    if not len(places):
+                        continue
                     a = np.maximum(places - REACH, off[doc])
                     z = np.minimum(places + WINDOW, off[doc + 1])
                     around = mix(Hashes(buf).of(a, z) + (places - a).astype(np.uint64))
                     ids = part.column(0).to_numpy()[doc]
                     reach = ((places - a) * 128 + (z - places)).astype(np.int16)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(around.view(np.int64)), pa.array(ids), pa.array((places - off[doc]).astype(np.int32)), pa.array(reach)], schema=schema)
+                    seed = np.where(h < RANGES, h + U64(RANGES), h).view(np.int64)
+                    pos, around = places - off[doc] + shift, around.view(np.int64)
+                    again = np.zeros(len(places), bool)
+                    again[1:] = (seed[1:] == seed[:-1]) & (around[1:] == around[:-1]) & (doc[1:] == doc[:-1])
+                    head = np.flatnonzero(again & ~np.concatenate([[False], again[:-1]]))
+                    tail = np.flatnonzero(again & ~np.concatenate([again[1:], [False]]))
+                    start, stop = (a - off[doc] + shift)[head], (z - off[doc] + shift)[tail]
+                    one = ~again
+                    columns = [(seed[one], ids[head] % RANGES), (around[one], stop), (ids[one], ids[head]), (pos[one], start), (reach[one], np.zeros(len(head)))]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t.to_pandas_dtype())) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
     return docs.mapInArrow(run, "seed long, around long, doc long, pos int, reach short")
 
@@ -309,10 +342,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = _occurrences(docs.where("doc_id is not null"))
     # counts are combined before the shuffle and joins can split a hot seed's rows: no task sees all of them
-    again = cut(found.groupBy("seed").agg(F.count("*").alias("c")).where("c > 1").select("seed"))
+    again = cut(found.groupBy("seed").agg(F.count("*").alias("c")).where(f"c > 1 or seed >= 0 and seed < {RANGES}").select("seed"))
     release(docs.sparkSession)
-    rows = cut(found.join(again, "seed"))
+    both = cut(found.join(again, "seed"))
     release(docs.sparkSession)
+    certain = F.col("seed").between(0, RANGES - 1)
+    rows = both.where(~certain)
     first = rows.groupBy("seed", "around").agg(F.min(F.struct("doc", "pos")).alias("first"))
     kinds = first.groupBy("seed").agg(F.count("*").alias("kinds"))
     ranked = rows.join(first.join(kinds, "seed"), ["seed", "around"]).withColumn("later", F.struct("doc", "pos") > F.col("first"))
@@ -323,13 +358,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").alias("doc"), "text").join(wanted, "doc")
     release(docs.sparkSession)
     crowded = not ranked.where("crowded").isEmpty()
-    del found, again, rows, first, kinds, ranked  # so that what they keep on disk goes once it isn't needed
     around = _surroundings(texts.select("doc", "text", "wanted"))
-    ranges = whole.unionByName(_ordered(around.where("not crowded") if crowded else around))
+    runs = both.where(certain).select("doc", F.col("pos").alias("a"), F.col("around").cast("int").alias("b"))
+    ranges = whole.unionByName(runs).unionByName(_ordered(around.where("not crowded") if crowded else around))
     if crowded:
         ranges = ranges.unionByName(_hashed(around.where("crowded")))
+    del found, again, rows, first, kinds, ranked  # so that what they keep on disk goes once it isn't needed
     ranges = cut(ranges)
-    del around, texts, wanted, whole
+    del both, around, texts, wanted, whole, runs
     release(docs.sparkSession)
     per_text = ranges.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("ranges")).withColumnRenamed("doc", "doc_id")
     return _applied(docs.join(per_text, "doc_id", "left").select("doc_id", "text", "ranges"))
