@@ -6,8 +6,9 @@ or back-references, and use ASCII classes.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,6 +68,25 @@ LOG_RULES = tuple(
 _CRITICAL, _HIGH = ("ssn", "credit_card", "aws_secret_key", "api_key"), ("email", "phone_us", "phone_international", "aws_access_key")
 
 
+#: Any match has one of these, or is one of the kinds below and within a word of 20 letters.
+_SIGNS = "0123456789@:=/-"
+_PLAIN = ("api_key", "base64_token", "aws_access_key", "aws_secret_key")
+
+
+def _bound(c: str | Column, of: Callable[[Column, Column, Column], Column]) -> Column:
+    """of(text, signs, run): whether any kind may be in a text, and whether one of the plain kinds may. Both are found once a row, so that most texts cost no pass of a pattern."""
+    signs = reduce(lambda a, b: a | b, [F.contains(column(c), F.lit(x)) for x in _SIGNS])
+    run = F.exists(F.split(column(c), " "), lambda w: F.length(w) >= 20)
+    once = F.array(F.struct(column(c).alias("text"), signs.alias("signs"), run.alias("run")))
+    return F.get(F.transform(once, lambda x: of(x["text"], x["signs"], x["run"])), F.lit(0))
+
+
+def _guarded(c: str | Column, pairs: Sequence[tuple[str, str]]) -> Column:
+    """As :func:`fold`, for the fixed patterns."""
+    plain = {PII[k] for k in _PLAIN} | {r.regex() for r in RULES if r.pattern in {PII[k] for k in _PLAIN}}
+    return _bound(c, lambda t, signs, run: F.when(signs, fold(t, pairs)).when(run, fold(t, [x for x in pairs if x[0] in plain])).otherwise(t))
+
+
 def fold(c: str | Column, pairs: Iterable[tuple[str, str]]) -> Column:
     out = column(c)
     for pattern, replacement in pairs:
@@ -76,17 +96,24 @@ def fold(c: str | Column, pairs: Iterable[tuple[str, str]]) -> Column:
 
 def detected(c: str | Column) -> Column:
     """Kinds of personal data in a text. (L1)"""
-    return F.array_compact(F.array(*[F.when(column(c).rlike(p), F.lit(n)) for n, p in PII.items()]))
+    kinds = lambda t, names: F.array_compact(F.array(*[F.when(t.rlike(PII[n]), F.lit(n)) for n in names]))
+    none = F.array().cast("array<string>")
+    return _bound(c, lambda t, signs, run: F.when(signs, kinds(t, PII)).when(run, kinds(t, _PLAIN)).otherwise(none))
 
 
 def counts(c: str | Column) -> dict[str, Column]:
     """Matches of each kind. (L2)"""
-    return {n: F.regexp_count(column(c), F.lit(p)) for n, p in PII.items()}
+    return {n: _counted(c)[n] for n in PII}
+
+
+def _counted(c: str | Column) -> Column:
+    """Matches of each kind, as one struct."""
+    return _bound(c, lambda t, signs, run: F.when(t.isNotNull(), F.struct(*[F.when((signs | run) if n in _PLAIN else signs, F.regexp_count(t, F.lit(p))).otherwise(0).alias(n) for n, p in PII.items()])))
 
 
 def redact_pii(c: str | Column) -> Column:
     """(L3)"""
-    return fold(c, [(p, f"[{n.upper()}_REDACTED]") for n, p in PII.items()])
+    return _guarded(c, [(p, f"[{n.upper()}_REDACTED]") for n, p in PII.items()])
 
 
 def applied(rules: Sequence[Rule], threshold: str = "low", legacy: bool = False) -> list[Rule]:
@@ -98,7 +125,8 @@ def applied(rules: Sequence[Rule], threshold: str = "low", legacy: bool = False)
 
 def redact(c: str | Column, threshold: str = "low", extra: Sequence[Rule] = (), legacy: bool = False) -> Column:
     """By rules, custom ones last."""
-    return fold(c, [(r.regex(), r.replacement) for r in applied([*RULES, *extra], threshold, legacy)])
+    pairs = lambda rules: [(r.regex(), r.replacement) for r in applied(rules, threshold, legacy)]
+    return fold(_guarded(c, pairs(RULES)), pairs(extra))
 
 
 def is_sensitive(name: str) -> bool:
@@ -107,7 +135,11 @@ def is_sensitive(name: str) -> bool:
 
 def redact_either(c: str | Column, threshold: str = "low") -> Column:
     """Personal data if there is any, else by rules."""
-    return F.when(F.size(detected(c)) > 0, redact_pii(c)).otherwise(redact(c, threshold))
+    pairs = [(p, f"[{n.upper()}_REDACTED]") for n, p in PII.items()]
+    rules = [(r.regex(), r.replacement) for r in applied(RULES, threshold)]
+    found = lambda t, names: reduce(lambda a, b: a | b, [t.rlike(PII[n]) for n in names])
+    either = lambda t, names: F.when(found(t, names), fold(t, pairs)).otherwise(fold(t, rules))
+    return _bound(c, lambda t, signs, run: F.when(signs, either(t, PII)).when(run, either(t, _PLAIN)).otherwise(t))
 
 
 def _walk(c: Column, kind: T.DataType, text) -> Column:
@@ -141,18 +173,20 @@ def redact_records(df: DataFrame, threshold: str = "low", pii_first: bool = Fals
 
 def report(df: DataFrame, c: str) -> DataFrame:
     """Counts, rules hit, risk and recommendations of each row's text."""
-    n = counts(c)
-    out = df.withColumns({f"n_{k}": v for k, v in n.items()})
+    hits = lambda t, signs, run: F.when(signs | run, sum((F.coalesce(t.rlike(r.regex()).cast("int"), F.lit(0)) for r in RULES), F.lit(0))).otherwise(0)
+    # one struct of counts a row, read by all that follows
+    out = df.withColumns({"_n": _counted(c), "rules_hit": _bound(c, hits)})
+    out = out.withColumns({f"n_{k}": F.col("_n")[k] for k in PII}).drop("_n")
     has = lambda *names: F.greatest(*[F.col(f"n_{k}") for k in names], F.lit(0)) > 0
-    out = out.withColumn("n_pii", sum((F.col(f"n_{k}") for k in n), F.lit(0)))
+    out = out.withColumn("n_pii", sum((F.col(f"n_{k}") for k in PII), F.lit(0)))
     risk = F.when(has(*_CRITICAL), "CRITICAL").when(has(*_HIGH), "HIGH").when(F.col("n_pii") > 0, "MEDIUM").otherwise("LOW")
+    # fixed values: the sentences
     advice = [
         (has("ssn"), "Remove Social Security Numbers immediately"), (has("credit_card"), "Remove credit card numbers immediately"), (has("aws_secret_key", "api_key"), "Rotate compromised API keys/secrets"),
         (has("email", "phone_us", "phone_international"), "Consider masking contact information"),
     ]
     some = F.array_compact(F.array(*[F.when(x, F.lit(s)) for x, s in advice]))
-    hit = sum((F.coalesce(column(c).rlike(r.regex()).cast("int"), F.lit(0)) for r in RULES), F.lit(0))
-    return out.withColumns({"rules_hit": hit, "risk": risk, "recommendations": F.when(F.size(some) > 0, some).otherwise(F.array(F.lit("No critical PII detected, but continue monitoring")))})
+    return out.withColumns({"risk": risk, "recommendations": F.when(F.size(some) > 0, some).otherwise(F.array(F.lit("No critical PII detected, but continue monitoring")))})
 
 
 def redact_error(c: str | Column) -> Column:
