@@ -33,7 +33,7 @@ def test_percentiles_and_stats(spark):
     s = M.resolution_stats(resolved(spark, [28, 4, 48])).first()
     assert round(s.avg_hours, 2) == 26.67 and s.median_hours == 28
     assert M.resolution_stats(resolved(spark, [5])).first().sd_hours == 0.0
-    a = M.resolution_percentiles(t, approximate=True).first()
+    a = M.resolution_percentiles(t, accuracy=100_000).first()
     assert abs(a.p50 - 5.5) <= 1
 
 
@@ -102,8 +102,10 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(ValueError):
         jobs.convert(long, f"{tmp_path}/x", "xls")
     rows, following = S.page(t, 2, 0)
-    assert (rows.count(), following) == (2, 2)
-    assert S.page(t, 2, 2)[1] is None
+    assert (rows.count(), following()) == (2, 2)
+    assert S.page(t, 2, 2)[1]() is None
+    every = t.orderBy("created_date", "id").collect()
+    assert S.page_after(t, 1).first().id == every[0].id and S.page_after(t, 1, every[0].created_date, every[0].id).first().id == every[1].id
 
 
 def test_criteria(spark):
@@ -196,3 +198,26 @@ def test_week_labels(spark):
     days = [datetime(2020, 1, 1) + timedelta(days=37 * i) for i in range(200)]
     df = spark.createDataFrame([(d,) for d in days], "d timestamp_ntz")
     assert [r[0] for r in df.select(C.week_label("d")).collect()] == [d.strftime("%Y-W%U") for d in days]
+
+
+def test_relational_source(spark):
+    """Rows of a table in a database, with the predicate in the scan."""
+    url = "jdbc:derby:memory:tidemark;create=true"
+    t = spark.createDataFrame([(i, "Open" if i % 3 else "Closed") for i in range(30)], "id int, status string")
+    t.write.format("jdbc").options(url=url, dbtable="T", driver="org.apache.derby.jdbc.EmbeddedDriver").mode("overwrite").save()
+    options = {"driver": "org.apache.derby.jdbc.EmbeddedDriver", "partitionColumn": "id", "lowerBound": "0", "upperBound": "30", "numPartitions": "3"}
+    got = S.read_jdbc(spark, url, "T", F.col("id") > 20, **options)
+    assert got.count() == 9 and got.rdd.getNumPartitions() == 3
+    assert "PushedFilters: [*IsNotNull(ID), *GreaterThan(ID,20)]" in got._jdf.queryExecution().executedPlan().toString() or "GreaterThan" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cooldown_of_many_alerts(spark):
+    fired = [("a", T0 + timedelta(minutes=m)) for m in range(3000)] + [("b", T0)]
+    got = monitoring.cooled(spark.createDataFrame(fired, "rule string, fired timestamp_ntz").repartition(5), 60, "rule").collect()
+    assert len(got) == 51
+
+
+def test_ranks_of_negative_and_equal_values(spark):
+    values = [-5.0, -5.0, -0.25, 0.0, 0.0, 1e-9, 3.0, 3.0, 1e12]
+    r = monitoring.ranks_of(spark.createDataFrame([("k", v) for v in values], "k string, v double"), "k", "v").collect()
+    assert {x.v: (x.upto, x.of) for x in r} == {v: (sum(w <= v for w in values), 9) for v in values}

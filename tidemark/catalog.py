@@ -13,7 +13,9 @@ from tidemark.operators import clean, monitoring, privacy, quality, sla, trends,
 from tidemark.operators import metrics as M
 from tidemark.operators.criteria import Criteria, last_days, named_range, search, top
 from tidemark.plans import jobs, registry
+from tidemark.session import shared_folder
 from tidemark.sources import tickets as S
+from tidemark.streaming import events as stream
 
 AS_OF = datetime(2001, 8, 2)
 EVENTS_AS_OF = datetime(2024, 1, 30)
@@ -293,8 +295,32 @@ add("i10_suppression", _suppressed, _RUNS + " SELECT event_type AS rule, fired F
 _ALERTS = lambda e: monitoring.with_resolution(_BAD(e), monitoring.sustained(_BAD(e), 30, "event_type"), "event_type").withColumnsRenamed({"event_type": "rule"}).withColumn("severity", F.when(F.col("rule") == "error", "critical").otherwise("warning"))
 add("i11_history", lambda e: monitoring.alert_history(_ALERTS(e), 20).select("rule", "fired", "severity"), _RUNS + " SELECT event_type AS rule, fired, CASE WHEN event_type = 'error' THEN 'critical' ELSE 'warning' END AS severity FROM f ORDER BY fired DESC, event_type LIMIT 20", "events")
 add("i11_active", lambda e: monitoring.active_by_severity(_ALERTS(e)), _RUNS + " SELECT CASE WHEN event_type = 'error' THEN 'critical' ELSE 'warning' END AS severity, count(*) AS n FROM f WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.event_type = f.event_type AND NOT s.bad AND s.ts > f.fired) GROUP BY 1", "events")
-add("i12_presets", lambda e: monitoring.preset_rules(e.sparkSession).where("kind = 'performance'").join(monitoring.operation_stats(monitoring.as_operations(e)).select(F.col("operation").alias("op"), "n", "success_rate"), F.lit(True)).where("n >= 10 and 1 - success_rate > max_error_rate").select("name", "op"),
-    "SELECT name, operation AS op FROM (VALUES ('slow_ticket_search'), ('slow_data_analysis'), ('high_error_rate_authentication')) v(name), (SELECT operation FROM ops GROUP BY 1 HAVING count(*) >= 10 AND 1 - count(*) FILTER (success) / count(*) > 0.05)", "events")
+_AS_PRESET = {"error": "ticket_search", "click": "data_analysis", "view": "authentication", "purchase": "cpu_percent", "signup": "memory_percent"}
+_PRESET_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _AS_PRESET.items()) + " ELSE event_type END"
+
+
+def _presets(e: DataFrame) -> DataFrame:
+    """The preset rules over events that go by the presets' metrics."""
+    rules = monitoring.preset_rules(e.sparkSession)
+    named = e.withColumn("event_type", C.lookup(F.col("event_type"), _AS_PRESET, F.col("event_type")))
+    slow = monitoring.performance_alerts(monitoring.operation_stats(monitoring.as_operations(named)), rules).select("name", F.col("operation").alias("metric"), F.lit(1).cast("long").alias("n"))
+    over = monitoring.threshold_alerts(named.select(F.col("event_type").alias("metric"), "value"), rules).groupBy("name", "metric").agg(F.count("*").alias("n"))
+    return slow.unionByName(over)
+
+
+add(
+    "i12_presets",
+    _presets,
+    f""", ev AS (SELECT *, {_PRESET_SQL} AS metric FROM events),
+    om AS (SELECT metric, count(*) AS n, avg(value) AS ms, count(*) FILTER (event_type = 'error') / count(*) AS bad FROM ev GROUP BY 1)
+    SELECT name, metric, CAST(1 AS BIGINT) AS n
+    FROM om JOIN (VALUES ('slow_ticket_search', 'ticket_search', 10000.0), ('slow_data_analysis', 'data_analysis', 30000.0), ('high_error_rate_authentication', 'authentication', CAST('inf' AS DOUBLE))) v(name, metric, most) USING (metric)
+    WHERE n >= 10 AND (ms > most OR bad > 0.05)
+    UNION ALL
+    SELECT name, metric, count(*) FROM ev JOIN (VALUES ('high_cpu_usage', 'cpu_percent', 80.0), ('high_memory_usage', 'memory_percent', 85.0), ('high_disk_usage', 'disk_usage_percent', 90.0)) v(name, metric, most) USING (metric)
+    WHERE value > most GROUP BY name, metric""",
+    "events",
+)
 add("i13_call_stats", _O(monitoring.call_stats), "SELECT operation, count(*) AS total_calls, round(avg(duration_ms), 6) AS avg_ms, round(min(duration_ms), 6) AS min_ms, round(max(duration_ms), 6) AS max_ms, round(100.0 * count(*) FILTER (success) / count(*), 6) AS success_rate FROM ops GROUP BY 1", "events")
 add("i14_health", lambda e: monitoring.health(e.groupBy(F.col("event_type").alias("name")).agg((F.avg("value") < 20).alias("ok"))), "SELECT CASE WHEN bool_and(ok) THEN 'healthy' ELSE 'unhealthy' END AS status, coalesce(string_agg(name, '|' ORDER BY name) FILTER (NOT ok), '') AS failed FROM (SELECT event_type AS name, avg(value) < 20 AS ok FROM events GROUP BY 1)", "events")
 add("i15_summary", lambda e: monitoring.metric_summary(e.withColumn("at", F.struct("ts", "event_id")), "event_type", "value", "at"), "SELECT event_type, count(value) AS n, round(avg(value), 6) AS avg_value, round(min(value), 6) AS min_value, round(max(value), 6) AS max_value, round(arg_max(value, (ts, event_id)), 6) AS latest FROM events GROUP BY 1", "events")
@@ -312,8 +338,6 @@ _LONG = lambda key: (lambda t: M.to_long(M.distribution(t, key).select(key, "n")
 add("j8_combine", lambda t: jobs.combine(_LONG("status")(t), _LONG("severity")(t)), "SELECT 'n.' || status AS metric, 'n' AS key, CAST(count(*) AS VARCHAR) AS value FROM t GROUP BY status UNION ALL SELECT 'n.' || severity, 'n', CAST(count(*) AS VARCHAR) FROM t GROUP BY severity")
 add("j8_compare", lambda t: jobs.compare(_LONG("severity")(t), _LONG("severity")(t.where("status = 'Open'"))), "SELECT 'n.' || severity AS metric, 'n' AS key, CAST(count(*) AS VARCHAR) AS a, CAST(nullif(count(*) FILTER (status = 'Open'), 0) AS VARCHAR) AS b, CAST(nullif(count(*) FILTER (status = 'Open'), 0) - count(*) AS DOUBLE) AS difference FROM t GROUP BY severity")
 add("j8_aggregate", lambda t: jobs.aggregate(_LONG("severity")(t), _LONG("severity")(t)), "SELECT 'n.' || severity AS metric, 'n' AS key, CAST(2 * count(*) AS DOUBLE) AS value, 2::BIGINT AS n_reports FROM t GROUP BY severity")
-add("j1_analyze", lambda t: jobs.analyze(t, AS_OF, registry.Registry(severity=lambda x: M.distribution(x, "severity").select("severity", "n"), rate=M.resolution_rate), None).where("metric like 'metric.%'"),
-    "SELECT 'metric.severity.' || severity AS metric, 'n' AS key, CAST(count(*) AS VARCHAR) AS value FROM t GROUP BY severity UNION ALL SELECT 'metric.rate', k, CASE k WHEN 'total' THEN CAST(a AS VARCHAR) WHEN 'resolved' THEN CAST(b AS VARCHAR) ELSE CAST(100.0 * b / a AS VARCHAR) END FROM (SELECT count(*) AS a, count(*) FILTER (done) AS b FROM t), (SELECT unnest(['total', 'resolved', 'rate']) AS k)")
 _SLA = "CASE severity WHEN 'SEV_1' THEN 4 WHEN 'SEV_2' THEN 24 WHEN 'SEV_3' THEN 72 WHEN 'SEV_4' THEN 168 WHEN 'SEV_5' THEN 720 ELSE 24 END"
 _X = f", x AS (SELECT *, coalesce(h, age) AS hours, {_SLA} AS sla FROM t)"
 add("j12_sla", lambda t: sla.compliance(t, AS_OF, 720), _X + " SELECT count(*) AS total, count(*) FILTER (hours <= 720) AS compliant, round(100.0 * count(*) FILTER (hours <= 720) / count(*), 6) AS rate FROM x")
@@ -330,21 +354,41 @@ add("j19_statistics", lambda e: registry.statistics(e, "value", "user_id"), "SEL
 add("j19_distributions", lambda t: registry.distributions(t, "status", "severity"), "SELECT 'status' AS \"column\", status AS value, count(*) AS n FROM t GROUP BY 2 UNION ALL SELECT 'severity', severity, count(*) FROM t GROUP BY 2")
 
 
-def _stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream, read to its end: daily statistics of each operation."""
-    from uuid import uuid4
-
-    from tidemark.streaming import events as stream
-
+def _streamed(spark: SparkSession, sf_dir: str, of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The events as a stream, read to its end: the last state of an aggregate, as its batches write it to the shared folder."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     # a pattern, as a stream's source is a folder or a pattern of files
     rows = stream.read(spark, f"{sf_dir}/events.parque[t]", schema, files=8)
-    name = f"stats_{uuid4().hex}"
-    writer = stream.windowed_stats(monitoring.as_operations(rows), "1 day").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True)
-    shared = spark.sparkContext.getCheckpointDir()  # offsets and state belong in the shared folder where one is named
-    (writer.option("checkpointLocation", f"{shared}/{name}") if shared else writer).start().awaitTermination()
-    return rounded(spark.table(name).select(F.to_date("start").alias("day"), "operation", "n", "n_success", "avg_ms", "min_ms", "max_ms"))
+    at = shared_folder(spark)
+    result = of(rows)
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(f"{at}/rows")
+    result.writeStream.foreachBatch(write).outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{at}/state").start().awaitTermination()
+    return spark.read.schema(result.schema).parquet(f"{at}/rows")
 
 
+def _stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily statistics of each operation."""
+    rows = _streamed(spark, sf_dir, lambda e: stream.windowed_stats(monitoring.as_operations(e), "1 day"))
+    return rounded(rows.select(F.to_date("start").alias("day"), "operation", "n", "n_success", "avg_ms", "min_ms", "max_ms"))
+
+
+def _stream_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of each operation over the last two days, every day."""
+    rows = _streamed(spark, sf_dir, lambda e: stream.windowed_stats(monitoring.as_operations(e), "2 days", "1 day"))
+    return rounded(rows.select(F.to_date("end").alias("day"), "operation", "n", "avg_ms", "max_ms"))
+
+
+def _stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_streamed(spark, sf_dir, stream.daily_volume))
+
+
+QUERIES["g1_stream_daily"] = _stream_daily
+ORACLES["g1_stream_daily"] = "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events GROUP BY 1"
+QUERIES["i3_stream_trailing"] = _stream_trailing
+ORACLES["i3_stream_trailing"] = f"""WITH {VIEW}
+    SELECT CAST(CAST(ts AS DATE) + k AS VARCHAR) AS day, operation, count(*) AS n, round(avg(duration_ms), 6) AS avg_ms, round(max(duration_ms), 6) AS max_ms
+    FROM ops, (VALUES (1), (2)) v(k) GROUP BY ALL"""
 QUERIES["i1_stream_stats"] = _stream_stats
 ORACLES["i1_stream_stats"] = f"WITH {VIEW} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, operation, count(*) AS n, count(*) FILTER (success) AS n_success, round(avg(duration_ms), 6) AS avg_ms, round(min(duration_ms), 6) AS min_ms, round(max(duration_ms), 6) AS max_ms FROM ops GROUP BY ALL"
+
+from tidemark import catalog_io  # noqa: E402, F401  (adds the rows that write and read back)

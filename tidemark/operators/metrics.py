@@ -41,34 +41,38 @@ def positive(t: DataFrame) -> DataFrame:
     return with_hours(t).where("h > 0")
 
 
-def _five() -> list[Column]:
-    return [F.avg("h").alias("avg_hours"), F.percentile("h", F.lit(0.5)).alias("median_hours"), F.count("*").alias("n"), F.min("h").alias("min_hours"), F.max("h").alias("max_hours")]
+def quantile(h: str | Column, at: Column, accuracy: int | None = None) -> Column:
+    """Exact quantiles, linear between ranks, which hold a group's distinct values; with an accuracy a bounded sketch, for groups of any size."""
+    return F.percentile(h, at) if accuracy is None else F.percentile_approx(h, at, accuracy)
 
 
-def resolution_stats(t: DataFrame) -> DataFrame:
+def _five(accuracy: int | None = None) -> list[Column]:
+    return [F.avg("h").alias("avg_hours"), quantile("h", F.lit(0.5), accuracy).alias("median_hours"), F.count("*").alias("n"), F.min("h").alias("min_hours"), F.max("h").alias("max_hours")]
+
+
+def resolution_stats(t: DataFrame, accuracy: int | None = None) -> DataFrame:
     """(E1)"""
-    return positive(t).agg(*_five(), C.sd("h").alias("sd_hours"))
+    return positive(t).agg(*_five(accuracy), C.sd("h").alias("sd_hours"))
 
 
-def resolution_percentiles(t: DataFrame, approximate: bool = False) -> DataFrame:
-    """Linear between ranks; approximate keeps a bounded sketch in place of all values."""
+def resolution_percentiles(t: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """(E2)"""
     at = F.array(*[F.lit(p / 100) for p in PERCENTILES])
-    p = F.percentile_approx("h", at, 100_000) if approximate else F.percentile("h", at)
-    return positive(t).agg(p.alias("p")).select(*[F.col("p")[i].alias(f"p{n}") for i, n in enumerate(PERCENTILES)])
+    return positive(t).agg(quantile("h", at, accuracy).alias("p")).select(*[F.col("p")[i].alias(f"p{n}") for i, n in enumerate(PERCENTILES)])
 
 
-def resolution_by(t: DataFrame, key: Column, name: str) -> DataFrame:
-    return positive(t).groupBy(key.alias(name)).agg(*_five())
+def resolution_by(t: DataFrame, key: Column, name: str, accuracy: int | None = None) -> DataFrame:
+    return positive(t).groupBy(key.alias(name)).agg(*_five(accuracy))
 
 
-def resolution_by_severity(t: DataFrame) -> DataFrame:
+def resolution_by_severity(t: DataFrame, accuracy: int | None = None) -> DataFrame:
     """(E3)"""
-    return resolution_by(t, F.col("severity"), "severity")
+    return resolution_by(t, F.col("severity"), "severity", accuracy)
 
 
-def resolution_by_assignee(t: DataFrame) -> DataFrame:
+def resolution_by_assignee(t: DataFrame, accuracy: int | None = None) -> DataFrame:
     """(E4)"""
-    return resolution_by(t, C.or_unassigned("assignee"), "assignee")
+    return resolution_by(t, C.or_unassigned("assignee"), "assignee", accuracy)
 
 
 def resolution_by_day_name(t: DataFrame) -> DataFrame:
@@ -81,25 +85,25 @@ def resolution_by_hour(t: DataFrame) -> DataFrame:
     return positive(t).groupBy(F.hour("resolved_date").alias("hour")).agg(F.avg("h").alias("avg_hours"))
 
 
-def _bounds(rows: DataFrame) -> DataFrame:
-    q = rows.agg(F.percentile("h", F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.count("*").alias("n"))
+def _bounds(rows: DataFrame, accuracy: int | None = None) -> DataFrame:
+    q = rows.agg(quantile("h", F.array(F.lit(0.25), F.lit(0.75)), accuracy).alias("q"), F.count("*").alias("n"))
     iqr = F.col("q")[1] - F.col("q")[0]
     return q.where("n >= 4").select((F.col("q")[0] - 1.5 * iqr).alias("lower"), (F.col("q")[1] + 1.5 * iqr).alias("upper"), "n")
 
 
-def outliers(t: DataFrame) -> DataFrame:
+def outliers(t: DataFrame, accuracy: int | None = None) -> DataFrame:
     """Rows beyond 1.5 interquartile ranges, with how far; none under four rows."""
     rows = positive(t).select("id", "h")
-    b = rows.crossJoin(F.broadcast(_bounds(rows)))  # one row
+    b = rows.crossJoin(F.broadcast(_bounds(rows, accuracy)))  # one row
     b = b.where("h < lower or h > upper").withColumn("kind", F.when(F.col("h") < F.col("lower"), "fast").otherwise("slow"))
     return b.select("id", F.col("h").alias("hours"), "kind", F.greatest(F.col("lower") - F.col("h"), F.col("h") - F.col("upper")).alias("distance"))
 
 
-def outlier_summary(t: DataFrame) -> DataFrame:
+def outlier_summary(t: DataFrame, accuracy: int | None = None) -> DataFrame:
     """(E7)"""
     rows = positive(t).select("h")
     out = (F.col("h") < F.col("lower")) | (F.col("h") > F.col("upper"))
-    return rows.crossJoin(F.broadcast(_bounds(rows))).groupBy("lower", "upper", "n").agg(F.count_if(out).alias("n_outliers")).withColumn("percentage", C.percent(F.col("n_outliers"), F.col("n")))
+    return rows.crossJoin(F.broadcast(_bounds(rows, accuracy))).groupBy("lower", "upper", "n").agg(F.count_if(out).alias("n_outliers")).withColumn("percentage", C.percent(F.col("n_outliers"), F.col("n")))
 
 
 def outlier_list(t: DataFrame, k: int = 10) -> DataFrame:
@@ -112,13 +116,13 @@ def resolution_rate(t: DataFrame) -> DataFrame:
     return t.agg(F.count("*").alias("total"), F.count_if(C.is_resolved()).alias("resolved")).withColumn("rate", C.percent(F.col("resolved"), F.col("total")))
 
 
-def resolution_overview(t: DataFrame) -> DataFrame:
+def resolution_overview(t: DataFrame, accuracy: int | None = None) -> DataFrame:
     """E1, E2 and E8 in one scan; nulls where nothing is resolved."""
     h = with_hours(t)
     x = F.when(F.col("h") > 0, F.col("h"))
     row = h.agg(
         F.count("*").alias("total"), F.count_if(C.is_resolved()).alias("resolved"), F.count(x).alias("n"), F.avg(x).alias("avg_hours"),
-        F.stddev_samp(x).alias("sd"), F.min(x).alias("min_hours"), F.max(x).alias("max_hours"), F.percentile(x, F.array(*[F.lit(p / 100) for p in PERCENTILES])).alias("p"),
+        F.stddev_samp(x).alias("sd"), F.min(x).alias("min_hours"), F.max(x).alias("max_hours"), quantile(x, F.array(*[F.lit(p / 100) for p in PERCENTILES]), accuracy).alias("p"),
     )
     return row.select(
         "total", "resolved", C.percent(F.col("resolved"), F.col("total")).alias("rate"), "n", "avg_hours", F.when(F.col("n") > 0, F.coalesce("sd", F.lit(0.0))).alias("sd_hours"),
@@ -138,9 +142,9 @@ def by_month(t: DataFrame, key: str) -> DataFrame:
     return t.groupBy(C.month_label("created_date").alias("month"), key).agg(F.count("*").alias("n"))
 
 
-def hours_by_severity(t: DataFrame) -> DataFrame:
+def hours_by_severity(t: DataFrame, accuracy: int | None = None) -> DataFrame:
     """All H but 0, negative ones too."""
-    return with_hours(t).where("h <> 0").groupBy("severity").agg(*_five())
+    return with_hours(t).where("h <> 0").groupBy("severity").agg(*_five(accuracy))
 
 
 def volume_summary(t: DataFrame) -> DataFrame:
@@ -184,10 +188,10 @@ def monthly_growth(t: DataFrame) -> DataFrame:
     return g.withColumn("avg_growth", mean).withColumn("trend", F.when(F.col("avg_growth") > 0, "increasing").when(F.col("avg_growth") < 0, "decreasing").otherwise("stable"))
 
 
-def team(t: DataFrame, key: str) -> DataFrame:
+def team(t: DataFrame, key: str, accuracy: int | None = None) -> DataFrame:
     """Totals, rate and hours of each assignee or group."""
     x = F.when(F.col("h") != 0, F.col("h"))
-    g = with_hours(t).groupBy(C.or_unassigned(key).alias(key)).agg(F.count("*").alias("total"), F.count_if(C.is_resolved()).alias("resolved"), F.avg(x).alias("avg_hours"), F.percentile(x, F.lit(0.5)).alias("median_hours"))
+    g = with_hours(t).groupBy(C.or_unassigned(key).alias(key)).agg(F.count("*").alias("total"), F.count_if(C.is_resolved()).alias("resolved"), F.avg(x).alias("avg_hours"), quantile(x, F.lit(0.5), accuracy).alias("median_hours"))
     return g.withColumn("rate", C.percent(F.col("resolved"), F.col("total")))
 
 

@@ -5,8 +5,10 @@ Events have ts, operation, duration_ms, success and value.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,19 +21,33 @@ def as_operations(events: DataFrame) -> DataFrame:
     return events.select("event_id", "ts", F.col("event_type").alias("operation"), F.col("value").alias("duration_ms"), (F.col("event_type") != "error").alias("success"), "value", "user_id", "props")
 
 
+def ranks_of(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """Each distinct value of each key with ``upto``, how many rows are at or below it, and ``of``, how many there are.
+
+    Values fall into 64 bins an octave. Counts of distinct values are summed in
+    order within a bin, and the bins' sums, few a key, across bins: so one
+    operation with all the rows is as many tasks as it has bins.
+    """
+    v = F.col(value)
+    bin_ = F.when(v == 0, 0).otherwise(F.signum(v) * (F.floor(F.log2(F.abs(v)) * 64) + 100_000)).cast("long")
+    values = rows.where(v.isNotNull()).groupBy(key, value).agg(F.count("*").alias("c")).withColumn("bin", bin_)
+    bins = values.groupBy(key, "bin").agg(F.sum("c").alias("in_bin"))
+    below = F.sum("in_bin").over(Window.partitionBy(key).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+    bins = bins.select(key, "bin", F.coalesce(below, F.lit(0)).alias("below"), F.sum("in_bin").over(Window.partitionBy(key)).alias("of"))
+    within = F.sum("c").over(Window.partitionBy(key, "bin").orderBy(value))
+    return values.withColumn("within", within).join(bins, [key, "bin"]).select(key, value, (F.col("below") + F.col("within")).alias("upto"), "of")
+
+
 def operation_stats(ops: DataFrame, key: str = "operation") -> DataFrame:
     """Counts, rate, mean, median, least, largest, and nearest-rank p95 and p99.
 
-    The ranks come from counts of distinct durations, summed in order, so no
-    operation's rows are gathered; rank int(p * n), n - 1 at most, from 0.
+    Rank int(p * n), n - 1 at most, from 0.
     """
     stats = ops.groupBy(key).agg(
         F.count("*").alias("n"), F.count_if("success").alias("n_success"), F.avg("duration_ms").alias("avg_ms"), F.percentile("duration_ms", F.lit(0.5)).alias("median_ms"),
         F.min("duration_ms").alias("min_ms"), F.max("duration_ms").alias("max_ms"),
     )
-    values = ops.where("duration_ms is not null").groupBy(key, "duration_ms").agg(F.count("*").alias("c"))
-    up = F.sum("c").over(Window.partitionBy(key).orderBy("duration_ms"))
-    ranked = values.withColumns({"upto": up, "of": F.sum("c").over(Window.partitionBy(key))})
+    ranked = ranks_of(ops, key, "duration_ms")
     at = lambda p: F.min(F.when(F.col("upto") > F.least(F.floor(F.col("of") * p), F.col("of") - 1), F.col("duration_ms")))
     ranks = ranked.groupBy(key).agg(at(0.95).alias("p95_ms"), at(0.99).alias("p99_ms"))
     return stats.join(ranks, key, "left").withColumns({"n_error": F.col("n") - F.col("n_success"), "success_rate": F.col("n_success") / F.col("n")})
@@ -103,15 +119,25 @@ def performance_violations(stats: DataFrame, max_ms: float, max_error_rate: floa
 def cooled(alerts: DataFrame, minutes: int, *key: str, ts: str = "fired") -> DataFrame:
     """Alerts without those that come too soon after one that was sent. (I8)
 
-    Whether one is sent depends on the last that was, so each key's times are
-    folded in order; they are alerts, few beside the events they come from.
+    Whether one is sent depends on the last that was: each key's alerts are read
+    in order, once, with the last sent time as all that is held.
     """
-    seconds = minutes * 60
-    start = F.struct(F.lit(None).cast("timestamp_ntz").alias("last"), F.array().cast("array<timestamp_ntz>").alias("sent"))
-    soon = lambda a, x: a["last"].isNotNull() & (F.timestamp_diff("SECOND", a["last"], x) < seconds)
-    step = lambda a, x: F.when(soon(a, x), a).otherwise(F.struct(x.alias("last"), F.concat(a["sent"], F.array(x)).alias("sent")))
-    times = alerts.groupBy(*key).agg(F.sort_array(F.collect_list(F.col(ts).cast("timestamp_ntz"))).alias("times"))
-    return times.select(*key, F.explode(F.aggregate("times", start, step)["sent"]).alias(ts))
+    times = alerts.select(*key, F.col(ts).cast("timestamp_ntz").alias(ts)).where(F.col(ts).isNotNull())
+    pause = pd.Timedelta(minutes=minutes)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of: tuple | None = None
+        last = pd.Timestamp(0)
+        for f in frames:
+            sent = []
+            for k, at in zip(f[list(key)].itertuples(index=False, name=None), f[ts], strict=True):
+                keep = k != of or at - last >= pause
+                if keep:
+                    of, last = k, at
+                sent.append(keep)
+            yield f[sent]
+
+    return times.repartition(*key).sortWithinPartitions(*key, ts).mapInPandas(run, times.schema)
 
 
 def unsuppressed(alerts: DataFrame, intervals: DataFrame, ts: str = "fired") -> DataFrame:
@@ -130,6 +156,19 @@ def alert_history(alerts: DataFrame, k: int = 100) -> DataFrame:
     return alerts.orderBy(F.desc("fired"), "rule").limit(k)
 
 
+def performance_alerts(stats: DataFrame, rules: DataFrame, operation: str = "operation", least: int = 10) -> DataFrame:
+    """Performance rules (metric_name, max_duration_ms, max_error_rate) that operations with enough calls break, each rule for its own operation."""
+    r = rules.where("enabled and kind = 'performance'")
+    both = stats.join(r, stats[operation] == r["metric_name"]).where(F.col("n") >= least)
+    return both.where((F.col("avg_ms") > F.col("max_duration_ms")) | (1 - F.col("success_rate") > F.col("max_error_rate"))).select("name", operation, r["severity"])
+
+
+def threshold_alerts(samples: DataFrame, rules: DataFrame, metric: str = "metric", value: str = "value") -> DataFrame:
+    """Samples that violate the threshold rules of their own metric."""
+    r = rules.where("enabled and kind = 'threshold'").select("name", "metric_name", "comparison", "threshold", "severity")
+    return samples.join(r, samples[metric] == r["metric_name"]).where(violated(F.col(value), F.col("comparison"), F.col("threshold"))).drop("metric_name")
+
+
 def preset_rules(spark: SparkSession) -> DataFrame:
     """(I12)"""
     threshold = lambda name, metric, value, minutes, severity: (name, "threshold", metric, "greater_than", value, minutes, 15, severity, True, None, None)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 from functools import reduce
 
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import clean, quality, sla, trends
 from tidemark.operators import metrics as M
 from tidemark.plans.registry import Registry, distributions, statistics
+from tidemark.session import kept, shared_folder
 
 METRICS = Registry(
     resolution_overview=M.resolution_overview, resolution_by_severity=M.resolution_by_severity, resolution_by_assignee=M.resolution_by_assignee, outlier_summary=M.outlier_summary,
@@ -28,6 +31,11 @@ STATISTICS = Registry(statistics=statistics, distributions=distributions)
 KEYS = ("severity", "assignee", "resolver_group", "status", "grain", "key", "day", "month", "period")
 
 
+LONG = "metric string, key string, value string"
+#: Results of an analysis that run side by side.
+AT_ONCE = 4
+
+
 def _flat(df: DataFrame) -> DataFrame:
     """Arrays as texts, so that every value has a text."""
     arrays = [f.name for f in df.schema if f.dataType.simpleString().startswith("array")]
@@ -41,26 +49,28 @@ def long_form(name: str, df: DataFrame) -> DataFrame:
 def analyze(t: DataFrame, as_of: datetime | str, metrics: Registry | None = METRICS, trend: Registry | None = TRENDS) -> DataFrame:
     """All metrics, trends and quality of the lightly valid rows, in the long form.
 
-    The projected rows are kept once for all results (in memory, else on disk).
-    A result that can't be planned or run gives a row with key ``error``; the
-    others stand. Results are small: aggregates, and lists of bounded length.
+    The projected rows are kept once for all results (in memory, else on disk),
+    and some results are worked out at a time. Each is kept in the shared folder,
+    whatever its size; the driver sees none of them. A result that can't be
+    planned or run gives a row with key ``error``; the others stand.
     """
-    kept = clean.lightly_valid(t).select("id", "status", "severity", "created_date", "updated_date", "resolved_date", "title", "assignee", "resolver_group").persist(StorageLevel.MEMORY_AND_DISK)
+    rows = clean.lightly_valid(t).select("id", "status", "severity", "created_date", "updated_date", "resolved_date", "title", "assignee", "resolver_group").persist(StorageLevel.MEMORY_AND_DISK)
     spark = t.sparkSession
-    parts: list[DataFrame] = []
+    shared_folder(spark)
+
+    def one(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        try:
+            return kept(long_form(name, make()))
+        except PySparkException as e:
+            return spark.createDataFrame([(name, "error", str(e).splitlines()[0])], LONG)
+
+    wanted = [(f"{kind}.{n}", lambda r=r, n=n: r.calculate(n, rows)) for kind, r in (("metric", metrics), ("trend", trend)) if r for n in r.names()]
+    wanted += [("quality", lambda: quality.assess(rows, as_of)), ("insights", lambda: quality.insights(rows))]
     try:
-        wanted = [(f"{kind}.{n}", r, n) for kind, r in (("metric", metrics), ("trend", trend)) if r for n in r.names()]
-        for name, registry, n in wanted:
-            try:
-                rows = long_form(name, registry.calculate(n, kept)).collect()
-            except PySparkException as e:
-                rows = [(name, "error", str(e).splitlines()[0])]
-            parts.append(spark.createDataFrame(rows, "metric string, key string, value string"))
-        parts.append(spark.createDataFrame(long_form("quality", quality.assess(kept, as_of)).collect(), "metric string, key string, value string"))
-        parts.append(spark.createDataFrame(long_form("insights", quality.insights(kept)).collect(), "metric string, key string, value string"))
-        return reduce(DataFrame.unionByName, parts)
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            return reduce(DataFrame.unionByName, pool.map(lambda x: one(*x), wanted))
     finally:
-        kept.unpersist()
+        rows.unpersist()
 
 
 def combine(*reports: DataFrame) -> DataFrame:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import tempfile
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -16,3 +21,20 @@ def session(master: str | None = None, **more: str) -> SparkSession:
     """A session with the settings above; on a cluster, master and resources come from spark-submit."""
     builder = SparkSession.builder.appName("tidemark").config(map=SETTINGS | more)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder for what a job keeps, in the one that spark.checkpoint.dir names for all executors. Without one, only a session on one machine gets a folder of its own."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
+    return f"{sc.getCheckpointDir()}/{uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The same rows, computed once and checkpointed in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,14 +74,24 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RAW).json(path)
 
 
+def _accepted() -> Column:
+    return F.coalesce(F.col("status").isin(*STATUSES), F.lit(False)) & F.coalesce("severity", F.lit("SEV_5")).isin(*SEVERITIES)
+
+
 def read_tickets(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Canonical records; those with an unknown status or severity are left out."""
+    """Canonical records; those with an unknown status or severity are left out (see rejected_tickets)."""
     t = spark.read.schema(TICKETS).format(fmt).load(path)
-    return t.where(F.col("status").isin(*STATUSES) & F.coalesce("severity", F.lit("SEV_5")).isin(*SEVERITIES)).withColumns(
+    return t.where(_accepted()).withColumns(
         {"severity": F.coalesce("severity", F.lit("SEV_5")), "description": F.coalesce("description", F.lit("")), "tags": F.coalesce("tags", F.array().cast("array<string>"))}
     )
 
 
+def rejected_tickets(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Records that read_tickets leaves out, with the fields that are wrong."""
+    wrong = F.array_compact(F.array(F.when(~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False)), "status"), F.when(~F.coalesce("severity", F.lit("SEV_5")).isin(*SEVERITIES), "severity")))
+    return spark.read.schema(TICKETS).format(fmt).load(path).where(~_accepted()).withColumn("wrong", wrong)
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, predicate: Column | None = None, **options: str) -> DataFrame:
     """A relational table with the predicate pushed down; give partitionColumn, lowerBound, upperBound and numPartitions to read in parallel."""
     t = spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
@@ -110,10 +121,18 @@ def count_by_status(t: DataFrame) -> DataFrame:
     return t.groupBy("status").agg(F.count("*").alias("n"))
 
 
-def page(t: DataFrame, size: int = 100, offset: int = 0) -> tuple[DataFrame, int | None]:
-    """A page by creation time and id, and the offset of the next; none after a page that isn't full. Deep pages are better read by the last key seen."""
+def page(t: DataFrame, size: int = 100, offset: int = 0) -> tuple[DataFrame, Callable[[], int | None]]:
+    """A page by creation time and id, and a function that gives the offset of the next, None after a page that isn't full; it counts the page when it is called."""
     rows = t.orderBy("created_date", "id").offset(offset).limit(size)
-    return rows, offset + size if rows.count() == size else None
+    return rows, lambda: offset + size if rows.count() == size else None
+
+
+def page_after(t: DataFrame, size: int = 100, created_date: datetime | str | None = None, after_id: str | None = None) -> DataFrame:
+    """The page after the last key seen: its cost doesn't grow with its depth, as the key is a pushed filter and no rows are skipped."""
+    if created_date is not None:
+        at = C.moment(created_date)
+        t = t.where((F.col("created_date") > at) | (F.col("created_date") == at) & (F.col("id") > F.lit(after_id)))
+    return t.orderBy("created_date", "id").limit(size)
 
 
 def write_json(long: DataFrame, path: str) -> None:
