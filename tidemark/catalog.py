@@ -303,7 +303,8 @@ def _presets(e: DataFrame) -> DataFrame:
     """The preset rules over events that go by the presets' metrics."""
     rules = monitoring.preset_rules(e.sparkSession)
     named = e.withColumn("event_type", C.lookup(F.col("event_type"), _AS_PRESET, F.col("event_type")))
-    slow = monitoring.performance_alerts(monitoring.operation_stats(monitoring.as_operations(named)), rules).select("name", F.col("operation").alias("metric"), F.lit(1).cast("long").alias("n"))
+    ops = monitoring.as_operations(e).withColumn("operation", C.lookup(F.col("operation"), _AS_PRESET, F.col("operation")))
+    slow = monitoring.performance_alerts(monitoring.operation_stats(ops), rules).select("name", F.col("operation").alias("metric"), F.lit(1).cast("long").alias("n"))
     over = monitoring.threshold_alerts(named.select(F.col("event_type").alias("metric"), "value"), rules).groupBy("name", "metric").agg(F.count("*").alias("n"))
     return slow.unionByName(over)
 
