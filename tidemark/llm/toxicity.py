@@ -110,7 +110,7 @@ def train_machine(x: np.ndarray, y: np.ndarray, importance: np.ndarray, feature:
     return Machine(feature, float(p[0][0]), p[1], p[2])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, features: int = 1024, least_texts: int = 6, least_z: float = 5.0, least_lift: float = 2.0, rank: int = 8, pair_terms: int = 1536) -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, features: int = 1024, least_texts: int = 6, least_z: float = 5.0, least_lift: float = 2.0, rank: int = 8, pair_terms: int = 1024) -> Machine:
     """A machine for ``labels.toxic``, from docs (doc_id, text)."""
     chosen, n = sampled_labels(labels, sample)
     prior = float(np.log((n[1] + 0.5) / (n[0] + 0.5)))
@@ -135,11 +135,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, features: int
     some = np.unique(np.concatenate([chosen_, usual]))
     number[term[some]] = np.arange(len(some))
     rows = _picked(terms, number).toArrow()  # at most 2 * sample rows, of at most pair_terms + features numbers
-    ordered = sorted(zip(rows.column("toxic").to_pylist(), rows.column("features").to_pylist(), strict=True))  # in whatever order they came
-    x = np.zeros((len(ordered), len(some)), np.uint8)
-    for i, (_, f) in enumerate(ordered):
-        x[i, f] = 1
-    y = np.array([t for t, _ in ordered], np.float64)
+    every = rows.column("features").combine_chunks()
+    every = every.chunk(0) if isinstance(every, pa.ChunkedArray) else every
+    x = np.zeros((rows.num_rows, len(some)), np.uint8)
+    x[np.repeat(np.arange(rows.num_rows), np.diff(every.offsets.to_numpy())), every.flatten().to_numpy()] = 1
+    y = rows.column("toxic").to_numpy().astype(np.float64)
+    packed = np.packbits(x, axis=1)
+    order = sorted(range(len(y)), key=lambda i: (y[i], packed[i].tobytes()))  # in whatever order they came
+    x, y = x[order], y[order]
     at = np.searchsorted(some, usual)
     pairs = usual[_paired(x[:, at], y, z[usual], least_texts, least_z, least_lift, features // 8)] if len(usual) else usual
     kept = np.unique(np.concatenate([chosen_, pairs]))
