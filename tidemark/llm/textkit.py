@@ -10,6 +10,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,8 +148,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of frames that nothing refers to any more: it does so when the driver collects its garbage, which else may not come for long. The session refers to the last query until it has run another."""
-    for _ in range(2):  # what the first pass frees may have been all that held the rest
+    for _ in range(3):  # what one pass frees may have been all that held the rest; references between Python and the JVM go a moment later
         gc.collect()
+        time.sleep(0.5)
         spark.range(1).count()
         spark.sparkContext._jvm.System.gc()
 
