@@ -128,6 +128,35 @@ def log_table(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.log10(p).astype(np.float32)
 
 
+class Places:
+    """Where each of some distinct values in order is, or -1, by a slot for each of their hashes; values that share a slot are searched for."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.values = values
+        bits = max(1, (16 * len(values)).bit_length())
+        self.down = U64(64 - bits)
+        slot = self._slot(values)
+        self.at = np.full(1 << bits, -1, np.int32)
+        self.at[slot] = np.arange(len(values), dtype=np.int32)
+        self.shared = np.zeros(1 << bits, bool)
+        self.shared[slot[self.at[slot] != np.arange(len(values))]] = True
+
+    def _slot(self, x: np.ndarray) -> np.ndarray:
+        return (x.view(np.uint64) * U64(0x9E3779B97F4A7C15)) >> self.down
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        if not len(self.values):
+            return np.full(len(x), -1)
+        slot = self._slot(x)
+        at = self.at[slot].astype(np.int64)
+        at[self.values[at] != x] = -1
+        more = np.flatnonzero(self.shared[slot] & (at < 0))
+        if len(more):
+            k = np.minimum(np.searchsorted(self.values, x[more]), len(self.values) - 1)
+            at[more] = np.where(self.values[k] == x[more], k, -1)
+        return at
+
+
 class Model:
     """What scoring needs besides the counts of rare words and pairs. Words are coded: the end 0, frequent ones by their place from 1 on, rare ones by their hash with the sign bit set."""
 
@@ -139,11 +168,19 @@ class Model:
         #: pairs that are frequent: a * 2**20 + b, in order, and their log-probabilities
         self.pairs, self.pair_logs = np.zeros(0, np.int64), np.zeros(0)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if not isinstance(v, Places)}
+
+    def places(self, name: str) -> "Places":
+        """Where the values of an attribute are, built where it is first asked for."""
+        values, known = getattr(self, name), self.__dict__.get(name + "_at")
+        if known is None or known.values is not values:
+            known = self.__dict__[name + "_at"] = Places(values)
+        return known
+
     def code(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return h | RARE
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, at + 1, h | RARE)
+        at = self.places("keys").of(h)
+        return np.where(at >= 0, at + 1, h | RARE)
 
     def log_probability(self, cab: np.ndarray, ca: np.ndarray, cb: np.ndarray) -> np.ndarray:
         if not self.tokens:
@@ -173,14 +210,29 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(k, 8, n).transpose(0, 2, 1)).view("<i8").reshape(k, n)
 
 
-def _bucket(key: np.ndarray, parts: int) -> np.ndarray:
-    return (mix(key.view(np.uint64)) % U64(parts)).astype(np.int64)
+def _spread(key: np.ndarray) -> np.ndarray:
+    return mix(key.view(np.uint64))
 
 
-def _rows(kind: int, bucket: np.ndarray, columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One packed row per bucket, pairs (or words) in order."""
-    order = np.lexsort((*columns[1::-1], bucket))
-    bucket, columns = bucket[order], columns[:, order]
+def _new(p: np.ndarray) -> np.ndarray:
+    """Where the first two columns differ from the row before."""
+    new = np.ones(p.shape[1], bool)
+    new[1:] = (p[0, 1:] != p[0, :-1]) | (p[1, 1:] != p[1, :-1])
+    return new
+
+
+def _rows(kind: int, home: np.ndarray, columns: np.ndarray, parts: int, combine: bool = False) -> Iterator[pa.RecordBatch]:
+    """One packed row per bucket, in order of the first two columns as far as the key's bits reach. Combine: equal pairs that meet are added up."""
+    bucket = home % U64(parts)
+    a, b = columns[:2].view(np.uint64)
+    far = U64(63)  # set in rare words
+    inner = np.where(a >> far, (a & U64(2**64 - 2**29)) | ((b & U64(0xFFFFF)) << U64(9)), (a << U64(43)) | np.where(b >> far, b >> U64(21), b << U64(23)))
+    bits = U64(max(1, (parts - 1).bit_length()))
+    order = np.argsort((bucket << (U64(64) - bits)) | (inner >> bits))
+    bucket, columns = bucket[order].astype(np.int64), columns[:, order]
+    if combine and len(bucket):
+        at = np.flatnonzero(_new(columns))
+        bucket, columns = bucket[at], np.concatenate([columns[:2, at], np.add.reduceat(columns[2:], at, axis=1)])
     at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
     ends = [*at[1:], len(bucket)] if len(bucket) else []
     for i in range(0, len(at), 500):
@@ -189,17 +241,21 @@ def _rows(kind: int, bucket: np.ndarray, columns: np.ndarray) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array([bucket[x] for x, _ in some], pa.int32()), pa.array([kind] * len(some), pa.int32()), pa.array(data, pa.binary())], schema=_PACKED)
 
 
-def _home(a: np.ndarray, b: np.ndarray, parts: int) -> np.ndarray:
+def _home(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Pairs go to where the second word's count is if that is rare, else to the first one's, else are dealt by both."""
-    return _bucket(np.where(b < 0, b, np.where(a < 0, a, a * (1 << 20) + b)), parts)
+    return _spread(np.where(b < 0, b, np.where(a < 0, a, a * (1 << 20) + b)))
 
 
 def _distinct(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The columns in order of the first two, and where each new pair of these starts."""
-    p = p[:, np.lexsort((p[1], p[0]))]
-    new = np.ones(p.shape[1], bool)
-    new[1:] = (p[0, 1:] != p[0, :-1]) | (p[1, 1:] != p[1, :-1])
-    return p, np.flatnonzero(new)
+    """The columns with equal pairs of the first two together, and where each new pair of these starts."""
+    key = mix(_spread(p[0]) + p[1].view(np.uint64))
+    order = np.argsort(key)
+    key, q = key[order], p[:, order]
+    new = _new(q)
+    if (new[1:] & (key[1:] == key[:-1])).any():  # two pairs of one key
+        q = p[:, np.lexsort((p[1], p[0]))]
+        new = _new(q)
+    return q, np.flatnonzero(new)
 
 
 def _pairs(docs: DataFrame, shared, what: str) -> DataFrame:
@@ -214,10 +270,8 @@ def _pairs(docs: DataFrame, shared, what: str) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             if kept:
                 p = np.concatenate(kept, axis=1)
-                if what != "score" and p.shape[1]:
-                    p, at = _distinct(p)
-                    p = np.concatenate([p[:2, at], np.add.reduceat(p[2:], at, axis=1)])
-                yield from _rows(PAIRS, _bucket(p[0], model.parts) if what == "rare" else _home(p[0], p[1], model.parts), p)
+                kept.clear()
+                yield from _rows(PAIRS, _spread(p[0]) if what == "rare" else _home(p[0], p[1]), p, model.parts, what != "score")
 
         for batch in batches:
             for part, buf, off in chunks(batch):
@@ -235,13 +289,13 @@ def _pairs(docs: DataFrame, shared, what: str) -> DataFrame:
                     lm = np.zeros(part.num_rows)
                     if len(model.pairs):
                         key = np.where(known & (before >= 0), before * (1 << 20) + s, -1)
-                        at = np.minimum(np.searchsorted(model.pairs, key), len(model.pairs) - 1)
-                        there = model.pairs[at] == key
+                        at = model.places("pairs").of(key)
+                        there = at >= 0
                         lm = np.bincount(doc[there], model.pair_logs[at[there]], part.num_rows)
                         before, s, doc, fold = before[~there], s[~there], doc[~there], fold[~there]
                     ids = part.column(1)
                     whole = np.stack([rows, ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False).astype(np.int64), n, n_known, base.view(np.int64), lm.view(np.int64)])
-                    yield from _rows(WHOLE, np.full(part.num_rows, _bucket(rows[:1], model.parts)[0]), whole)
+                    yield from _rows(WHOLE, np.full(part.num_rows, _spread(rows[:1])[0]), whole, model.parts)
                     kept.append(np.stack([before, s, rows[doc], fold]))
                 else:
                     p = np.stack([before, s, fold == 0, fold == 1])
@@ -261,7 +315,7 @@ def _word_rows(rare: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             k, c, held = (x.to_numpy(zero_copy_only=False) for x in b.columns)
-            yield from _rows(WORDS, _bucket(k | RARE, parts), np.stack([k | RARE, c, held]))
+            yield from _rows(WORDS, _spread(k | RARE), np.stack([k | RARE, c, held]), parts)
 
     return rare.select("key", "c", "held").mapInArrow(run, _PACKED_DDL)
 
@@ -311,13 +365,13 @@ def _both(docs: DataFrame, words_: DataFrame, shared) -> DataFrame:
             if group[PAIRS] is not None:
                 p, at = _distinct(group[PAIRS])
                 a, b = p[:2, at]
-                yield from _rows(BOTH, _bucket(b, model.parts), np.stack([a, b, *_Counts(group[WORDS]).of(model, a)]))
+                yield from _rows(BOTH, _spread(b), np.stack([a, b, *_Counts(group[WORDS]).of(model, a)]), model.parts)
 
     return _dealt(_pairs(docs, shared, "rare").unionByName(words_), run, _PACKED_DDL)
 
 
 def _together(model: Model, group: list[np.ndarray | None]) -> tuple[np.ndarray, ...]:
-    """a, b, x, y of a bucket's pairs, in order of a and b; the pairs' first places; all and main counts of a, and of b."""
+    """a, b, x, y of a bucket's pairs, equal ones together; the pairs' first places; all and main counts of a, and of b."""
     counts = _Counts(group[WORDS])
     p, at = _distinct(np.zeros((4, 0), np.int64) if group[PAIRS] is None else group[PAIRS])
     a, b = p[:2, at]
