@@ -417,3 +417,24 @@ def test_pipeline(spark, small):
             assert at.columns == start.columns
         assert 0.5 * rows < at.count() <= before.count()
     assert cp.run(spark, small).count() == at.count()
+
+
+def test_places_and_packed_pairs_hold_every_value():
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 5, 3000):
+        values = np.unique(rng.integers(-(2**63), 2**63 - 1, n))
+        asked = np.concatenate([values, rng.integers(-(2**63), 2**63 - 1, 500), np.arange(-3, 4)])
+        where = {v: i for i, v in enumerate(values.tolist())}
+        assert lm.Places(values).of(asked).tolist() == [where.get(v, -1) for v in asked.tolist()]
+    codes = np.concatenate([np.arange(40), rng.integers(0, 2**62, 40) | lm.RARE])
+    p = np.stack([*rng.choice(codes, (2, 20_000)), *rng.integers(0, 2, (2, 20_000))])
+    for parts in (1, 7, 2**30):
+        rows = [r for b in lm._rows(lm.PAIRS, lm._home(p[0], p[1]), p, parts, True) for r in b.to_pylist()]
+        assert len({r["bucket"] for r in rows}) == len(rows)
+        q, at = lm._distinct(np.concatenate([lm._unpack(r["data"]) for r in rows], axis=1))
+        sums = np.add.reduceat(q[2:], at, axis=1)
+        want: dict = {}
+        for a, b, x, y in p.T.tolist():
+            u, v = want.get((a, b), (0, 0))
+            want[a, b] = (u + x, v + y)
+        assert {(a, b): (x, y) for a, b, x, y in np.concatenate([q[:2, at], sums]).T.tolist()} == want
