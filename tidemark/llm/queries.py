@@ -1,8 +1,11 @@
 """The registered query of each operator: (spark, sf_dir) to its full result."""
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, decontaminate, html_text, licenses, lm, near_dup, pieces, repeats, secret_scan, toxicity
+from tidemark.llm import ann, collocations, decontaminate, html_text, licenses, lm, near_dup, pieces, repeats, secret_scan, toxicity, variants, warc
+from tidemark.llm.textkit import checkpoint_ready
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,5 +53,19 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_near_dup, op3_pieces, op4_html_text, op5_ann, op6_repeats, op7_decontaminate, op8_toxicity, op9_licenses, op10_lm)}
-ORACLES: dict[str, str] = {"op2_near_dup": near_dup.oracle_sql(3, 85), "op7_decontaminate": decontaminate.ORACLE_SQL}
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(variants.corpus_words(table(spark, sf_dir, "documents"), least_length=6, least_count=5, one_in=199), ratio=5)
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checkpoint_ready(spark)
+    packages = warc.write(table(spark, sf_dir, "pages"), f"{spark.sparkContext.getCheckpointDir()}/warc-{uuid4().hex}", least=0)
+    return warc.pages_of(warc.read(spark, packages, payload=False))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=100, top=2000)
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_near_dup, op3_pieces, op4_html_text, op5_ann, op6_repeats, op7_decontaminate, op8_toxicity, op9_licenses, op10_lm, op11_variants, op12_warc, op13_collocations)}
+ORACLES: dict[str, str] = {"op2_near_dup": near_dup.oracle_sql(3, 85), "op7_decontaminate": decontaminate.ORACLE_SQL, "op11_variants": variants.oracle_sql(), "op12_warc": warc.ORACLE_SQL, "op13_collocations": collocations.ORACLE_SQL}
