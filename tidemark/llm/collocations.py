@@ -37,7 +37,7 @@ LONGEST = 5
 #: Buckets of the sieve: 2^16 at least, 2^28 (a bitmap of 32 MB, broadcast) at most; a shuffled row has the counts of 2^12 of them.
 LEAST_BITS, MOST_BITS, PART_BITS = 16, 28, 12
 #: Bytes of text that are counted together before they are shuffled.
-AT_ONCE = 8 << 20
+AT_ONCE = 2 << 20
 #: What ends a piece, besides line ends.
 STOPS = b".,;:!?\n\x0b\x0c\r"
 _SEPARATES = np.zeros(256, dtype=bool)
@@ -57,7 +57,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
                 continue
             lang = pc.dictionary_encode(rows.column(rows.schema.get_field_index("lang")))
             of = np.repeat(lang.indices.to_numpy(), np.diff(first)).astype(np.int64)
-            before = np.concatenate([[0], np.cumsum(_SEPARATES[low])])
+            before = np.cumsum(_SEPARATES[low], dtype=np.int32)  # a word holds none
             joined = np.zeros(len(starts), dtype=bool)
             joined[:-1] = before[starts[1:]] == before[starts[:-1]]
             joined[first[1:][first[1:] > 0] - 1] = False
