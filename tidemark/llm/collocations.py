@@ -6,12 +6,12 @@ counted windows then sums them by shorter and shorter prefixes, which gives the
 count of every phrase of one to five words, and the number of words, without a
 pass for each length.
 
-A phrase that is frequent enough consists of pairs of neighbours that are, so a
-window ends (is padded) before the first pair that can't be. Which pairs can't
-is told by a sieve: pairs are hashed into buckets, the buckets counted, and a
-pair whose bucket stays under the threshold is rare for certain. The sieve has a
-bucket for 8 words, ``MOST_BITS`` at most; where it is too small, more windows
-stay long, and nothing else changes.
+A phrase that is frequent enough consists of pairs and triples of neighbours that
+are, so a window ends (is padded) before the first pair or triple that can't be.
+Which can't is told by two sieves: pairs, then triples of pairs that pass, are
+hashed into buckets, the buckets counted, and what is in a bucket under the
+threshold is rare for certain. A sieve has a bucket for 8 words, 2^``MOST_BITS``
+at most; where it is too small, more windows stay long, and nothing else changes.
 
 Null texts have no words, a null language is ``und``, a text may be of any
 length; extra columns are ignored; without words there are no rows.
@@ -34,8 +34,10 @@ from tidemark.llm.textkit import LOWER, U64, chunks, cut, mix, word_hashes, word
 
 #: Words of the longest window.
 LONGEST = 5
-#: Buckets of the sieve: 2^16 at least, 2^28 (a bitmap of 32 MB, broadcast) at most; a shuffled row has the counts of 2^12 of them.
-LEAST_BITS, MOST_BITS, PART_BITS = 16, 28, 12
+#: Buckets of a sieve: 2^16 at least, 2^28 (a bitmap of 32 MB, broadcast) at most. Their counts are shuffled in 2^10 parts, so that rows grow with the text alone.
+LEAST_BITS, MOST_BITS, PARTS = 16, 28, 10
+#: Languages whose totals are broadcast at most.
+BROADCAST = 10_000
 #: Bytes of text that are counted together before they are shuffled.
 AT_ONCE = 2 << 20
 #: What ends a piece, besides line ends.
@@ -64,36 +66,54 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
             yield low, starts, ends, of, lang.dictionary.to_pylist(), joined
 
 
-def _bucket(hashes: np.ndarray, of: np.ndarray, langs: list[str], bits: int) -> np.ndarray:
-    """The bucket of each word with the next one, in its language."""
-    seed = np.array([int.from_bytes(x.encode()[:8].ljust(8, b"\0"), "little") ^ (len(x) << 56) for x in langs], dtype=np.uint64)
-    return mix(hashes[:-1] * U64(0x9E3779B97F4A7C15) + mix(hashes[1:] ^ mix(seed)[of[1:]])) >> U64(64 - bits)
+Sieves = list[tuple[int, np.ndarray]]
+
 
+def _after(x: np.ndarray, k: int) -> np.ndarray:
+    """What stands k places on, 0 beyond the end."""
+    return np.append(x[k:], np.zeros(min(k, len(x)), x.dtype))
 
-def _counted(bits: int, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts of buckets: a row for each 2^12 neighbouring ones, with the low bits (2 bytes) and the count (1 byte, ``least`` at most) of those that occur."""
+
+def _lasting(hashes: np.ndarray, of: np.ndarray, langs: list[str], joined: np.ndarray, sieves: Sieves, longest: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Whether the phrase of 2, 3, ... longest words that begins at each word stays in its piece and passes the sieves of its length and of all phrases within it; and hashes of the longest one."""
+    seed = np.array([int.from_bytes(x.encode()[:8].ljust(8, b"\0"), "little") ^ (len(x) << 56) for x in langs], dtype=np.uint64)
+    key, out = mix(hashes ^ mix(seed)[of]), []
+    for k in range(2, longest + 1):
+        alive = joined.copy() if k == 2 else out[-1] & _after(out[-1], 1)
+        if k - 2 <= len(sieves):
+            key = mix(key * U64(0x9E3779B97F4A7C15) + _after(hashes, k - 1))
+        if k - 2 < len(sieves):
+            bits, passed = sieves[k - 2]
+            at = np.flatnonzero(alive)
+            bucket = (key[at] >> U64(64 - bits)).astype(np.int64)
+            alive[at] = passed[bucket >> 3] >> (bucket & 7).astype(np.uint8) & 1
+        out.append(alive)
+    return out, key
+
+
+def _counted(bits: int, least: int, held: Broadcast, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts of the buckets of phrases of k words: for each of 2^PARTS parts of all buckets a row with those that occur, their place in the part (3 bytes) and count (1 byte, ``least`` at most)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most = min(least, 255)
+        most, inner = min(least, 255), U64(bits - PARTS)
         for low, starts, ends, of, langs, joined in _runs(batches):
-            got, n = np.unique(_bucket(word_hashes(low, starts, ends), of, langs, bits)[joined[:-1]], return_counts=True)
-            packed = np.empty((len(got), 3), np.uint8)
-            packed[:, :2] = (got & U64((1 << PART_BITS) - 1)).astype("<u2").view(np.uint8).reshape(-1, 2)
-            packed[:, 2] = np.minimum(n, most)
-            part = (got >> U64(PART_BITS)).astype(np.int64)
+            alive, key = _lasting(word_hashes(low, starts, ends), of, langs, joined, held.value, k)
+            got, n = np.unique(key[alive[-1]] >> U64(64 - bits), return_counts=True)
+            packed = ((got & ((U64(1) << inner) - U64(1))) << U64(8) | np.minimum(n, most).astype(np.uint64)).astype("<u4")
+            part = (got >> inner).astype(np.int64)
             cuts = np.flatnonzero(np.diff(part, prepend=-1))
-            off = np.append(cuts, len(got)).astype(np.int32) * 3
+            off = np.append(cuts, len(got)).astype(np.int32) * 4
             blob = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(off), pa.py_buffer(packed.tobytes())])
             yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), blob], names=["part", "counts"])
 
     return run
 
 
-def _passed(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _passed(bits: int, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The buckets of each part that reach the threshold, as bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total = None, np.zeros(1 << PART_BITS, np.int64)
+        now, total = None, np.zeros(0, np.int64)
 
         def done() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.packbits(total >= min(least, 255), bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
@@ -103,22 +123,22 @@ def _passed(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 if part != now:
                     if now is not None:
                         yield done()
-                    now, total = part, np.zeros(1 << PART_BITS, np.int64)
-                x = np.frombuffer(blob.as_buffer(), np.uint8).reshape(-1, 3)
-                total[x[:, :2].copy().view("<u2").ravel()] += x[:, 2]
+                    now, total = part, np.zeros(1 << bits - PARTS, np.int64)
+                x = np.frombuffer(blob.as_buffer(), "<u4")
+                total[x >> 8] += x & 255
         if now is not None:
             yield done()
 
     return run
 
 
-def sieve(docs: DataFrame, least: int, bits: int) -> np.ndarray:
-    """A bitmap of the buckets of pairs (2^bits) in which ``least`` pairs or more fall."""
-    counts = docs.mapInArrow(_counted(bits, least), "part long, counts binary")
+def sieve(docs: DataFrame, least: int, bits: int, held: Broadcast, k: int) -> np.ndarray:
+    """A bitmap of 2^bits buckets of phrases of k words: those in which ``least`` of them or more fall, of phrases that pass the sieves before."""
+    counts = docs.mapInArrow(_counted(bits, least, held, k), "part long, counts binary")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    passed = counts.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_passed(least), "part long, bits binary")
-    out = np.zeros((1 << bits - PART_BITS, 1 << PART_BITS - 3), np.uint8)
-    for part, got in passed.toLocalIterator():
+    passed = counts.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_passed(bits, least), "part long, bits binary")
+    out = np.zeros((1 << PARTS, 1 << bits - PARTS - 3), np.uint8)
+    for part, got in passed.collect():
         out[part] = np.frombuffer(got, np.uint8)
     return out.ravel()
 
@@ -139,21 +159,15 @@ def _dense(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.nda
     return ids.astype(np.int64), first
 
 
-def _windows(bits: int, passed: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _windows(held: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """lang, w1 to w5, n: the longest windows of each run of documents, counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = passed.value
         for low, starts, ends, of, langs, joined in _runs(batches):
             hashes = word_hashes(low, starts, ends)
-            bucket = _bucket(hashes, of, langs, bits).astype(np.int64)
-            goes_on = joined.copy()
-            goes_on[:-1] &= (bitmap[bucket >> 3] >> (bucket & 7).astype(np.uint8) & 1).astype(bool)
             ids, first = _dense(low, starts, ends, hashes)
-            cols, alive = [ids + 1], np.ones(len(ids), dtype=bool)
-            for k in range(1, LONGEST):
-                alive = alive & np.append(goes_on[k - 1 :], np.zeros(min(k - 1, len(ids)), dtype=bool))[: len(ids)]
-                cols.append(np.where(alive, np.append(ids[k:] + 1, np.zeros(min(k, len(ids)), np.int64))[: len(ids)], 0))
+            alive, _ = _lasting(hashes, of, langs, joined, held.value, LONGEST)
+            cols = [ids + 1, *(np.where(a, _after(ids + 1, k + 1), 0) for k, a in enumerate(alive))]
             # single words, most of all, are counted by their numbers; longer windows by theirs, of 21 bits each
             single = cols[1] == 0
             n = np.bincount(of[single] * (len(first) + 1) + cols[0][single], minlength=1)
@@ -178,9 +192,11 @@ def phrase_counts(docs: DataFrame, least: int, most_bits: int = MOST_BITS) -> Da
     """lang, size, phrase, f: counts of the phrases of 1 to 5 words that occur ``least`` times or more, and, as size 0, of all words of a language."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(max(int(size // 48).bit_length(), LEAST_BITS), most_bits)  # a word is six bytes or so
-    passed = docs.sparkSession.sparkContext.broadcast(sieve(texts, least, bits))
-    windows = texts.mapInArrow(_windows(bits, passed), "lang string, " + "".join(f"{w} string, " for w in W) + "n long").groupBy("lang", *W).agg(F.sum("n").alias("n"))
+    bits = max(min(max(int(size // 48).bit_length(), LEAST_BITS), most_bits), PARTS + 3)  # a word is six bytes or so
+    share = docs.sparkSession.sparkContext.broadcast
+    pairs = [(bits, sieve(texts, least, bits, share([]), 2))]
+    sieves = [*pairs, (bits, sieve(texts, least, bits, share(pairs), 3))]
+    windows = texts.mapInArrow(_windows(share(sieves)), "lang string, " + "".join(f"{w} string, " for w in W) + "n long").groupBy("lang", *W).agg(F.sum("n").alias("n"))
     summed = windows.rollup("lang", *W).agg(F.sum("n").alias("f"), F.grouping_id().alias("g"))
     # at each level the last word that is still there must be one: else its windows had ended, and belong to shorter phrases
     levels = {(1 << LONGEST - k) - 1: k for k in range(LONGEST + 1)}
@@ -215,7 +231,7 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000, percent: in
     left = phrases.join(covered, (F.col("lang") == F.col("_in")) & (F.col("phrase") == F.col("_phrase")), "left").where(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * percent))
     cuts = left.select("lang", "phrase", "a", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"), "size").withColumns({"head": said(F.lit(1), F.col("k")), "tail": said(F.col("k") + 1, F.col("size") - F.col("k"))})
     both = cuts.join(part("l"), (F.col("lang") == F.col("l_lang")) & (F.col("head") == F.col("l_phrase"))).join(part("r"), (F.col("lang") == F.col("r_lang")) & (F.col("tail") == F.col("r_phrase")))
-    both = both.join(total, F.col("lang") == F.col("_lang")).withColumns({"over": _wide("a") * _wide("n") * F.lit(1000).cast("decimal(4,0)"), "under": _wide("l") * _wide("r")})
+    both = both.join(F.broadcast(total) if total.count() <= BROADCAST else total, F.col("lang") == F.col("_lang")).withColumns({"over": _wide("a") * _wide("n") * F.lit(1000).cast("decimal(4,0)"), "under": _wide("l") * _wide("r")})
     scored = both.withColumn("score", F.expr("over div under")).groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "l", "r", "a", "n")).alias("x"))
     out = scored.select("lang", "phrase", "x.a", "x.l", "x.r", "x.n", "x.score")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
