@@ -1,12 +1,14 @@
 """Operators on hand-made rows."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions import columns as C
-from tidemark.operators import clean, monitoring, privacy, quality, sla, trends, validation
+from tidemark.operators import clean, monitoring, privacy, quality, ranks, sla, trends, validation
 from tidemark.operators import metrics as M
 from tidemark.operators.criteria import Criteria, last_days, named_range, search
 from tidemark.plans import jobs, registry
@@ -221,3 +223,84 @@ def test_ranks_of_negative_and_equal_values(spark):
     values = [-5.0, -5.0, -0.25, 0.0, 0.0, 1e-9, 3.0, 3.0, 1e12]
     r = monitoring.ranks_of(spark.createDataFrame([("k", v) for v in values], "k string, v double"), "k", "v").collect()
     assert {x.v: (x.upto, x.of) for x in r} == {v: (sum(w <= v for w in values), 9) for v in values}
+
+
+def _plain_alerts(samples, minutes, pause):
+    """Runs, when they fire, when they are resolved, and which of them are sent, a key at a time."""
+    out, sent = [], []
+    for key in {k for k, *_ in samples}:
+        rows = sorted(((t, bad) for k, t, bad in samples if k == key), key=lambda r: (r[0], r[1]))  # good ones first
+        runs, now = [], None
+        for t, bad in rows:
+            if not bad:
+                now = None
+            elif now is None:
+                now = [t]
+                runs.append(now)
+            else:
+                now.append(t)
+        last = None
+        for run in runs:
+            fired = next((t for t in run if t > run[0] and t - run[0] >= timedelta(minutes=minutes)), None)
+            if fired:
+                out.append((key, run[0], run[-1], len(run), fired, next((t for t, bad in rows if not bad and t > fired), None)))
+                if last is None or fired - last >= timedelta(minutes=pause):
+                    sent.append((key, fired))
+                    last = fired
+    return out, sent
+
+
+@pytest.mark.parametrize(("minutes", "pause", "unit"), [(5, 30, "hour"), (0, 61, "minute"), (90, 1, "day"), (1.5, 700, "hour")])
+def test_alerts_from_summaries_of_buckets(spark, minutes, pause, unit):
+    r = random.Random(minutes)
+    samples = {(k, AS_OF + timedelta(seconds=r.randint(0, 90_000 if k else 900_000))): r.random() < (0.97 if k == "b" else 0.6) for k in ("a", "b", None) for _ in range(700)}
+    samples = [(k, t, bad) for (k, t), bad in samples.items()]
+    s = spark.createDataFrame([*samples, ("a", None, True)], "rule string, ts timestamp_ntz, bad boolean").repartition(5)
+    fired = monitoring.sustained(s, minutes, "rule", unit=unit)
+    full = monitoring.with_resolution(s, fired, "rule", unit=unit)
+    want, sent = _plain_alerts(samples, minutes, pause)
+    got = [(x.rule, x.start, x.end, x.n, x.fired, x.resolved) for x in full.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and want
+    assert sorted((tuple(x) for x in monitoring.cooled(full, pause, "rule").collect()), key=str) == sorted(sent, key=str)
+
+
+def test_a_key_with_all_samples_is_many_tasks(spark):
+    one = spark.range(1_000_000).select(F.lit("r").alias("rule"), F.timestamp_add("SECOND", F.col("id").cast("int"), F.lit(AS_OF)).alias("ts"), (F.col("id") % 5000 != 0).alias("bad"))
+    tasks = lambda df: df.select(F.spark_partition_id().alias("p")).groupBy("p").count().where("count > 100000").count()
+    rows, _ = monitoring._bucketed(one, ("rule",), "hour")
+    spread = rows.withColumn("g", F.max("ts").over(Window.partitionBy("rule", "_b").orderBy("ts")))
+    assert tasks(spread) > 1
+    assert monitoring.sustained(one, 5, "rule").count() == 200
+
+
+def test_suppression_by_bins(spark):
+    r = random.Random(5)
+    at = lambda: AS_OF + timedelta(minutes=r.randint(0, 20_000))
+    alerts = [(r.choice("ab"), at()) for _ in range(400)] + [("a", None), (None, AS_OF)]
+    gaps = [(r.choice("abc"), *sorted((at(), at()))) for _ in range(4)] + [("a", AS_OF, AS_OF), ("b", AS_OF, AS_OF + timedelta(days=1)), ("a", alerts[0][1], alerts[0][1] + timedelta(minutes=1))]
+    a, i = spark.createDataFrame(alerts, "rule string, fired timestamp_ntz"), spark.createDataFrame(gaps, "rule string, from_ts timestamp_ntz, to_ts timestamp_ntz")
+    want = [(k, t) for k, t in alerts if not any(k == g and t is not None and x <= t < y for g, x, y in gaps)]
+    for unit in ("day", "hour"):
+        assert sorted((tuple(x) for x in monitoring.unsuppressed(a, i, unit=unit).collect()), key=str) == sorted(want, key=str)
+    assert monitoring.unsuppressed(a, i.limit(0)).count() == len(alerts)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 1000])
+def test_quantiles_by_counting_equal_sorted_ones(spark, n):
+    r = random.Random(n)
+    rows = [(k, r.choice([0.0, -0.0, 1e-300, -2.5, 7.0, r.uniform(-1e6, 1e6), r.gauss(0, 1), 1e300])) for k in ("a", None, "b") for _ in range(n)]
+    df = spark.createDataFrame([*rows, ("a", None), ("none", None)], "k string, v double").repartition(4)
+    ps = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p99": 0.99, "p100": 1.0}
+    got = {x.k: x for x in ranks.described(df, "v", ("k",), ps).collect()}
+    want = df.where("v is not null").groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, ps.values()))).alias("q"), F.avg("v").alias("m"), F.count("v").alias("n")).collect()
+    assert set(got) == {x.k for x in want}
+    for x in want:
+        assert [got[x.k][p] for p in ps] == pytest.approx(x.q, rel=1e-9)
+        assert got[x.k].n == x.n and got[x.k].avg_hours == pytest.approx(x.m, rel=1e-9)
+    assert ranks.described(df.where("v > 1e301"), "v", (), ps).first()["p50"] is None
+
+
+def test_ranks_with_values_beyond_numbers(spark):
+    values = [float("-inf"), -1.0, 0.0, 1.0, float("inf"), float("nan")]
+    got = ranks.ranked(spark.createDataFrame([(v,) for v in values], "v double"), "v").orderBy("upto").collect()
+    assert [str(x.v) for x in got] == [str(v) for v in values] and [x.upto for x in got] == [1, 2, 3, 4, 5, 6]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import columns as C
+from tidemark.operators import ranks
 
 PERCENTILES = (50, 75, 90, 95, 99)
 
@@ -41,28 +42,39 @@ def positive(t: DataFrame) -> DataFrame:
     return with_hours(t).where("h > 0")
 
 
-def quantile(h: str | Column, at: Column, accuracy: int | None = None) -> Column:
-    """Exact quantiles, linear between ranks, which hold a group's distinct values; with an accuracy a bounded sketch, for groups of any size."""
-    return F.percentile(h, at) if accuracy is None else F.percentile_approx(h, at, accuracy)
+def quantile(h: str | Column, at: Column, accuracy: int) -> Column:
+    """Quantiles from a sketch of bounded size."""
+    return F.percentile_approx(h, at, accuracy)
 
 
-def _five(accuracy: int | None = None) -> list[Column]:
-    return [F.avg("h").alias("avg_hours"), quantile("h", F.lit(0.5), accuracy).alias("median_hours"), F.count("*").alias("n"), F.min("h").alias("min_hours"), F.max("h").alias("max_hours")]
+def _five(rows: DataFrame, keys: tuple[str, ...], accuracy: int | None = None, sd: bool = False) -> DataFrame:
+    """Mean, median, count, least and largest of each group: exact, by counting ranks, or with an accuracy from a sketch."""
+    if accuracy is None:
+        out = ranks.described(rows, "h", keys, {"median_hours": 0.5})
+    else:
+        out = rows.groupBy(*keys).agg(F.avg("h").alias("avg_hours"), quantile("h", F.lit(0.5), accuracy).alias("median_hours"), F.count("*").alias("n"), F.min("h").alias("min_hours"), F.max("h").alias("max_hours"), C.sd("h").alias("sd_hours"))
+    return out.select(*keys, "avg_hours", "median_hours", "n", "min_hours", "max_hours", *["sd_hours"] * sd)
+
+
+def _quantiles(rows: DataFrame, ps: dict[str, float], accuracy: int | None = None) -> DataFrame:
+    """One row with n and the quantiles."""
+    if accuracy is None:
+        return ranks.described(rows, "h", (), ps).select("n", *ps)
+    return rows.agg(F.count("h").alias("n"), *[quantile("h", F.lit(p), accuracy).alias(k) for k, p in ps.items()])
 
 
 def resolution_stats(t: DataFrame, accuracy: int | None = None) -> DataFrame:
     """(E1)"""
-    return positive(t).agg(*_five(accuracy), C.sd("h").alias("sd_hours"))
+    return _five(positive(t), (), accuracy, sd=True)
 
 
 def resolution_percentiles(t: DataFrame, accuracy: int | None = None) -> DataFrame:
     """(E2)"""
-    at = F.array(*[F.lit(p / 100) for p in PERCENTILES])
-    return positive(t).agg(quantile("h", at, accuracy).alias("p")).select(*[F.col("p")[i].alias(f"p{n}") for i, n in enumerate(PERCENTILES)])
+    return _quantiles(positive(t), {f"p{p}": p / 100 for p in PERCENTILES}, accuracy).drop("n")
 
 
 def resolution_by(t: DataFrame, key: Column, name: str, accuracy: int | None = None) -> DataFrame:
-    return positive(t).groupBy(key.alias(name)).agg(*_five(accuracy))
+    return _five(positive(t).select(key.alias(name), "h"), (name,), accuracy)
 
 
 def resolution_by_severity(t: DataFrame, accuracy: int | None = None) -> DataFrame:
@@ -86,9 +98,9 @@ def resolution_by_hour(t: DataFrame) -> DataFrame:
 
 
 def _bounds(rows: DataFrame, accuracy: int | None = None) -> DataFrame:
-    q = rows.agg(quantile("h", F.array(F.lit(0.25), F.lit(0.75)), accuracy).alias("q"), F.count("*").alias("n"))
-    iqr = F.col("q")[1] - F.col("q")[0]
-    return q.where("n >= 4").select((F.col("q")[0] - 1.5 * iqr).alias("lower"), (F.col("q")[1] + 1.5 * iqr).alias("upper"), "n")
+    q = _quantiles(rows, {"q1": 0.25, "q3": 0.75}, accuracy)
+    iqr = F.col("q3") - F.col("q1")
+    return q.where("n >= 4").select((F.col("q1") - 1.5 * iqr).alias("lower"), (F.col("q3") + 1.5 * iqr).alias("upper"), "n")
 
 
 def outliers(t: DataFrame, accuracy: int | None = None) -> DataFrame:
@@ -117,17 +129,12 @@ def resolution_rate(t: DataFrame) -> DataFrame:
 
 
 def resolution_overview(t: DataFrame, accuracy: int | None = None) -> DataFrame:
-    """E1, E2 and E8 in one scan; nulls where nothing is resolved."""
-    h = with_hours(t)
-    x = F.when(F.col("h") > 0, F.col("h"))
-    row = h.agg(
-        F.count("*").alias("total"), F.count_if(C.is_resolved()).alias("resolved"), F.count(x).alias("n"), F.avg(x).alias("avg_hours"),
-        F.stddev_samp(x).alias("sd"), F.min(x).alias("min_hours"), F.max(x).alias("max_hours"), quantile(x, F.array(*[F.lit(p / 100) for p in PERCENTILES]), accuracy).alias("p"),
-    )
-    return row.select(
-        "total", "resolved", C.percent(F.col("resolved"), F.col("total")).alias("rate"), "n", "avg_hours", F.when(F.col("n") > 0, F.coalesce("sd", F.lit(0.0))).alias("sd_hours"),
-        "min_hours", "max_hours", *[F.col("p")[i].alias(f"p{n}") for i, n in enumerate(PERCENTILES)],
-    )
+    """E1, E2 and E8 in one row; nulls where nothing is resolved."""
+    rows = positive(t)
+    five = _five(rows, (), accuracy, sd=True) if accuracy is not None else None
+    ps = {f"p{p}": p / 100 for p in PERCENTILES}
+    hours = ranks.described(rows, "h", (), ps) if five is None else five.crossJoin(F.broadcast(_quantiles(rows, ps, accuracy).drop("n")))  # one row each
+    return resolution_rate(t).crossJoin(F.broadcast(hours)).select("total", "resolved", "rate", "n", "avg_hours", F.when(F.col("n") > 0, F.coalesce("sd_hours", F.lit(0.0))).alias("sd_hours"), "min_hours", "max_hours", *ps)
 
 
 def distribution(t: DataFrame, key: str) -> DataFrame:
@@ -144,7 +151,7 @@ def by_month(t: DataFrame, key: str) -> DataFrame:
 
 def hours_by_severity(t: DataFrame, accuracy: int | None = None) -> DataFrame:
     """All H but 0, negative ones too."""
-    return with_hours(t).where("h <> 0").groupBy("severity").agg(*_five(accuracy))
+    return _five(with_hours(t).where("h <> 0"), ("severity",), accuracy)
 
 
 def volume_summary(t: DataFrame) -> DataFrame:
@@ -190,9 +197,10 @@ def monthly_growth(t: DataFrame) -> DataFrame:
 
 def team(t: DataFrame, key: str, accuracy: int | None = None) -> DataFrame:
     """Totals, rate and hours of each assignee or group."""
-    x = F.when(F.col("h") != 0, F.col("h"))
-    g = with_hours(t).groupBy(C.or_unassigned(key).alias(key)).agg(F.count("*").alias("total"), F.count_if(C.is_resolved()).alias("resolved"), F.avg(x).alias("avg_hours"), quantile(x, F.lit(0.5), accuracy).alias("median_hours"))
-    return g.withColumn("rate", C.percent(F.col("resolved"), F.col("total")))
+    rows = with_hours(t).select(C.or_unassigned(key).alias(key), C.is_resolved().alias("done"), "h")
+    n = rows.groupBy(key).agg(F.count("*").alias("total"), F.count_if("done").alias("resolved"))
+    hours = _five(rows.where("h <> 0"), (key,), accuracy).select(key, "avg_hours", "median_hours")
+    return ranks.met(n, hours, (key,), "left").select(key, "total", "resolved", "avg_hours", "median_hours", C.percent(F.col("resolved"), F.col("total")).alias("rate"))
 
 
 def workload(t: DataFrame, key: str) -> DataFrame:

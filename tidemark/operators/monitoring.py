@@ -5,15 +5,16 @@ Events have ts, operation, duration_ms, success and value.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import columns as C
+from tidemark.operators.ranks import at_rank, between, met, ranked
+from tidemark.session import kept
 
 
 def as_operations(events: DataFrame) -> DataFrame:
@@ -22,35 +23,23 @@ def as_operations(events: DataFrame) -> DataFrame:
 
 
 def ranks_of(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Each distinct value of each key with ``upto``, how many rows are at or below it, and ``of``, how many there are.
-
-    Values fall into 64 bins an octave. Counts of distinct values are summed in
-    order within a bin, and the bins' sums, few a key, across bins: so one
-    operation with all the rows is as many tasks as it has bins.
-    """
-    v = F.col(value)
-    bin_ = F.when(v == 0, 0).otherwise(F.signum(v) * (F.floor(F.log2(F.abs(v)) * 64) + 100_000)).cast("long")
-    values = rows.where(v.isNotNull()).groupBy(key, value).agg(F.count("*").alias("c")).withColumn("bin", bin_)
-    bins = values.groupBy(key, "bin").agg(F.sum("c").alias("in_bin"))
-    below = F.sum("in_bin").over(Window.partitionBy(key).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
-    bins = bins.select(key, "bin", F.coalesce(below, F.lit(0)).alias("below"), F.sum("in_bin").over(Window.partitionBy(key)).alias("of"))
-    within = F.sum("c").over(Window.partitionBy(key, "bin").orderBy(value))
-    return values.withColumn("within", within).join(bins, [key, "bin"]).select(key, value, (F.col("below") + F.col("within")).alias("upto"), "of")
+    """Each distinct value of each key with ``upto``, how many rows are at or below it, and ``of``, how many there are."""
+    return ranked(rows, value, (key,)).drop("c")
 
 
 def operation_stats(ops: DataFrame, key: str = "operation") -> DataFrame:
     """Counts, rate, mean, median, least, largest, and nearest-rank p95 and p99.
 
-    Rank int(p * n), n - 1 at most, from 0.
+    Rank int(p * n), n - 1 at most, from 0. Ranks are counted, so an operation
+    with all the calls is many tasks.
     """
     stats = ops.groupBy(key).agg(
-        F.count("*").alias("n"), F.count_if("success").alias("n_success"), F.avg("duration_ms").alias("avg_ms"), F.percentile("duration_ms", F.lit(0.5)).alias("median_ms"),
-        F.min("duration_ms").alias("min_ms"), F.max("duration_ms").alias("max_ms"),
+        F.count("*").alias("n"), F.count_if("success").alias("n_success"), F.avg("duration_ms").alias("avg_ms"), F.min("duration_ms").alias("min_ms"), F.max("duration_ms").alias("max_ms")
     )
-    ranked = ranks_of(ops, key, "duration_ms")
-    at = lambda p: F.min(F.when(F.col("upto") > F.least(F.floor(F.col("of") * p), F.col("of") - 1), F.col("duration_ms")))
-    ranks = ranked.groupBy(key).agg(at(0.95).alias("p95_ms"), at(0.99).alias("p99_ms"))
-    return stats.join(ranks, key, "left").withColumns({"n_error": F.col("n") - F.col("n_success"), "success_rate": F.col("n_success") / F.col("n")})
+    at = lambda p: at_rank("duration_ms", F.least(F.floor(F.col("of") * p), F.col("of") - 1))
+    places = ranked(ops, "duration_ms", (key,)).groupBy(key).agg(between("duration_ms", 0.5).alias("median_ms"), at(0.95).alias("p95_ms"), at(0.99).alias("p99_ms"))
+    out = met(stats, places, (key,), "left").withColumns({"n_error": F.col("n") - F.col("n_success"), "success_rate": F.col("n_success") / F.col("n")})
+    return out.select(key, "n", "n_success", "avg_ms", "median_ms", "min_ms", "max_ms", "p95_ms", "p99_ms", "n_error", "success_rate")
 
 
 def counter_key(name: str | Column, tags: str | Column) -> Column:
@@ -89,26 +78,58 @@ def over_thresholds(samples: DataFrame, thresholds: DataFrame, metric: str = "me
     return out.withColumn("severity", F.when(F.col(value) < F.col("threshold") * 1.2, "warning").otherwise("critical"))
 
 
-def sustained(samples: DataFrame, minutes: int, *key: str) -> DataFrame:
-    """Runs of violations (column ``bad``) that last, per key: start, end, rows, and when the alert fires.
+def _bucketed(samples: DataFrame, key: tuple[str, ...], unit: str) -> tuple[DataFrame, DataFrame]:
+    """Samples with their bucket of time, and each bucket's first and last good one, with the last good one before and the first one after it.
 
-    samples: ts, bad and the key. A run ends at the next good sample.
+    Only these summaries, a row a bucket, are put in order per key.
     """
-    w = Window.partitionBy(*key).orderBy("ts")
-    runs = samples.withColumn("run", F.sum(F.when(~F.col("bad"), 1).otherwise(0)).over(w)).where("bad")
-    first = F.min("ts").over(Window.partitionBy(*key, "run"))
-    held = runs.withColumn("start", first).withColumn("held", F.timestamp_diff("SECOND", F.col("start"), F.col("ts")) / 60)
-    # the first violation only begins the run; the alert needs a later one
-    fires = F.min(F.when((F.col("held") >= minutes) & (F.col("ts") > F.col("start")), F.col("ts")))
-    out = held.groupBy(*key, "run", "start").agg(F.max("ts").alias("end"), F.count("*").alias("n"), fires.alias("fired"))
-    return out.where("fired is not null").drop("run")
+    rows = samples.where("ts is not null").select(*key, "ts", "bad", F.date_trunc(unit, "ts").alias("_b"))
+    good = F.when(~F.col("bad"), F.col("ts"))
+    buckets = rows.groupBy(*key, "_b").agg(F.min(good).alias("_first"), F.max(good).alias("_last"))
+    w = Window.partitionBy(*key).orderBy("_b")
+    before, after = F.max("_last").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.min("_first").over(w.rowsBetween(1, Window.unboundedFollowing))
+    return rows, buckets.select(*key, "_b", before.alias("_before"), after.alias("_after"))
 
 
-def with_resolution(samples: DataFrame, alerts: DataFrame, *key: str) -> DataFrame:
-    """When each alert's rule recovered: the first good sample after its run; null while it lasts."""
-    later = Window.partitionBy(*key).orderBy("ts").rowsBetween(1, Window.unboundedFollowing)
-    ends = samples.withColumn("resolved", F.min(F.when(~F.col("bad"), F.col("ts"))).over(later)).select(*key, F.col("ts").alias("fired"), "resolved")
-    return alerts.join(ends, [*key, "fired"], "left").select(*alerts.columns, "resolved")
+def sustained(samples: DataFrame, minutes: float, *key: str, unit: str = "hour") -> DataFrame:
+    """Runs of violations (column ``bad``) that last, per key: start, end, rows, and when the alert fires.
+
+    samples: ts, bad and the key. A run ends at the next good sample; a violation
+    at the time of a good one belongs to the run after it. The alert fires at the
+    first violation ``minutes`` after the run's first. Samples are put in order
+    within buckets of time (``unit``) only, what crosses buckets is known from
+    their summaries, so a key with most samples is as many tasks as it has buckets.
+    """
+    rows, buckets = _bucketed(samples, key, unit)
+    good = F.max(F.when(~F.col("bad"), F.col("ts"))).over(Window.partitionBy(*key, "_b").orderBy("ts"))
+    parts = rows.withColumn("_good", good).where("bad").groupBy(*key, "_b", "_good").agg(F.min("ts").alias("_from"), F.max("ts").alias("_to"), F.count("*").alias("_n"))
+    # a run is named by the good sample before it; where its bucket has none, by the last one of the buckets before
+    parts = met(parts, buckets, (*key, "_b"), "left").select(*key, "_b", "_from", "_to", "_n", F.coalesce("_good", "_before").alias("_run"))
+    pause = F.make_dt_interval(secs=F.lit(float(math.ceil(minutes * 60))))
+    runs = parts.groupBy(*key, "_run").agg(F.min("_from").alias("start"), F.max("_to").alias("end"), F.sum("_n").alias("n")).withColumn("_due", F.col("start") + pause)
+    runs = runs.where((F.col("end") >= F.col("_due")) & (F.col("end") > F.col("start")))
+    # the first part of the run that reaches the time when it is due has the sample at which it fires
+    reaches = (F.col("_to") >= F.col("_due")) & (F.col("_to") > F.col("start"))
+    x = met(runs, parts, (*key, "_run")).where(reaches).groupBy(*key, "_run", "start", "end", "n", "_due").agg(F.min(F.struct("_b", "_from", "_to")).alias("x")).select(*key, "start", "end", "n", "_due", "x.*")
+    whole = (F.col("_from") >= F.col("_due")) & (F.col("_from") > F.col("start"))
+    at = (F.col("ts") >= F.col("_due")) & (F.col("ts") > F.col("start")) & (F.col("ts") <= F.col("_to"))
+    inner = met(x.where(~whole), rows.where("bad"), (*key, "_b"), also=at).groupBy(*key, "start", "end", "n").agg(F.min("ts").alias("fired"))
+    return x.where(whole).select(*key, "start", "end", "n", F.col("_from").alias("fired")).unionByName(inner)
+
+
+def with_resolution(samples: DataFrame, alerts: DataFrame, *key: str, unit: str = "hour") -> DataFrame:
+    """When each alert's rule recovered: the first good sample after it fired; null while it lasts.
+
+    It is looked for in the bucket of time in which the alert fired, and else it
+    is the first one of the buckets after, which their summaries tell.
+    """
+    rows, buckets = _bucketed(samples, key, unit)
+    a = alerts.withColumn("_b", F.date_trunc(unit, "fired"))
+    fired = a.select(*key, "_b", "fired").distinct()
+    later = rows.where(~F.col("bad")).drop("bad")
+    here = met(fired, later, (*key, "_b"), also=F.col("ts") > F.col("fired")).groupBy(*key, "fired").agg(F.min("ts").alias("_here"))
+    out = met(met(a, here, (*key, "fired"), "left"), buckets, (*key, "_b"), "left")
+    return out.select(*alerts.columns, F.coalesce("_here", "_after").alias("resolved"))
 
 
 def performance_violations(stats: DataFrame, max_ms: float, max_error_rate: float = 0.1, least: int = 10) -> DataFrame:
@@ -116,34 +137,66 @@ def performance_violations(stats: DataFrame, max_ms: float, max_error_rate: floa
     return stats.where((F.col("n") >= least) & ((F.col("avg_ms") > max_ms) | (1 - F.col("success_rate") > max_error_rate)))
 
 
-def cooled(alerts: DataFrame, minutes: int, *key: str, ts: str = "fired") -> DataFrame:
-    """Alerts without those that come too soon after one that was sent. (I8)
+def _successors(times: DataFrame, seconds: int, key: tuple[str, ...], ts: str) -> DataFrame:
+    """The first alert at least so many seconds after each (column ``_to``), of those that have one.
 
-    Whether one is sent depends on the last that was: each key's alerts are read
-    in order, once, with the last sent time as all that is held.
+    Times are cut into buckets of that length. Where an alert may be followed is a
+    moment in the bucket after its own: both are put in order within buckets, and
+    a bucket with nothing later looks to the first alert of those after it.
+    """
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    bucket = lambda c: F.floor(F.timestamp_diff("SECOND", epoch, c) / seconds)
+    due = F.col(ts) + F.make_dt_interval(secs=F.lit(float(seconds)))
+    none = F.lit(None).cast("timestamp_ntz")
+    both = times.select(*key, bucket(F.col(ts)).alias("_b"), F.col(ts).alias("_at"), F.col(ts).alias("_alert"), none.alias("_of")).unionByName(times.select(*key, bucket(due).alias("_b"), due.alias("_at"), none.alias("_alert"), F.col(ts).alias("_of")))
+    here = F.min("_alert").over(Window.partitionBy(*key, "_b").orderBy("_at").rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    firsts = both.groupBy(*key, "_b").agg(F.min("_alert").alias("_first"))
+    after = firsts.select(*key, "_b", F.min("_first").over(Window.partitionBy(*key).orderBy("_b").rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    asked = both.withColumn("_here", here).where("_of is not null")
+    out = met(asked, after, (*key, "_b"), "left")
+    return out.select(*key, F.col("_of").alias(ts), F.coalesce("_here", "_after").alias("_to")).where("_to is not null")
+
+
+def cooled(alerts: DataFrame, minutes: float, *key: str, ts: str = "fired") -> DataFrame:
+    """Alerts without those that come too soon after one that was sent: key and time of those that are. (I8)
+
+    Whether one is sent depends on the last that was. Each alert points to the
+    first that could follow it; pointers are joined to pointers, so that each round
+    doubles their reach, and what is reached from a key's first alert is sent. The
+    rounds are the logarithm of the most alerts that a key sends, and no task needs
+    a key's alerts together. Alerts without time are never sent; without a pause all
+    others are.
     """
     times = alerts.select(*key, F.col(ts).cast("timestamp_ntz").alias(ts)).where(F.col(ts).isNotNull())
-    pause = pd.Timedelta(minutes=minutes)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of: tuple | None = None
-        last = pd.Timestamp(0)
-        for f in frames:
-            sent = []
-            for k, at in zip(f[list(key)].itertuples(index=False, name=None), f[ts], strict=True):
-                keep = k != of or at - last >= pause
-                if keep:
-                    of, last = k, at
-                sent.append(keep)
-            yield f[sent]
-
-    return times.repartition(*key).sortWithinPartitions(*key, ts).mapInPandas(run, times.schema)
-
-
-def unsuppressed(alerts: DataFrame, intervals: DataFrame, ts: str = "fired") -> DataFrame:
-    """Alerts outside their rule's suppression intervals (rule, from_ts, to_ts)."""
-    i = intervals.withColumnRenamed("rule", "_rule")
-    return alerts.join(i, (F.col("rule") == F.col("_rule")) & (F.col(ts) >= F.col("from_ts")) & (F.col(ts) < F.col("to_ts")), "left_anti")
+    seconds = math.ceil(minutes * 60)
+    if seconds <= 0:
+        return times
+    times = kept(times.distinct())
+    jump = kept(_successors(times, seconds, key, ts))
+    sent = times.groupBy(*key).agg(F.min(ts).alias(ts))
+    while not jump.isEmpty():
+        sent = kept(sent.unionByName(met(sent, jump, (*key, ts)).select(*key, F.col("_to").alias(ts))))
+        far = jump.select(*key, F.col(ts).alias("_mid"), F.col("_to").alias("_far"))
+        jump = kept(met(jump.withColumnRenamed("_to", "_mid"), far, (*key, "_mid")).select(*key, ts, F.col("_far").alias("_to")))
+    return sent
+
+
+def unsuppressed(alerts: DataFrame, intervals: DataFrame, ts: str = "fired", unit: str = "day") -> DataFrame:
+    """Alerts outside their rule's suppression intervals (rule, from_ts, to_ts; the end is outside).
+
+    Intervals are cut into bins of time. Bins that one covers whole are looked up,
+    once however many intervals cover them; only the bins at its ends are compared.
+    """
+    i = intervals.where("from_ts < to_ts").select(F.col("rule").alias("_rule"), "from_ts", "to_ts")
+    step = F.expr(f"interval 1 {unit}")
+    stamp = alerts.schema[ts].dataType.simpleString()
+    cut_ = lambda c: F.date_trunc(unit, c).cast(stamp)
+    bins = i.withColumn("_bin", F.explode(F.sequence(cut_("from_ts"), cut_("to_ts"), step)))
+    whole = (F.col("from_ts") <= F.col("_bin")) & (F.col("to_ts") >= F.col("_bin") + step)
+    a = alerts.withColumn("_at", cut_(ts))
+    here = (F.col("rule") == F.col("_rule")) & (F.col("_at") == F.col("_bin"))
+    out = a.join(bins.where(whole).select("_rule", "_bin").distinct(), here, "left_anti")
+    return out.join(bins.where(~whole), here & (F.col(ts) >= F.col("from_ts")) & (F.col(ts) < F.col("to_ts")), "left_anti").drop("_at")
 
 
 def active_by_severity(alerts: DataFrame) -> DataFrame:

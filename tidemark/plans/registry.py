@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import ranks
+
 Operator = Callable[..., DataFrame]
 
 
@@ -38,10 +40,10 @@ class Registry:
 
 def statistics(df: DataFrame, *columns: str) -> DataFrame:
     """count, mean, sd, least, quartiles and largest of columns, a row each."""
-    aggs = [a for c in columns for a in (F.count(c).alias(f"{c}|n"), F.avg(c).alias(f"{c}|mean"), F.stddev_samp(c).alias(f"{c}|sd"), F.min(c).cast("double").alias(f"{c}|min"), F.percentile(c, F.lit(0.5)).alias(f"{c}|median"), F.max(c).cast("double").alias(f"{c}|max"))]
-    row = df.agg(*aggs)
-    one = lambda c: F.struct(F.lit(c).alias("column"), *[F.col(f"`{c}|{s}`").alias(s) for s in ("n", "mean", "sd", "min", "median", "max")])
-    return row.select(F.explode(F.array(*[one(c) for c in columns])).alias("x")).select("x.*")
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")).select("x.*")
+    rows = long.groupBy("column").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"))
+    medians = ranks.ranked(long, "value", ("column",)).groupBy("column").agg(ranks.between("value", 0.5).alias("median"))
+    return ranks.met(rows, medians, ("column",), "left").select("column", "n", "mean", "sd", "min", "median", "max")
 
 
 def distributions(df: DataFrame, *columns: str) -> DataFrame:
