@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark import catalog_streams
 from tidemark.functions import columns as C
 from tidemark.operators import clean, monitoring, privacy, quality, ranks, sla, trends, validation
 from tidemark.operators import metrics as M
@@ -304,3 +305,10 @@ def test_ranks_with_values_beyond_numbers(spark):
     values = [float("-inf"), -1.0, 0.0, 1.0, float("inf"), float("nan")]
     got = ranks.ranked(spark.createDataFrame([(v,) for v in values], "v double"), "v").orderBy("upto").collect()
     assert [str(x.v) for x in got] == [str(v) for v in values] and [x.upto for x in got] == [1, 2, 3, 4, 5, 6]
+
+
+def test_relational_rows_show_what_is_pushed(spark, small):
+    got = catalog_streams.relational(spark, small)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "In(status, [F,P])" in plan and "GreaterThanOrEqual(price,150000.0)" in plan and "priority" not in plan
+    assert got.rdd.getNumPartitions() == 4 and got.count() > 0

@@ -39,3 +39,30 @@ def test_stream_alerts(spark, tmp_path):
     got = run(E.alerts(stream, minutes=5, cooldown=15, late="1 hour"), "alerts").orderBy("ts").toPandas()
     at = lambda m: pd.Timestamp(T0 + timedelta(minutes=m))
     assert [(r.event, r.ts) for r in got.itertuples()] == [("fired", at(5)), ("resolved", at(15)), ("fired", at(24)), ("resolved", at(30))]
+
+
+def timed(spark, folder, samples, parts, **settings):
+    """The samples in files, the stream stopped and started again after every one."""
+    schema, got = "rule string, ts timestamp, bad boolean", f"{folder}/out"
+    n = -(-len(samples) // parts)
+    for i in range(0, len(samples), n):
+        spark.createDataFrame(samples[i : i + n], schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = E.read(spark, f"{folder}/in", spark.createDataFrame([], schema).schema)
+        write = lambda b, k: b.write.mode("overwrite").parquet(f"{got}/b={k}")
+        with E.timers(spark):
+            E.timed_alerts(stream, **settings).writeStream.foreachBatch(write).trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").start().awaitTermination()
+    return sorted((r.rule, r.event, r.ts) for r in spark.read.schema("rule string, event string, ts timestamp").parquet(f"{got}/b=*").collect())
+
+
+def test_timed_alerts_with_restarts(spark, tmp_path):
+    at = lambda m: T0 + timedelta(minutes=m)
+    a = [("a", at(m), bad) for m, bad in ((0, True), (3, True), (5, False), (10, True), (40, True), (55, False), (58, True), (70, False), (90, True), (94, False))]
+    b = [("b", at(20), True), ("c", at(400), False)]  # no sample of b comes when it is due
+    samples = sorted(a + b, key=lambda r: r[1])
+    samples[1], samples[4] = samples[4], samples[1]  # out of order, but in time
+    got = timed(spark, tmp_path, samples, 4, minutes=5, cooldown=60, late="2 hours")
+    want = [("a", "fired", at(15)), ("a", "resolved", at(55)), ("b", "fired", at(25))]
+    assert got == want
+    s = spark.createDataFrame(samples, "rule string, ts timestamp_ntz, bad boolean")
+    alerts = monitoring.held(s, 5, "rule", until=F.lit(at(280)).cast("timestamp_ntz"))
+    assert sorted((r.rule, r.fired) for r in monitoring.cooled(alerts, 60, "rule").collect()) == [(k, t) for k, e, t in want if e == "fired"]

@@ -392,4 +392,4 @@ ORACLES["i3_stream_trailing"] = f"""WITH {VIEW}
 QUERIES["i1_stream_stats"] = _stream_stats
 ORACLES["i1_stream_stats"] = f"WITH {VIEW} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, operation, count(*) AS n, count(*) FILTER (success) AS n_success, round(avg(duration_ms), 6) AS avg_ms, round(min(duration_ms), 6) AS min_ms, round(max(duration_ms), 6) AS max_ms FROM ops GROUP BY ALL"
 
-from tidemark import catalog_broken, catalog_io  # noqa: E402, F401  (adds the rows that break rules, and those that write and read back)
+from tidemark import catalog_broken, catalog_io, catalog_streams  # noqa: E402, F401  (adds the rows that break rules, those that write and read back, and those of streams)

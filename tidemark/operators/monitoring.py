@@ -132,6 +132,22 @@ def with_resolution(samples: DataFrame, alerts: DataFrame, *key: str, unit: str
     return out.select(*alerts.columns, F.coalesce("_here", "_after").alias("resolved"))
 
 
+def held(samples: DataFrame, minutes: float, *key: str, until: Column | None = None, unit: str = "hour") -> DataFrame:
+    """Alerts of violations that last, whether or not a sample comes when they are due: key, start, fired, resolved.
+
+    Fired ``minutes`` after a run's first violation, unless a good sample came by
+    then; only up to ``until`` where that is given, as what comes after isn't known.
+    """
+    rows, buckets = _bucketed(samples, key, unit)
+    good = F.max(F.when(~F.col("bad"), F.col("ts"))).over(Window.partitionBy(*key, "_b").orderBy("ts"))
+    parts = rows.withColumn("_good", good).where("bad").groupBy(*key, "_b", "_good").agg(F.min("ts").alias("_from"))
+    runs = met(parts, buckets, (*key, "_b"), "left").groupBy(*key, F.coalesce("_good", "_before").alias("_run")).agg(F.min("_from").alias("start"))
+    ends = with_resolution(samples, runs.select(*key, F.col("start").alias("fired")), *key, unit=unit)
+    due = F.col("start") + F.make_dt_interval(secs=F.lit(float(minutes * 60)))
+    out = ends.select(*key, F.col("fired").alias("start"), "resolved").withColumn("fired", due).where("resolved is null or resolved > fired")
+    return (out if until is None else out.where(F.col("fired") <= until)).select(*key, "start", "fired", "resolved")
+
+
 def performance_violations(stats: DataFrame, max_ms: float, max_error_rate: float = 0.1, least: int = 10) -> DataFrame:
     """Operations with enough calls that are slow on average or fail too often."""
     return stats.where((F.col("n") >= least) & ((F.col("avg_ms") > max_ms) | (1 - F.col("success_rate") > max_error_rate)))

@@ -7,11 +7,14 @@ watermark are dropped, and the state of closed windows with them.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
+from datetime import datetime, timedelta, timezone
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 LATE = "10 minutes"
@@ -85,3 +88,111 @@ def alerts(samples: DataFrame, minutes: float = 1, cooldown: float = 15, late: s
             yield pd.DataFrame(out, columns=["rule", "event", "ts", "value"])
 
     return samples.withWatermark("ts", late).groupBy("rule").applyInPandasWithState(step, ALERTS, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+#: What keeps state with timers.
+TIMER_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_EPOCH = datetime(1970, 1, 1)
+
+
+@contextmanager
+def timers(spark: SparkSession) -> Iterator[None]:
+    """Streams that start meanwhile may have timers."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, TIMER_STORE)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _micros(ts: datetime) -> int:
+    return (ts.astimezone(timezone.utc).replace(tzinfo=None) - _EPOCH) // timedelta(microseconds=1)
+
+
+class _Held(StatefulProcessor):
+    """One rule. Samples wait until the watermark has passed them, so they are taken in order of their times whatever batch brought them."""
+
+    def __init__(self, hold: int, pause: int, quiet: int):
+        self.hold, self.pause, self.quiet = hold, pause, quiet
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, bad boolean")
+        self.run = handle.getValueState("run", "start long, due long, sent long, active boolean, newest long")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        for r in rows:
+            self.waiting.appendValue((_micros(r["ts"]), bool(r["bad"])))
+        yield from self._upto(key[0], timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        yield from self._upto(key[0], timerValues.getCurrentWatermarkInMs())
+
+    def _upto(self, rule, mark_ms: int) -> Iterator[Row]:
+        mark = max(mark_ms, 0) * 1000
+        start, due, sent, active, newest = self.run.get() if self.run.exists() else (None, None, None, False, 0)
+        waiting = sorted((x[0], x[1]) for x in self.waiting.get()) if self.waiting.exists() else []
+        out = []
+
+        def fire() -> None:
+            nonlocal due, sent, active
+            if sent is None or due - sent >= self.pause:
+                out.append(("fired", due))
+                sent, active = due, True
+            due = None
+
+        ready = [x for x in waiting if x[0] <= mark]
+        for at, bad in ready:
+            if due is not None and (due < at or due == at and bad):
+                fire()
+            newest = max(newest, at)
+            if bad:
+                if start is None:
+                    start, due = at, at + self.hold
+                    if due == at:
+                        fire()
+            else:
+                start = due = None
+                if active:
+                    out.append(("resolved", at))
+                    active = False
+        if due is not None and due <= mark:
+            fire()
+        rest = waiting[len(ready) :]
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if not rest and due is None and newest + self.quiet <= mark:  # nothing to come, and nothing came for long
+            self.run.clear()
+            self.waiting.clear()
+        else:
+            if rest:
+                self.waiting.put(rest)
+            else:
+                self.waiting.clear()
+            self.run.update((start, due, sent, active, newest))
+            wake = min([x for x in (rest[0][0] if rest else None, due) if x is not None], default=newest + self.quiet)
+            self.handle.registerTimer(max(-(-wake // 1000), mark_ms + 1))
+        for event, at in out:
+            yield Row(rule=rule, event=event, ts=(_EPOCH + timedelta(microseconds=at)).replace(tzinfo=timezone.utc))
+
+    def close(self) -> None:
+        pass
+
+
+def timed_alerts(samples: DataFrame, minutes: float = 1, cooldown: float = 15, late: str = LATE, quiet: str = "1 day") -> DataFrame:
+    """Alerts and recoveries of each rule from samples (rule, ts, bad): rule, event, ts.
+
+    As :func:`tidemark.operators.monitoring.held`: a rule fires ``minutes`` after
+    its first violation unless a good sample came by then, also if no sample comes
+    at all, as the watermark wakes it. One that comes due within ``cooldown`` of
+    the last that was sent isn't sent. Needs :func:`timers` when it starts. State
+    is what the watermark has not passed, and one row per rule, which goes when a
+    rule that is not about to fire was ``quiet`` for that long; a violation that
+    still lasts then, and the time of the last alert, are forgotten with it.
+    """
+    micros = lambda m: round(m * 60_000_000)
+    processor = _Held(micros(minutes), micros(cooldown), int(pd.Timedelta(quiet) / pd.Timedelta(microseconds=1)))
+    rows = samples.where("rule is not null").select("rule", "ts", "bad").withWatermark("ts", late)
+    return rows.groupBy("rule").transformWithState(processor, "rule string, event string, ts timestamp", "Append", "EventTime")
