@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.catalog import _SHOW, AS_OF, ORACLES, QUERIES, VIEW, _q, rounded
 from tidemark.operators import metrics as M
-from tidemark.operators import validation
+from tidemark.operators import ranks, sketches, validation
 from tidemark.operators.criteria import Criteria, named_range, search
 from tidemark.plans import jobs, registry
 from tidemark.session import shared_folder
@@ -215,3 +215,44 @@ add(
     FROM (SELECT count(*) AS n, count(*) FILTER (done) AS r FROM t), (VALUES ('total'), ('resolved'), ('rate')) v(key)
     UNION ALL SELECT 'metric.' || x, 'error', NULL FROM (VALUES ('unplanned'), ('unrun')) w(x)""",
 )
+
+
+# sketches of each day, kept in the shared folder, merged over ranges; their quantiles' ranks are counted in the rows
+
+
+def _sketched(t: DataFrame, at: str, first: str, last: str, key: Callable[[str], Column], name: str) -> DataFrame:
+    """Of each group of a range: exact counts and ends, and of three quantiles whether their true ranks are within the bound."""
+    sketches.daily(t, "severity").write.parquet(f"{at}/days")
+    days = sketches.between(t.sparkSession.read.parquet(f"{at}/days"), first, last)
+    q = sketches.told(sketches.merged(days, key("day").alias(name)), 50, 90, 99)
+    rows = M.positive(t).where(F.to_date("created_date").between(first, last)).select(key("created_date").alias(name), "h")
+    truth = rows.join(q, name).groupBy(name).agg(*[(F.count_if(F.col("h") < F.col(p)) / F.count("*")).alias(f"low_{p}") for p in ("p50", "p90", "p99")], *[(F.count_if(F.col("h") <= F.col(p)) / F.count("*")).alias(f"high_{p}") for p in ("p50", "p90", "p99")])
+    # a value that several rows have has all their ranks
+    ok = {f"{p}_within": (F.col(f"low_{p}") <= x + F.greatest(F.lit(sketches.rank_error()), 1 / F.col("n"))) & (F.col(f"high_{p}") >= x - F.greatest(F.lit(sketches.rank_error()), 1 / F.col("n"))) for p, x in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))}
+    return q.join(truth, name).select(name, "n", "avg_hours", "min_hours", "max_hours", *[c.alias(k) for k, c in ok.items()])
+
+
+def _sketched_sql(key: str, name: str, first: str, last: str) -> str:
+    return f""" SELECT {key} AS {name}, count(*) AS n, round(avg(h), 6) AS avg_hours, round(min(h), 6) AS min_hours, round(max(h), 6) AS max_hours, true AS p50_within, true AS p90_within, true AS p99_within
+    FROM p WHERE CAST(created_date AS DATE) BETWEEN DATE '{first}' AND DATE '{last}' GROUP BY 1"""
+
+
+add("e2_sketches", lambda t, at: _sketched(t, at, "1996-02-01", "1999-11-30", lambda c: F.col("severity"), "severity"), _sketched_sql("severity", "severity", "1996-02-01", "1999-11-30"))
+add("g5_sketches", lambda t, at: _sketched(t, at, "1995-01-01", "2001-12-31", lambda c: F.date_format(c, "yyyy-MM"), "month"), _sketched_sql("month", "month", "1995-01-01", "2001-12-31"))
+
+
+def _periods(t: DataFrame, at: str) -> DataFrame:
+    """The same days in two ranges that overlap, and both as one: counts add up, as sketches are merged and not rows."""
+    sketches.daily(t, "severity").write.parquet(f"{at}/days")
+    days = t.sparkSession.read.parquet(f"{at}/days")
+    parts = {"early": (None, "1997-12-31"), "late": ("1997-01-01", None), "all": (None, None)}
+    out = [sketches.told(sketches.merged(sketches.between(days, *x).withColumn("period", F.lit(k)), "period"), 50) for k, x in parts.items()]
+    exact = {k: ranks.described(M.positive(t).where(F.lit(True) if x[0] is None else F.to_date("created_date") >= x[0]).where(F.lit(True) if x[1] is None else F.to_date("created_date") <= x[1]), "h", (), {"low": 0.49, "high": 0.51}).select(F.lit(k).alias("period"), "low", "high") for k, x in parts.items()}
+    rows = [q.join(exact[k], "period") for q, k in zip(out, parts, strict=True)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).select("period", "n", "avg_hours", F.col("p50").between(F.col("low"), F.col("high")).alias("median_within"))
+
+
+add(
+    "j4_sketches", _periods,
+    " SELECT period, count(*) AS n, round(avg(h), 6) AS avg_hours, true AS median_within FROM p, (VALUES ('early', DATE '1900-01-01', DATE '1997-12-31'), ('late', DATE '1997-01-01', DATE '2100-01-01'), ('all', DATE '1900-01-01', DATE '2100-01-01')) v(period, a, z) WHERE CAST(created_date AS DATE) BETWEEN a AND z GROUP BY 1",
+)

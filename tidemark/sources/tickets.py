@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,9 +122,19 @@ def count_by_status(t: DataFrame) -> DataFrame:
 
 
 def page(t: DataFrame, size: int = 100, offset: int = 0) -> tuple[DataFrame, Callable[[], int | None]]:
-    """A page by creation time and id, and a function that gives the offset of the next, None after a page that isn't full; it counts the page when it is called."""
+    """A page by creation time and id, and a function that gives the offset of the next, None after a page that isn't full.
+
+    The function looks at one row only, the page's last, and that only when it is
+    called; :func:`page_with_token` gives both from one run.
+    """
     rows = t.orderBy("created_date", "id").offset(offset).limit(size)
-    return rows, lambda: offset + size if rows.count() == size else None
+    return rows, lambda: None if t.orderBy("created_date", "id").offset(offset + size - 1).limit(1).isEmpty() else offset + size
+
+
+def page_with_token(t: DataFrame, size: int = 100, offset: int = 0) -> tuple[list[Row], int | None]:
+    """The rows of a page, at most ``size``, on the driver, and the offset of the next: one run for both."""
+    rows = t.orderBy("created_date", "id").offset(offset).limit(size).collect()
+    return rows, offset + size if len(rows) == size else None
 
 
 def page_after(t: DataFrame, size: int = 100, created_date: datetime | str | None = None, after_id: str | None = None) -> DataFrame:
