@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from tidemark import catalog_streams
 from tidemark.functions import columns as C
-from tidemark.operators import clean, monitoring, privacy, quality, ranks, sla, trends, validation
+from tidemark.operators import clean, cube, monitoring, privacy, quality, ranks, sla, trends, validation
 from tidemark.operators import metrics as M
 from tidemark.operators.criteria import Criteria, last_days, named_range, search
 from tidemark.plans import jobs, registry
@@ -312,3 +312,44 @@ def test_relational_rows_show_what_is_pushed(spark, small):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "In(status, [F,P])" in plan and "GreaterThanOrEqual(price,150000.0)" in plan and "priority" not in plan
     assert got.rdd.getNumPartitions() == 4 and got.count() > 0
+
+
+def _random_tickets(spark, n):
+    r = random.Random(n)
+    rows = []
+    for i in range(n):
+        created = T0 + timedelta(minutes=r.randint(0, 120_000))
+        solved = created + timedelta(hours=r.choice([-3, 0, 1, 1, 2, 50, 700]), minutes=r.randint(0, 59)) if r.random() < 0.7 else None
+        rows.append((f"T{i}", r.choice(["Open", "Resolved", "Closed"]), r.choice(["SEV_1", "SEV_2", "SEV_5"]), created, None, solved, r.choice(["u", "", None]), r.choice(["g", "h", None])))
+    return tickets(spark, rows)
+
+
+@pytest.mark.parametrize("n", [0, 1, 400])
+def test_a_cube_gives_what_its_tickets_give(spark, n):
+    t = _random_tickets(spark, n).cache()
+    cells = cube.cube(t).cache()
+    plain = lambda v: round(v, 6) + 0.0 if isinstance(v, float) else v
+    rows = lambda d: sorted((tuple(plain(v) for v in x) for x in d.collect()), key=str)
+    seen = 0
+    for registry_ in (jobs.METRICS, jobs.TRENDS):
+        for name in registry_.names():
+            assert registry_.takes_cube(name), name
+            assert rows(registry_.calculate(name, cells)) == rows(registry_.calculate(name, t)), name
+            seen += 1
+    assert seen == 20 and rows(quality.insights(cells)) == rows(quality.insights(t))
+    t.unpersist()
+    cells.unpersist()
+
+
+def test_an_analysis_scans_its_tickets_twice(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    t = _random_tickets(spark, 60).withColumn("status", counted.asNondeterministic()("status"))
+    long = jobs.analyze(t, AS_OF)
+    assert seen.value == 120 and long.where("key = 'error'").count() == 0
+    assert seen.value == 120  # results are kept

@@ -16,12 +16,13 @@ from pyspark.sql.window import Window
 
 from tidemark.functions import columns as C
 from tidemark.operators import ranks
+from tidemark.operators.cube import cubed, done, ends, is_cube, tally, weight
 
 PERCENTILES = (50, 75, 90, 95, 99)
 
 
 def with_hours(t: DataFrame) -> DataFrame:
-    return t.withColumn("h", C.resolution_hours())
+    return t if is_cube(t) else t.withColumn("h", C.resolution_hours())
 
 
 def analysis_frame(t: DataFrame, as_of: datetime | str) -> DataFrame:
@@ -63,25 +64,30 @@ def _quantiles(rows: DataFrame, ps: dict[str, float], accuracy: int | None = Non
     return rows.agg(F.count("h").alias("n"), *[quantile("h", F.lit(p), accuracy).alias(k) for k, p in ps.items()])
 
 
+@cubed
 def resolution_stats(t: DataFrame, accuracy: int | None = None) -> DataFrame:
     """(E1)"""
     return _five(positive(t), (), accuracy, sd=True)
 
 
+@cubed
 def resolution_percentiles(t: DataFrame, accuracy: int | None = None) -> DataFrame:
     """(E2)"""
     return _quantiles(positive(t), {f"p{p}": p / 100 for p in PERCENTILES}, accuracy).drop("n")
 
 
 def resolution_by(t: DataFrame, key: Column, name: str, accuracy: int | None = None) -> DataFrame:
-    return _five(positive(t).select(key.alias(name), "h"), (name,), accuracy)
+    rows = positive(t)
+    return _five(rows.select(key.alias(name), "h", *weight(rows)), (name,), accuracy)
 
 
+@cubed
 def resolution_by_severity(t: DataFrame, accuracy: int | None = None) -> DataFrame:
     """(E3)"""
     return resolution_by(t, F.col("severity"), "severity", accuracy)
 
 
+@cubed
 def resolution_by_assignee(t: DataFrame, accuracy: int | None = None) -> DataFrame:
     """(E4)"""
     return resolution_by(t, C.or_unassigned("assignee"), "assignee", accuracy)
@@ -111,11 +117,13 @@ def outliers(t: DataFrame, accuracy: int | None = None) -> DataFrame:
     return b.select("id", F.col("h").alias("hours"), "kind", F.greatest(F.col("lower") - F.col("h"), F.col("h") - F.col("upper")).alias("distance"))
 
 
+@cubed
 def outlier_summary(t: DataFrame, accuracy: int | None = None) -> DataFrame:
     """(E7)"""
-    rows = positive(t).select("h")
+    rows = positive(t)
+    rows = rows.select("h", *weight(rows))
     out = (F.col("h") < F.col("lower")) | (F.col("h") > F.col("upper"))
-    return rows.crossJoin(F.broadcast(_bounds(rows, accuracy))).groupBy("lower", "upper", "n").agg(F.count_if(out).alias("n_outliers")).withColumn("percentage", C.percent(F.col("n_outliers"), F.col("n")))
+    return rows.crossJoin(F.broadcast(_bounds(rows, accuracy))).groupBy("lower", "upper", "n").agg(tally(rows, out).alias("n_outliers")).withColumn("percentage", C.percent(F.col("n_outliers"), F.col("n")))
 
 
 def outlier_list(t: DataFrame, k: int = 10) -> DataFrame:
@@ -123,11 +131,13 @@ def outlier_list(t: DataFrame, k: int = 10) -> DataFrame:
     return outliers(t).orderBy(F.desc("distance"), "id").limit(k)
 
 
+@cubed
 def resolution_rate(t: DataFrame) -> DataFrame:
     """(E8)"""
-    return t.agg(F.count("*").alias("total"), F.count_if(C.is_resolved()).alias("resolved")).withColumn("rate", C.percent(F.col("resolved"), F.col("total")))
+    return t.agg(tally(t).alias("total"), tally(t, done(t)).alias("resolved")).withColumn("rate", C.percent(F.col("resolved"), F.col("total")))
 
 
+@cubed
 def resolution_overview(t: DataFrame, accuracy: int | None = None) -> DataFrame:
     """E1, E2 and E8 in one row; nulls where nothing is resolved."""
     rows = positive(t)
@@ -137,47 +147,55 @@ def resolution_overview(t: DataFrame, accuracy: int | None = None) -> DataFrame:
     return resolution_rate(t).crossJoin(F.broadcast(hours)).select("total", "resolved", "rate", "n", "avg_hours", F.when(F.col("n") > 0, F.coalesce("sd_hours", F.lit(0.0))).alias("sd_hours"), "min_hours", "max_hours", *ps)
 
 
+@cubed
 def distribution(t: DataFrame, key: str) -> DataFrame:
     """Counts and shares of a column's values, how many there are, and which is most common."""
-    n = t.groupBy(key).agg(F.count("*").alias("n"))
+    n = t.groupBy(key).agg(tally(t).alias("n"))
     every = Window.partitionBy()  # over one row a value
     return n.withColumns({"percentage": 100.0 * F.col("n") / F.sum("n").over(every), "n_values": F.count("*").over(every), "most_common": F.row_number().over(Window.orderBy(F.desc("n"), key)) == 1})
 
 
+@cubed
 def by_month(t: DataFrame, key: str) -> DataFrame:
     """(F2, F4)"""
-    return t.groupBy(C.month_label("created_date").alias("month"), key).agg(F.count("*").alias("n"))
+    return t.groupBy(C.month_label("created_date").alias("month"), key).agg(tally(t).alias("n"))
 
 
+@cubed
 def hours_by_severity(t: DataFrame, accuracy: int | None = None) -> DataFrame:
     """All H but 0, negative ones too."""
     return _five(with_hours(t).where("h <> 0"), ("severity",), accuracy)
 
 
+@cubed
 def volume_summary(t: DataFrame) -> DataFrame:
     """(F6)"""
-    row = t.where("created_date is not null").agg(F.count("*").alias("total"), F.min("created_date").alias("a"), F.max("created_date").alias("z"))
+    first, last = ends(t)
+    row = t.where("created_date is not null").agg(tally(t).alias("total"), first.alias("a"), last.alias("z"))
     days = F.greatest(F.lit(1), F.floor(C.hours_between("a", "z") / 24))
     over = lambda d: F.col("total") / F.greatest(F.lit(1.0), F.col("span_days") / d)
     return row.withColumn("span_days", days).select("total", "span_days", (F.col("total") / F.col("span_days")).alias("daily_average"), over(7.0).alias("weekly_average"), over(30.0).alias("monthly_average"))
 
 
+@cubed
 def volume(t: DataFrame) -> DataFrame:
     """Counts by day, week, month, hour and day name: one scan with grouping sets."""
     c = "created_date"
     cols = {"day": C.day(c).cast("string"), "week": C.week_label(c), "month": C.month_label(c), "hour": F.hour(c).cast("string"), "day_name": C.day_name(c)}
     # hourly counts come first: the five ways are sums of those
-    base = t.where(F.col(c).isNotNull()).groupBy(F.date_trunc("hour", c).alias(c)).agg(F.count("*").alias("n"))
+    base = t.where(F.col(c).isNotNull()).groupBy(F.date_trunc("hour", c).alias(c)).agg(tally(t).alias("n"))
     named = base.select("n", *[e.alias(k) for k, e in cols.items()])
     sets = named.groupingSets([[k] for k in cols], *cols).agg(F.sum("n").alias("n"))
     return sets.select(F.coalesce(*[F.when(F.col(k).isNotNull(), k) for k in cols]).alias("grain"), F.coalesce(*cols).alias("key"), "n")
 
 
+@cubed
 def daily(t: DataFrame) -> DataFrame:
     """day, n: the series that peaks, trends and anomalies derive from."""
-    return t.where("created_date is not null").groupBy(C.day("created_date").alias("day")).agg(F.count("*").alias("n"))
+    return t.where("created_date is not null").groupBy(C.day("created_date").alias("day")).agg(tally(t).alias("n"))
 
 
+@cubed
 def peaks(t: DataFrame, k: int = 10) -> DataFrame:
     """Days above the mean by more than a standard deviation, the highest k, and how many there are. (F8)"""
     d = daily(t)
@@ -186,28 +204,32 @@ def peaks(t: DataFrame, k: int = 10) -> DataFrame:
     return above.withColumn("n_peaks", F.count("*").over(Window.partitionBy())).orderBy(F.desc("n"), "day").limit(k).select("day", "n", "n_peaks")
 
 
+@cubed
 def monthly_growth(t: DataFrame) -> DataFrame:
     """Change to the month before, the mean change, and a label; none under two months."""
-    m = t.where("created_date is not null").groupBy(C.month_label("created_date").alias("month")).agg(F.count("*").alias("n"))
+    m = t.where("created_date is not null").groupBy(C.month_label("created_date").alias("month")).agg(tally(t).alias("n"))
     before = F.lag("n").over(Window.orderBy("month"))
     g = m.withColumn("before", before).where("before > 0").withColumn("growth", (F.col("n") - F.col("before")) * 100.0 / F.col("before"))
     mean = F.avg("growth").over(Window.partitionBy())
     return g.withColumn("avg_growth", mean).withColumn("trend", F.when(F.col("avg_growth") > 0, "increasing").when(F.col("avg_growth") < 0, "decreasing").otherwise("stable"))
 
 
+@cubed
 def team(t: DataFrame, key: str, accuracy: int | None = None) -> DataFrame:
     """Totals, rate and hours of each assignee or group."""
-    rows = with_hours(t).select(C.or_unassigned(key).alias(key), C.is_resolved().alias("done"), "h")
-    n = rows.groupBy(key).agg(F.count("*").alias("total"), F.count_if("done").alias("resolved"))
+    rows = with_hours(t).select(C.or_unassigned(key).alias(key), done(t).alias("done"), "h", *weight(t))
+    n = rows.groupBy(key).agg(tally(t).alias("total"), tally(t, F.col("done")).alias("resolved"))
     hours = _five(rows.where("h <> 0"), (key,), accuracy).select(key, "avg_hours", "median_hours")
     return ranks.met(n, hours, (key,), "left").select(key, "total", "resolved", "avg_hours", "median_hours", C.percent(F.col("resolved"), F.col("total")).alias("rate"))
 
 
+@cubed
 def workload(t: DataFrame, key: str) -> DataFrame:
     """(F12)"""
-    return t.groupBy(C.or_unassigned(key).alias(key)).agg(F.count("*").alias("n"))
+    return t.groupBy(C.or_unassigned(key).alias(key)).agg(tally(t).alias("n"))
 
 
+@cubed
 def workload_stats(t: DataFrame, key: str) -> DataFrame:
     """(F13)"""
     return workload(t, key).agg(F.count("*").alias("n_groups"), F.avg("n").alias("avg_n"), F.max("n").alias("max_n"), F.min("n").alias("min_n"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.operators import metrics as M
+from tidemark.operators.cube import cubed, done, mean, tally
 from tidemark.operators.clean import blank
 
 FIELDS = ("id", "created_date", "status", "title", "severity", "assignee", "resolver_group")
@@ -45,6 +46,7 @@ def assess(t: DataFrame, as_of: datetime | str) -> DataFrame:
     return row.drop(*[f"_{f}" for f in FIELDS]).withColumns(
         {
             "complete": F.col("completeness") >= 95, "consistent": F.col("consistency") >= 95, "valid": F.col("validity") >= 95, "recent_data": F.col("timeliness") >= 50,
+            # fixed values: the sentences
             "issues": _some(
                 [(low["completeness"], "Low data completeness - missing critical fields"), (low["consistency"], "Data consistency issues - conflicting field values"),
                  (low["validity"], "Data validity issues - invalid or unreasonable values"), (low["timeliness"], "Data timeliness issues - mostly old data")]
@@ -66,11 +68,13 @@ def light(t: DataFrame) -> DataFrame:
     return row.withColumn("quality_score", C.percent(F.col("complete_records"), F.col("total")))
 
 
+@cubed
 def insights(t: DataFrame) -> DataFrame:
     """Insights and recommendations from mean hours, rate and volume. (K7, K8)"""
     x = F.when(F.col("h") > 0, F.col("h"))
-    row = M.with_hours(t).agg(F.avg(x).alias("avg_hours"), C.percent(F.count_if(C.is_resolved()), F.count("*")).alias("rate"), F.count("*").alias("total"))
+    row = M.with_hours(t).agg(mean(t, x).alias("avg_hours"), C.percent(tally(t, done(t)), tally(t)).alias("rate"), tally(t).alias("total"))
     h, rate = F.format_string("%.1f", F.col("avg_hours")), F.format_string("%.1f", F.col("rate"))
+    # fixed values: the sentences
     say = [
         (F.col("avg_hours") > 48, F.concat(F.lit("Average resolution time is high at "), h, F.lit(" hours"))), (F.col("avg_hours") < 4, F.concat(F.lit("Excellent average resolution time of "), h, F.lit(" hours"))),
         ((F.col("total") > 0) & (F.col("rate") > 90), F.concat(F.lit("High resolution rate of "), rate, F.lit("%"))), ((F.col("total") > 0) & (F.col("rate") < 50), F.concat(F.lit("Low resolution rate of "), rate, F.lit("% needs attention"))),

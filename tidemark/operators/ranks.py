@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.cube import tally
+
 
 def met(a: DataFrame, b: DataFrame, names: Sequence[str], how: str = "inner", also: Column | None = None) -> DataFrame:
     """The join of rows that are equal in the named columns, null as well; other columns must have different names."""
@@ -30,8 +32,8 @@ def _bin(v: Column) -> Column:
 
 
 def ranked(rows: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Each distinct value of each group with ``c``, how many rows have it, ``upto``, how many are at or below it, and ``of``, how many there are. Null values take no part."""
-    values = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c")).withColumn("_bin", _bin(F.col(value).cast("double")))
+    """Each distinct value of each group with ``c``, how many rows have it, ``upto``, how many are at or below it, and ``of``, how many there are. Null values take no part. Rows of a cube count as often as they have tickets."""
+    values = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(tally(rows).alias("c")).withColumn("_bin", _bin(F.col(value).cast("double")))
     bins = values.groupBy(*keys, "_bin").agg(F.sum("c").alias("_in"))
     below = F.sum("_in").over(Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
     bins = bins.select(*keys, "_bin", F.coalesce(below, F.lit(0)).alias("_below"), F.sum("_in").over(Window.partitionBy(*keys)).alias("of"))

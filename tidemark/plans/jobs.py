@@ -7,20 +7,20 @@ from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import clean, quality, sla, trends
 from tidemark.operators import metrics as M
+from tidemark.operators.cube import cube, cubed
 from tidemark.plans.registry import Registry, distributions, statistics
-from tidemark.session import kept, shared_folder
+from tidemark.session import kept
 
 METRICS = Registry(
     resolution_overview=M.resolution_overview, resolution_by_severity=M.resolution_by_severity, resolution_by_assignee=M.resolution_by_assignee, outlier_summary=M.outlier_summary,
-    status_distribution=lambda t: M.distribution(t, "status"), severity_distribution=lambda t: M.distribution(t, "severity"), volume_summary=M.volume_summary, volume=M.volume, peaks=M.peaks,
-    monthly_growth=M.monthly_growth, team_assignee=lambda t: M.team(t, "assignee"), team_group=lambda t: M.team(t, "resolver_group"), workload_stats=lambda t: M.workload_stats(t, "assignee"),
+    status_distribution=cubed(lambda t: M.distribution(t, "status")), severity_distribution=cubed(lambda t: M.distribution(t, "severity")), volume_summary=M.volume_summary, volume=M.volume, peaks=M.peaks,
+    monthly_growth=M.monthly_growth, team_assignee=cubed(lambda t: M.team(t, "assignee")), team_group=cubed(lambda t: M.team(t, "resolver_group")), workload_stats=cubed(lambda t: M.workload_stats(t, "assignee")),
 )
 TRENDS = Registry(
     volume_trend=trends.volume_trend, resolution_trend=trends.resolution_trend, seasonality=trends.seasonality, weekly_growth=trends.weekly_growth, correlation=trends.volume_hours_correlation,
@@ -49,14 +49,16 @@ def long_form(name: str, df: DataFrame) -> DataFrame:
 def analyze(t: DataFrame, as_of: datetime | str, metrics: Registry | None = METRICS, trend: Registry | None = TRENDS) -> DataFrame:
     """All metrics, trends and quality of the lightly valid rows, in the long form.
 
-    The projected rows are kept once for all results (in memory, else on disk),
-    and some results are worked out at a time. Each is kept in the shared folder,
-    whatever its size; the driver sees none of them. A result that can't be
-    planned or run gives a row with key ``error``; the others stand.
+    The rows are scanned twice, for a cube that is kept in the shared folder and
+    for their quality; all else follows from the cube, some results at a time.
+    Operators of one's own that don't take cubes scan the rows themselves. Each
+    result is kept in the shared folder, whatever its size; the driver sees none
+    of them. A result that can't be planned or run gives a row with key ``error``;
+    the others stand.
     """
-    rows = clean.lightly_valid(t).select("id", "status", "severity", "created_date", "updated_date", "resolved_date", "title", "assignee", "resolver_group").persist(StorageLevel.MEMORY_AND_DISK)
+    rows = clean.lightly_valid(t).select("id", "status", "severity", "created_date", "updated_date", "resolved_date", "title", "assignee", "resolver_group")
     spark = t.sparkSession
-    shared_folder(spark)
+    cells = kept(cube(rows))
 
     def one(name: str, make: Callable[[], DataFrame]) -> DataFrame:
         try:
@@ -64,13 +66,10 @@ def analyze(t: DataFrame, as_of: datetime | str, metrics: Registry | None = METR
         except PySparkException as e:
             return spark.createDataFrame([(name, "error", str(e).splitlines()[0])], LONG)
 
-    wanted = [(f"{kind}.{n}", lambda r=r, n=n: r.calculate(n, rows)) for kind, r in (("metric", metrics), ("trend", trend)) if r for n in r.names()]
-    wanted += [("quality", lambda: quality.assess(rows, as_of)), ("insights", lambda: quality.insights(rows))]
-    try:
-        with ThreadPoolExecutor(AT_ONCE) as pool:
-            return reduce(DataFrame.unionByName, pool.map(lambda x: one(*x), wanted))
-    finally:
-        rows.unpersist()
+    wanted = [(f"{kind}.{n}", lambda r=r, n=n: r.calculate(n, cells if r.takes_cube(n) else rows)) for kind, r in (("metric", metrics), ("trend", trend)) if r for n in r.names()]
+    wanted += [("quality", lambda: quality.assess(rows, as_of)), ("insights", lambda: quality.insights(cells))]
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return reduce(DataFrame.unionByName, pool.map(lambda x: one(*x), wanted))
 
 
 def combine(*reports: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import ranks
+from tidemark.operators.cube import takes_cube
 
 Operator = Callable[..., DataFrame]
 
@@ -32,6 +33,9 @@ class Registry:
     def supports(self, name: str) -> bool:
         return name in self._operators
 
+    def takes_cube(self, name: str) -> bool:
+        return name in self._operators and takes_cube(self._operators[name])
+
     def calculate(self, name: str, t: DataFrame, **settings: object) -> DataFrame:
         if name not in self._operators:
             raise KeyError(f"no such operator: {name}")
