@@ -2,6 +2,7 @@
 
 import random
 from datetime import datetime, timedelta
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
@@ -353,3 +354,20 @@ def test_an_analysis_scans_its_tickets_twice(spark):
     long = jobs.analyze(t, AS_OF)
     assert seen.value == 120 and long.where("key = 'error'").count() == 0
     assert seen.value == 120  # results are kept
+
+
+def test_patterns_run_where_their_signs_are(spark):
+    r = random.Random(9)
+    bits = ["a.b@c.org", "555-123-4567", "(555) 123 4567", "+491234567", "123-45-6789", "4111 1111 1111 1111", "10.0.0.1", "fe80:0:0:0:0:0:0:1", "aa:bb:cc:dd:ee:ff", "123456789012", "01234567-89ab-cdef-0123-456789abcdef", "AKIA" + "Z" * 16, "akia" + "q9" * 8, "x" * 33, "Q" * 40 + "==", "/home/me/.x", "/HOME/You/y", 'Password" = "s3"', "password:x", "2024-01-05", "12:30", "C++", "a/b", "e.g.", "word", "ü", "@", "[x]", "=", "٣٣٣"]
+    texts = ["".join(r.choice(bits) + r.choice(["", " ", ",", "\n", "-", "1"]) for _ in range(r.randint(0, 9))) for _ in range(1500)] + [None, "", *bits]
+    d = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    all_ = [(p, f"[{n.upper()}_REDACTED]") for n, p in privacy.PII.items()]
+    rules = [(x.regex(), x.replacement) for x in privacy.RULES]
+    kinds = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit(n)) for n, p in privacy.PII.items()]))
+    got = d.select(
+        privacy.redact_pii("text").eqNullSafe(privacy.fold("text", all_)).alias("pii"), privacy.redact("text").eqNullSafe(privacy.fold("text", rules)).alias("rules"), (privacy.detected("text") == kinds).alias("kinds"),
+        privacy.redact_either("text").eqNullSafe(F.when(F.size(kinds) > 0, privacy.fold("text", all_)).otherwise(privacy.fold("text", rules))).alias("either"),
+        F.when(F.col("text").isNull(), True).otherwise(reduce(lambda a, b: a & b, [c == F.regexp_count("text", F.lit(privacy.PII[n])) for n, c in privacy.counts("text").items()])).alias("counts"),
+    )
+    assert got.where("not (pii and rules and kinds and either and counts)").count() == 0 and got.count() == len(texts)
+    assert set(privacy.NEEDS) == {*privacy.PII.values(), *(x.pattern for x in privacy.RULES)}

@@ -68,23 +68,45 @@ LOG_RULES = tuple(
 _CRITICAL, _HIGH = ("ssn", "credit_card", "aws_secret_key", "api_key"), ("email", "phone_us", "phone_international", "aws_access_key")
 
 
-#: Any match has one of these, or is one of the kinds below and within a word of 20 letters.
-_SIGNS = "0123456789@:=/-"
-_PLAIN = ("api_key", "base64_token", "aws_access_key", "aws_secret_key")
+#: Signs of which any match of a pattern has one: each is looked for once a text, whatever the number of patterns.
+AT, PLUS, DIGITS, LINKED, LONG, SLASH, ASSIGNED = (1 << i for i in range(7))
+#: Nine digits with few separators between; hexadecimal digits, one to four between two joiners; a run of 20 letters of tokens.
+_DIGITS, _LINKED, _LONG = r"[0-9](?:[-.\s()]{0,3}[0-9]){8}", r"[0-9A-Fa-f][:.-][0-9A-Fa-f]{1,4}[:.-][0-9A-Fa-f]", r"[A-Za-z0-9+/=]{20}"
+_NEEDS = {"email": AT, "phone_us": DIGITS, "phone_international": PLUS, "ssn": DIGITS, "credit_card": DIGITS, "ip_address": LINKED, "ipv6_address": LINKED, "mac_address": LINKED, "aws_account": DIGITS, "uuid": LINKED}
+#: The sign that each fixed pattern needs; those that aren't here need a long run.
+NEEDS = {PII[k]: _NEEDS.get(k, LONG) for k in PII} | {r.pattern: SLASH if r.pattern.startswith("/home") else ASSIGNED for r in RULES if r.pattern not in PII.values()}
 
 
-def _bound(c: str | Column, of: Callable[[Column, Column, Column], Column]) -> Column:
-    """of(text, signs, run): whether any kind may be in a text, and whether one of the plain kinds may. Both are found once a row, so that most texts cost no pass of a pattern."""
-    signs = reduce(lambda a, b: a | b, [F.contains(column(c), F.lit(x)) for x in _SIGNS])
-    run = F.exists(F.split(column(c), " "), lambda w: F.length(w) >= 20)
-    once = F.array(F.struct(column(c).alias("text"), signs.alias("signs"), run.alias("run")))
-    return F.get(F.transform(once, lambda x: of(x["text"], x["signs"], x["run"])), F.lit(0))
+def _needs(regex: str) -> int | None:
+    return NEEDS.get(regex, NEEDS.get(regex.removeprefix("(?i)")))
 
 
-def _guarded(c: str | Column, pairs: Sequence[tuple[str, str]]) -> Column:
-    """As :func:`fold`, for the fixed patterns."""
-    plain = {PII[k] for k in _PLAIN} | {r.regex() for r in RULES if r.pattern in {PII[k] for k in _PLAIN}}
-    return _bound(c, lambda t, signs, run: F.when(signs, fold(t, pairs)).when(run, fold(t, [x for x in pairs if x[0] in plain])).otherwise(t))
+def signs(t: Column) -> Column:
+    """The bits of the signs that a text has."""
+    has = lambda x: F.contains(t, F.lit(x))
+    digit = reduce(lambda a, b: a | b, [has(x) for x in "0123456789"])
+    # patterns only where a search for single bytes doesn't rule them out; addresses by dots alone have digits
+    found = {AT: has("@"), PLUS: has("+"), DIGITS: digit & t.rlike(_DIGITS), LINKED: (digit | has(":") | has("-")) & t.rlike(_LINKED), LONG: t.rlike(_LONG), SLASH: has("/"), ASSIGNED: has("=") | has(":")}
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.when(c, bit).otherwise(0) for bit, c in found.items()])
+
+
+def _bound(c: str | Column, of: Callable[[Column, Column], Column]) -> Column:
+    """of(text, bits): the bits are found once a row, so that a pattern runs over texts only that have its sign."""
+    once = F.array(F.struct(column(c).alias("text"), signs(column(c)).alias("bits")))
+    return F.get(F.transform(once, lambda x: of(x["text"], x["bits"])), F.lit(0))
+
+
+def _may(bits: Column, regex: str) -> Column:
+    return bits.bitwiseAND(F.lit(_needs(regex))) != 0
+
+
+def _guarded(t: Column, bits: Column, pairs: Sequence[tuple[str, str]]) -> Column:
+    """As :func:`fold`, each of the fixed patterns where its sign is. What replaces a match has no sign of another pattern, and keeps apart what stood on its two sides."""
+    step = lambda p, r: lambda x: F.when(_may(bits, p), F.regexp_replace(x, p, r)).otherwise(x)
+    out = t
+    for pattern, replacement in pairs:
+        out = F.get(F.transform(F.array(out), step(pattern, replacement)), F.lit(0))  # bound, as the text is named twice
+    return out
 
 
 def fold(c: str | Column, pairs: Iterable[tuple[str, str]]) -> Column:
@@ -96,9 +118,7 @@ def fold(c: str | Column, pairs: Iterable[tuple[str, str]]) -> Column:
 
 def detected(c: str | Column) -> Column:
     """Kinds of personal data in a text. (L1)"""
-    kinds = lambda t, names: F.array_compact(F.array(*[F.when(t.rlike(PII[n]), F.lit(n)) for n in names]))
-    none = F.array().cast("array<string>")
-    return _bound(c, lambda t, signs, run: F.when(signs, kinds(t, PII)).when(run, kinds(t, _PLAIN)).otherwise(none))
+    return _bound(c, lambda t, bits: F.array_compact(F.array(*[F.when(_may(bits, p), F.when(t.rlike(p), F.lit(n))) for n, p in PII.items()])))
 
 
 def counts(c: str | Column) -> dict[str, Column]:
@@ -108,12 +128,12 @@ def counts(c: str | Column) -> dict[str, Column]:
 
 def _counted(c: str | Column) -> Column:
     """Matches of each kind, as one struct."""
-    return _bound(c, lambda t, signs, run: F.when(t.isNotNull(), F.struct(*[F.when((signs | run) if n in _PLAIN else signs, F.regexp_count(t, F.lit(p))).otherwise(0).alias(n) for n, p in PII.items()])))
+    return _bound(c, lambda t, bits: F.when(t.isNotNull(), F.struct(*[F.when(_may(bits, p), F.regexp_count(t, F.lit(p))).otherwise(0).alias(n) for n, p in PII.items()])))
 
 
 def redact_pii(c: str | Column) -> Column:
     """(L3)"""
-    return _guarded(c, [(p, f"[{n.upper()}_REDACTED]") for n, p in PII.items()])
+    return _bound(c, lambda t, bits: _guarded(t, bits, [(p, f"[{n.upper()}_REDACTED]") for n, p in PII.items()]))
 
 
 def applied(rules: Sequence[Rule], threshold: str = "low", legacy: bool = False) -> list[Rule]:
@@ -126,7 +146,7 @@ def applied(rules: Sequence[Rule], threshold: str = "low", legacy: bool = False)
 def redact(c: str | Column, threshold: str = "low", extra: Sequence[Rule] = (), legacy: bool = False) -> Column:
     """By rules, custom ones last."""
     pairs = lambda rules: [(r.regex(), r.replacement) for r in applied(rules, threshold, legacy)]
-    return fold(_guarded(c, pairs(RULES)), pairs(extra))
+    return fold(_bound(c, lambda t, bits: _guarded(t, bits, pairs(RULES))), pairs(extra))
 
 
 def is_sensitive(name: str) -> bool:
@@ -137,9 +157,8 @@ def redact_either(c: str | Column, threshold: str = "low") -> Column:
     """Personal data if there is any, else by rules."""
     pairs = [(p, f"[{n.upper()}_REDACTED]") for n, p in PII.items()]
     rules = [(r.regex(), r.replacement) for r in applied(RULES, threshold)]
-    found = lambda t, names: reduce(lambda a, b: a | b, [t.rlike(PII[n]) for n in names])
-    either = lambda t, names: F.when(found(t, names), fold(t, pairs)).otherwise(fold(t, rules))
-    return _bound(c, lambda t, signs, run: F.when(signs, either(t, PII)).when(run, either(t, _PLAIN)).otherwise(t))
+    found = lambda t, bits: reduce(lambda a, b: a | b, [F.when(_may(bits, p), t.rlike(p)).otherwise(False) for p in PII.values()])
+    return _bound(c, lambda t, bits: F.when(found(t, bits), _guarded(t, bits, pairs)).otherwise(_guarded(t, bits, rules)))
 
 
 def _walk(c: Column, kind: T.DataType, text) -> Column:
@@ -173,7 +192,7 @@ def redact_records(df: DataFrame, threshold: str = "low", pii_first: bool = Fals
 
 def report(df: DataFrame, c: str) -> DataFrame:
     """Counts, rules hit, risk and recommendations of each row's text."""
-    hits = lambda t, signs, run: F.when(signs | run, sum((F.coalesce(t.rlike(r.regex()).cast("int"), F.lit(0)) for r in RULES), F.lit(0))).otherwise(0)
+    hits = lambda t, bits: sum((F.when(_may(bits, r.pattern), F.coalesce(t.rlike(r.regex()).cast("int"), F.lit(0))).otherwise(0) for r in RULES), F.lit(0))
     # one struct of counts a row, read by all that follows
     out = df.withColumns({"_n": _counted(c), "rules_hit": _bound(c, hits)})
     out = out.withColumns({f"n_{k}": F.col("_n")[k] for k in PII}).drop("_n")
