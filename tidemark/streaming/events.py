@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
-from datetime import datetime, timedelta, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -92,7 +91,6 @@ def alerts(samples: DataFrame, minutes: float = 1, cooldown: float = 15, late: s
 
 #: What keeps state with timers.
 TIMER_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_EPOCH = datetime(1970, 1, 1)
 
 
 @contextmanager
@@ -107,10 +105,6 @@ def timers(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def _micros(ts: datetime) -> int:
-    return (ts.astimezone(timezone.utc).replace(tzinfo=None) - _EPOCH) // timedelta(microseconds=1)
-
-
 class _Held(StatefulProcessor):
     """One rule. Samples wait until the watermark has passed them, so they are taken in order of their times whatever batch brought them."""
 
@@ -124,7 +118,7 @@ class _Held(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
         for r in rows:
-            self.waiting.appendValue((_micros(r["ts"]), bool(r["bad"])))
+            self.waiting.appendValue((r["at"], bool(r["bad"])))
         yield from self._upto(key[0], timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
@@ -175,7 +169,7 @@ class _Held(StatefulProcessor):
             wake = min([x for x in (rest[0][0] if rest else None, due) if x is not None], default=newest + self.quiet)
             self.handle.registerTimer(max(-(-wake // 1000), mark_ms + 1))
         for event, at in out:
-            yield Row(rule=rule, event=event, ts=(_EPOCH + timedelta(microseconds=at)).replace(tzinfo=timezone.utc))
+            yield Row(rule=rule, event=event, at=at)
 
     def close(self) -> None:
         pass
@@ -194,5 +188,6 @@ def timed_alerts(samples: DataFrame, minutes: float = 1, cooldown: float = 15, l
     """
     micros = lambda m: round(m * 60_000_000)
     processor = _Held(micros(minutes), micros(cooldown), int(pd.Timedelta(quiet) / pd.Timedelta(microseconds=1)))
-    rows = samples.where("rule is not null").select("rule", "ts", "bad").withWatermark("ts", late)
-    return rows.groupBy("rule").transformWithState(processor, "rule string, event string, ts timestamp", "Append", "EventTime")
+    rows = samples.where("rule is not null").select("rule", "ts", F.unix_micros("ts").alias("at"), "bad").withWatermark("ts", late)
+    out = rows.groupBy("rule").transformWithState(processor, "rule string, event string, at long", "Append", "EventTime")
+    return out.select("rule", "event", F.timestamp_micros("at").alias("ts"))
