@@ -297,8 +297,33 @@ def test_html_template_within_articles(spark):
 
 
 def test_html_hostile_text_is_linear():
-    html_text.blocks('<a "' * 3000)
-    html_text.blocks("<" * 50_000)
+    n = 1 << 20
+    pages = ["<b>" * (n // 6) + "</x>" * (n // 8), "</x>" * (n // 4), "<a " * (n // 3), "<a " * (n // 3) + ">", '<a "> "' * (n // 7), '<a "' * (n // 4), "<" * n]
+    pages += ["<b>" * (n // 8) + "<p></p>" * (n // 16), "<div>" * (n // 10) + "<li></li>" * (n // 20), "<title>" * (n // 7)]
+    for page in pages:
+        start = time.process_time()
+        html_text.extract(page, None)
+        assert time.process_time() - start < 20, page[:20]  # some 1 to 5 seconds; the square of the length took hours
     assert html_text.extract("<div>" * 3000 + "x", None) == "x"
-    assert html_text.extract("<div>a<p>" * 3000 + "x", None).count("a") > 2900
+    assert html_text.extract("<div>a<p>" * 30_000 + "x", None).count("a") > 29_000
     html_text.extract("<div class=a>x</div><div class=b>y</div>" * 2000, None)
+
+
+@pytest.mark.parametrize("page,text", [('<p title="a > b">one</p>', "one"), ("<p title=\"it's\">one</p>", "one"), ("<p title='>one", "one"), ('<p "\'>one<p "\'>two', "one\n\ntwo"), ("<p>1 < 2 <3", "1 < 2 <3"), ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>", "a\n\nb\n\nc\n\nd")])
+def test_html_broken_marks(page, text):
+    assert html_text.extract(page, None) == text
+
+
+def test_html_deep_pages(spark):
+    """Menus go however deep page and article stand."""
+    for depth in (10, 56, 200, 3000):
+        inner = "<div class=m><a href=1>Home of all</a> <a href=2>News of all</a></div><div class=c><p>Story {i} is told at some length in this place</p></div>"
+        rows = [(i, "http://deep.example/x", "<div>" * depth + inner.format(i=i) + "</div>" * depth) for i in range(5)]
+        got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert got == {i: f"Story {i} is told at some length in this place" for i in range(5)}
+
+
+def test_html_flat_trees():
+    t = html_text.tree(html_text.blocks("<div>a<ul><li>b<li>c</ul><p>d</p></div><p>e"))
+    assert html_text.flat(t) == [[0, ""], [1, "div"], [2, "ul"], [3, "li"], [2, "p"], [1, "p"]]
+    assert html_text.flat(html_text.nested(html_text.flat(t))) == html_text.flat(t)

@@ -17,8 +17,10 @@ whose class or id has no other words than those of boilerplate. The last two
 stand where they hold most of the page's slot, as in near copies of a page.
 
 The sums are over distinct pages of all of a host, whatever their order; no
-task gathers a host. Alignment looks at the first 60 levels; text below stands
-at the last of them.
+task gathers a host. Nothing here recurs, so trees may be as deep as pages are
+long; they travel as flat lists of depth, label and texts. The parser's time grows
+with a page's length (times the logarithm of its depth, for elements that a block
+closes), whatever is left open, closed without being open, or quoted.
 
 Null and empty pages give the empty text. Every row gives one row; repeated
 rows count once in the template. Pages without an url share the empty host.
@@ -28,7 +30,11 @@ import hashlib
 import html
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import groupby
+from operator import itemgetter
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -37,7 +43,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.textkit import cut
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)([^>\"']*+(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*+)*+|[^>]*+)>", re.DOTALL)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)([^>\"']*+(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*+)*+)>", re.DOTALL)
+_NAME = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)")
+_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([A-Za-z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([A-Za-z_:-]+)")
 _WORDS = re.compile(r"[A-Za-z]+")
 
@@ -63,7 +71,6 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 HEADER = frozenset(["header"])
 #: Elements whose runs are one node from the first repetition on.
 FLOW = frozenset("p li dt dd tr td th option blockquote pre".split())
-LEVELS = 60
 #: A text is template if so many of the host's pages, and such a share of those with text at the node, have it.
 LEAST_PAGES, SHARE = 3, 0.5
 #: Template texts, and parts with names of boilerplate, that hold such a share of a page's slot are its content after all.
@@ -72,18 +79,63 @@ MOST_TEMPLATE, MOST_DOUBT = 0.75, 0.5
 BROADCAST = 16 << 20
 
 
+class Place:
+    """A block element of a page, by way of the one around it; depth 0 is outside all."""
+
+    __slots__ = ("above", "label", "depth")
+
+    def __init__(self, above: "Place | None", label: str) -> None:
+        self.above, self.label, self.depth = above, label, above.depth + 1 if above else 0
+
+
 class Block(NamedTuple):
-    path: tuple[tuple[str, int], ...]  #: label and number of each block element from the root
+    place: Place
     text: str
     links: int  #: characters in links
     doubt: bool  #: in a part that its class or id calls boilerplate
 
 
-class Element:
-    __slots__ = ("tag", "label", "kind", "number")
-
-    def __init__(self, tag: str, label: str, kind: str, number: int) -> None:
-        self.tag, self.label, self.kind, self.number = tag, label, kind, number
+class Element(NamedTuple):
+    tag: str
+    kind: str
+    place: Place  #: its own, if it is a block element, else that of the block around it
+
+
+class Tags:
+    """The tags of a page, from any `<`. Quoted values may hold `>`; where quotes don't come out, a tag ends at the first `>`."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last = page, page.rfind(">")
+        self.broken: set[int] = set()  #: opening quotes from which no end of a tag is met
+        self.plain = True
+
+    def at(self, start: int) -> tuple[int, str, str, str] | None:
+        """Where the mark-up at `start` ends; the slash, name and attributes of a tag (else empty)."""
+        page = self.page
+        if start > self.last and page[start + 1 : start + 2] not in ("!", "?"):
+            return None
+        if (self.plain or page[start + 1 : start + 2] in ("!", "?")) and (m := _TOKEN.match(page, start)):
+            return m.end(), m[1] or "", m[2] or "", m[3] or ""
+        if not (m := _NAME.match(page, start)):
+            return None
+        self.plain = False
+        end = self._quoted(m.end())
+        if end < 0:
+            end = page.find(">", m.end())
+        return end + 1, m[1], m[2], page[m.end() : end]
+
+    def _quoted(self, at: int) -> int:
+        """The first `>` outside quotes, or -1. No opening quote is tried twice."""
+        tried = []
+        while (m := _STOP.search(self.page, at)) and m.start() not in self.broken:
+            if m[0] == ">":
+                return m.start()
+            tried.append(m.start())
+            at = self.page.find(m[0], m.end()) + 1
+            if not at:
+                break
+        self.broken.update(tried)
+        return -1
 
 
 def describe(tag: str, attributes: str) -> tuple[str, str]:
@@ -108,15 +160,21 @@ def describe(tag: str, attributes: str) -> tuple[str, str]:
     return label, "plain"
 
 
+described = lru_cache(1 << 12)(describe)
+
+
 def blocks(page: str | None) -> list[Block]:
     """Blocks of text outside dropped parts, in page order. Unclosed and misnested elements are borne with."""
     out: list[Block] = []
     if not page:
         return out
     stack: list[Element] = []
+    open_: dict[str, list[int]] = {}  # where in the stack elements of each tag stand
+    walls: list[int] = []  # and block elements other than paragraphs
     kinds = {"drop": 0, "doubt": 0, "header": 0, "article": 0, "plain": 0}
     parts: list[str] = []
-    headings = links = anchors = articles = number = 0
+    outside = Place(None, "")
+    headings = links = 0
 
     def flush() -> None:
         nonlocal links
@@ -125,44 +183,58 @@ def blocks(page: str | None) -> list[Block]:
             parts.clear()
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
-                out.append(Block(tuple((e.label, e.number) for e in stack if e.tag in BLOCK), text, min(links, len(text)), kinds["doubt"] > 0))
+                out.append(Block(stack[-1].place if stack else outside, text, min(links, len(text)), kinds["doubt"] > 0))
         links = 0
 
-    def pop() -> None:
-        nonlocal headings, anchors, articles
-        e = stack.pop()
-        kinds[e.kind] -= 1
-        headings -= e.tag in HEADINGS
-        anchors -= e.tag == "a"
-        articles -= e.tag == "article"
-
+    def close(depth: int) -> None:
+        nonlocal headings
+        while len(stack) > depth:
+            e = stack.pop()
+            open_[e.tag].pop()
+            if walls and walls[-1] == len(stack):
+                walls.pop()
+            kinds[e.kind] -= 1
+            headings -= e.tag in HEADINGS
+
+    def top(tag: str) -> int:
+        return open_[tag][-1] if open_.get(tag) else -1
+
+    def ended(tag: str) -> int | None:
+        """Where the outermost element stands that a new block ends: an open paragraph, or what list items and cells end."""
+        if tag not in CLOSES:  # of paragraphs one at most is open within the nearest wall
+            return i if (i := top("p")) > (walls[-1] if walls else -1) else None
+        fence = max(map(top, FENCE[tag]))
+        found = [places[i] for t in CLOSES[tag] | {"p"} if (places := open_.get(t)) and (i := bisect_right(places, fence)) < len(places)]
+        return min(found, default=None)
+
+    tags = Tags(page)
     at, n = 0, len(page)
     while at < n:
         m, upto = None, at
-        while (upto := page.find("<", upto)) >= 0 and not (m := _TOKEN.match(page, upto)):
+        while (upto := page.find("<", upto)) >= 0 and not (m := tags.at(upto)):
             upto += 1
-        upto = m.start() if m else n
+        if not m:
+            upto = n
         if upto > at and not kinds["drop"] and (not kinds["header"] or headings and kinds["article"]):
             parts.append(page[at:upto])
-            links += (upto - at) * (anchors > 0)
+            links += (upto - at) * bool(open_.get("a"))
         if not m:
             break
-        at = m.end()
-        tag = (m[2] or "").lower()
+        at, slash, tag, attributes = m
+        tag = tag.lower()
         if not tag:
             continue
-        if m[1]:
+        if slash:
             if tag in VOID:
                 continue
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), None)
-            if depth is None:
+            depth = top(tag)
+            if depth < 0:
                 if tag == "p":
                     flush()
                 continue
-            if any(e.tag in BLOCK for e in stack[depth:]):
+            if max(top("p"), walls[-1] if walls else -1) >= depth:
                 flush()
-            while len(stack) > depth:
-                pop()
+            close(depth)
             continue
         if tag == "br":
             if parts:
@@ -170,34 +242,26 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if tag in BLOCK:
             flush()
-            # a block ends an open paragraph, with what is open in it; list items and cells end their like
-            end = None
-            for i in range(len(stack) - 1, -1, -1):
-                t = stack[i].tag
-                if t == "p" or t in CLOSES.get(tag, ()):
-                    end = i
-                elif t in FENCE.get(tag, ()) or t in BLOCK and tag not in CLOSES:
-                    break
-            if end is not None:
-                while len(stack) > end:
-                    pop()
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
+            if (end := ended(tag)) is not None:
+                close(end)
+        if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
-            at = close.end() if close else n
+            m = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
+            at = m.end() if m else n
             continue
-        label, kind = describe(tag, m[3])
-        if tag == "article" and articles:  # what HTML calls related to the one around it: teasers, readers' comments
+        label, kind = described(tag, attributes) if len(attributes) < 200 else describe(tag, attributes)
+        if tag == "article" and open_.get("article"):  # what HTML calls related to the one around it: teasers, readers' comments
             kind = "drop"
         elif kind in ("article", "header") and tag not in BLOCK:
             kind = "plain"
-        number += 1
-        stack.append(Element(tag, label, kind, number))
+        around = stack[-1].place if stack else outside
+        open_.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK and tag != "p":
+            walls.append(len(stack))
+        stack.append(Element(tag, kind, Place(around, label) if tag in BLOCK else around))
         kinds[kind] += 1
         headings += tag in HEADINGS
-        anchors += tag == "a"
-        articles += tag == "article"
     flush()
     return out
 
@@ -207,77 +271,98 @@ def key(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) or 1
 
 
-# A tree node: [label, children, the numbers of its blocks]
+# A tree node: [label, children, the numbers of its blocks]. A flat tree: depth, label and more of each node, from the root down.
 
 
 def tree(found: list[Block]) -> list:
     """The tree of a page's blocks."""
     root: list = ["", [], []]
-    open_: list[tuple[int, list]] = [(0, root)]
+    open_: list[tuple[Place | None, list]] = [(None, root)]
     for i, b in enumerate(found):
-        depth = 1
-        path = b.path[:LEVELS]
-        while depth < len(open_) and depth <= len(path) and open_[depth][0] == path[depth - 1][1]:
-            depth += 1
-        del open_[depth:]
-        for label, number in path[depth - 1 :]:
+        new, p = [], b.place
+        while p.depth and (p.depth >= len(open_) or open_[p.depth][0] is not p):
+            new.append(p)
+            p = p.above
+        del open_[p.depth + 1 :]
+        for p in reversed(new):
             above = open_[-1][1][1]
-            if not above or above[-1][0] != label or label.split(".")[0] not in FLOW:
-                above.append([label, [], []])
-            open_.append((number, above[-1]))
+            if not above or above[-1][0] != p.label or p.label.split(".")[0] not in FLOW:
+                above.append([p.label, [], []])
+            open_.append((p, above[-1]))
         open_[-1][1][2].append(i)
     return _folded(root)
 
 
-def _folded(node: list) -> list:
+def _folded(root: list) -> list:
     """Three or more like siblings in a row become one repeated node."""
-    children: list = []
-    kids = [_folded(c) for c in node[1]]
-    i = 0
-    while i < len(kids):
-        j = i
-        while j < len(kids) and kids[j][0] == kids[i][0]:
-            j += 1
-        children += [_united(kids[i:j])] if j - i > 2 else kids[i:j]
-        i = j
-    return [node[0], children, node[2]]
+    for node in reversed(list(_nodes(root))):  # children come before their parents
+        children: list = []
+        for _, run in groupby(node[1], key=itemgetter(0)):
+            like = list(run)
+            children += [_united(like)] if len(like) > 2 else like
+        node[1] = children
+    return root
 
 
 def _united(nodes: list) -> list:
     """One node for a run of like ones: the children by label."""
-    by_label: dict[str, list] = {}
-    for n in nodes:
-        for c in n[1]:
-            by_label.setdefault(c[0], []).append(c)
-    return [nodes[0][0], [c[0] if len(c) == 1 else _united(c) for c in by_label.values()], [i for n in nodes for i in n[2]]]
+    root: list = [nodes[0][0], [], []]
+    todo = [(root, nodes)]
+    while todo:
+        one, many = todo.pop()
+        one[2] = [i for n in many for i in n[2]]
+        by_label: dict[str, list] = {}
+        for n in many:
+            for c in n[1]:
+                by_label.setdefault(c[0], []).append(c)
+        one[1] = [c[0] if len(c) == 1 else [label, [], []] for label, c in by_label.items()]
+        todo += [(x, c) for x, c in zip(one[1], by_label.values(), strict=True) if len(c) > 1]
+    return root
+
+
+def flat(root: list, found: list[Block] | None = None) -> list:
+    """The flat tree; with found, also key and length outside links of each node's texts."""
+    out = []
+    todo = [(0, root)]
+    while todo:
+        depth, node = todo.pop()
+        out.append([depth, node[0]] if found is None else [depth, node[0], [(key(found[i].text), len(found[i].text) - found[i].links) for i in node[2]]])
+        todo += [(depth + 1, c) for c in reversed(node[1])]
+    return out
 
 
-def shape(node: list) -> list:
-    """The tree without its texts."""
-    return [node[0], [shape(c) for c in node[1]]]
+def nested(rows: list) -> list:
+    """The tree of a flat one."""
+    open_: list[list] = []
+    for depth, label, *texts in rows:
+        del open_[depth:]
+        node = [label, [], texts[0] if texts else []]
+        if open_:
+            open_[-1][1].append(node)
+        open_.append(node)
+    return open_[0]
 
 
 def matching(a: list, b: list) -> list[tuple[list, list]]:
     """Simple tree matching of two nodes of equal label: the pairs of nodes of the largest match that keeps order and ancestors."""
     tables: dict[tuple[int, int], tuple[int, list[list[int]]]] = {}
-
-    def size(x: list, y: list) -> int:
-        k = id(x), id(y)
-        if k not in tables:
-            left, right = x[1], y[1]
-            best = [[0] * (len(right) + 1)]
-            for c in left:
-                above, row = best[-1], [0]
-                for j, d in enumerate(right):
-                    m = max(above[j + 1], row[j])
-                    if c[0] == d[0]:
-                        m = max(m, above[j] + size(c, d))
-                    row.append(m)
-                best.append(row)
-            tables[k] = 1 + best[-1][-1], best
-        return tables[k][0]
-
-    size(a, b)
+    alike = [(a, b)]  # parents before their children
+    for x, y in alike:
+        by_label: dict[str, list] = {}
+        for d in y[1]:
+            by_label.setdefault(d[0], []).append(d)
+        alike += [(c, d) for c in x[1] for d in by_label.get(c[0], ())]
+    for x, y in reversed(alike):
+        best = [[0] * (len(y[1]) + 1)]
+        for c in x[1]:
+            above, row = best[-1], [0]
+            for j, d in enumerate(y[1]):
+                m = max(above[j + 1], row[j])
+                if c[0] == d[0]:
+                    m = max(m, above[j] + tables[id(c), id(d)][0])
+                row.append(m)
+            best.append(row)
+        tables[id(x), id(y)] = 1 + best[-1][-1], best
     pairs: list[tuple[list, list]] = []
     todo = [(a, b)]
     while todo:
@@ -345,7 +430,7 @@ class Wrapper(NamedTuple):
 
 def wrapper(reference: str, sums: list) -> Wrapper:
     """sums: node, mass, keys of template texts."""
-    node = json.loads(reference)
+    node = nested(json.loads(reference))
     return Wrapper(node, slot(node, {s["node"]: s["mass"] for s in sums}), frozenset((s["node"], k) for s in sums for k in s["keys"] or ()))
 
 
@@ -384,10 +469,6 @@ def host(url: str) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def _with_texts(node: list, found: list[Block]) -> list:
-    return [node[0], [_with_texts(c, found) for c in node[1]], [(key(found[i].text), len(found[i].text) - found[i].links) for i in node[2]]]
-
-
 def _trees(pages: DataFrame) -> DataFrame:
     """host, shape and tree (with keys and lengths of texts) of each page, as JSON."""
     schema = pa.schema([("host", pa.string()), ("shape", pa.string()), ("tree", pa.string())])
@@ -398,8 +479,8 @@ def _trees(pages: DataFrame) -> DataFrame:
             for page in b.column(1):
                 found = blocks(page.as_py())
                 t = tree(found)
-                shapes.append(json.dumps(shape(t), separators=(",", ":")))
-                trees.append(json.dumps(_with_texts(t, found), separators=(",", ":")))
+                shapes.append(json.dumps(flat(t), separators=(",", ":")))
+                trees.append(json.dumps(flat(t, found), separators=(",", ":")))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shapes, pa.string()), pa.array(trees, pa.string())], schema=schema)
 
     return pages.select(host("url").alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(run, "host string, shape string, tree string")
@@ -413,9 +494,9 @@ def _texts(rows: DataFrame) -> DataFrame:
         for b in batches:
             sums: dict[tuple[str, int, int], list[int]] = {}
             for name, page, reference in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                ref = json.loads(reference)
+                ref = nested(json.loads(reference))
                 names = numbered(ref)
-                for x, y in matching(ref, json.loads(page)):
+                for x, y in matching(ref, nested(json.loads(page))):
                     if y[2]:
                         for k, length in [(0, 0), *dict.fromkeys(map(tuple, y[2]))]:
                             row = sums.setdefault((name, names[id(x)], k), [0, 0])
