@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -264,6 +265,44 @@ def test_nearest_of_few_and_awkward(spark):
     assert [r.vec_id for r in ann.search(one, one.where("vec_id = 20")).orderBy("rank").collect()] == list(range(20))
 
 
+def plain_nearest(x, ids, q, k):
+    s = x @ x[q]
+    s[q] = -np.inf
+    return list(ids[np.lexsort((ids, -s))[:k]])
+
+
+def test_nearest_beyond_the_probes(spark, small, monkeypatch):
+    """Queries that would need more buckets than may be probed are compared with all vectors; extra columns don't clash."""
+    monkeypatch.setattr(ann, "MOST_PROBES", 1)
+    v = spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").limit(300)
+    p = v.toPandas()
+    x, ids = np.array(p.embedding.tolist(), np.float64), p.vec_id.to_numpy()
+    rows = ann.search(clashing(v), clashing(v).where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()
+    got = collections.defaultdict(list)
+    for r in rows:
+        got[r.query_id].append(r.vec_id)
+    assert dict(got) == {ids[q]: plain_nearest(x, ids, q, 20) for q in np.flatnonzero(ids % 20 == 0)}
+
+
+def test_probes_of_many_vectors_stay_small(spark, monkeypatch):
+    """Three functions a table, as over a million vectors have: the driver's sample takes bounded memory."""
+    monkeypatch.setattr(ann, "SAMPLE", 6)
+    r = np.random.default_rng(3)
+    x = r.normal(size=(120, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x[:6] + 0.02 * r.normal(size=(6, 64))
+    classes = spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(x)], "rep long, v array<double>")
+    shape = ann.Shape(1 << 21, 64, 2.0, False)
+    assert shape.functions == 3
+    ask = lambda y: spark.createDataFrame([(i, z.tolist()) for i, z in enumerate(y)], "query_id long, v array<double>")
+    tracemalloc.start()
+    assert ann._probes(classes, ask(x[:6]), shape, 20) is None  # nothing is near: no number of probes helps
+    assert 1 <= ann._probes(classes, ask(near), shape, 0) <= 64  # each has one that is
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500 << 20
+
+
 def test_toxicity(spark):
     """Held-out texts: most toxic ones found, hardly a false one."""
     d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")

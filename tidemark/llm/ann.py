@@ -10,7 +10,9 @@ ones. The number of functions follows the number of vectors, so that a bucket
 holds about ``BUCKET`` of them however many there are. How many buckets a query
 probes follows from the data: for a bounded sample of queries the true nearest
 are found by brute force, and probes are as many as it takes to meet ``RECALL``
-of those. Clustered vectors need few, vectors without structure many.
+of those. Clustered vectors need few, vectors without structure many; where they
+would need over ``MOST_PROBES`` of each table, hashing spares little, and every
+query is compared with all vectors in blocks, which is exact.
 
 Buckets that differ in the last function only are a cell. A cell's vectors come
 together, in parts of ``BLOCK`` rows, with the queries that probe some of its
@@ -42,7 +44,7 @@ TABLES = 8
 BUCKET, BLOCK = 64, 4096
 #: Queries of the sample that sets the number of probes, and the share of their nearest that must be met.
 SAMPLE, RECALL = 64, 0.96
-#: Most buckets of a table that a query probes.
+#: Most buckets of a table that a query probes. Queries that would need more are compared with all vectors.
 MOST_PROBES = 1 << 14
 #: How many more than the k best by single precision are scored in double precision.
 SPARE = 8
@@ -152,8 +154,8 @@ def _placed(rows: DataFrame, shape: Shape, probes: int, asks: bool) -> DataFrame
     return rows.select("rep", "v").mapInArrow(run, _PLACED_DDL)
 
 
-def _probes(classes: DataFrame, asked: DataFrame, shape: Shape, k: int) -> int:
-    """How many buckets of each table a query must probe to meet its k nearest, by a sample of queries."""
+def _probes(classes: DataFrame, asked: DataFrame, shape: Shape, k: int) -> int | None:
+    """How many buckets of each table a query must probe to meet its k nearest, by a sample of queries; None if over MOST_PROBES."""
     chosen = asked.orderBy(F.xxhash64("query_id"), "query_id").limit(SAMPLE).select("v").collect()
     if not chosen:
         return 1
@@ -178,15 +180,22 @@ def _probes(classes: DataFrame, asked: DataFrame, shape: Shape, k: int) -> int:
     if not len(of):
         return 1
     most = min(MOST_PROBES, shape.codes)
-    first = np.full(len(of), most)
-    for t in range(TABLES):
-        home = nearest_axes(shape.scaled(found, False), shape.signs[t], 1)[0][:, 0]
-        probed = nearest_axes(shape.scaled(q, True), shape.signs[t], most)[0]
-        for i in range(len(of)):
-            at = np.flatnonzero(probed[of[i]] == home[i])
-            if len(at):
-                first[i] = min(first[i], at[0])
-    return int(min(most, np.sort(first)[min(len(first) - 1, int(np.ceil(RECALL * len(first))))] + 1))
+    home = np.stack([nearest_axes(shape.scaled(found, False), signs, 1)[0][:, 0] for signs in shape.signs])
+    first = np.full(len(of), shape.codes)  # where the query's probes meet the bucket of each
+    needed = min(len(first) - 1, int(np.ceil(RECALL * len(first))))
+    probes = 0
+    while probes < most:
+        probes = min(most, max(64, 4 * probes))
+        for i in np.unique(of[first == shape.codes]):  # one by one: each may have 2 * MOST_PROBES * padded combinations in memory
+            theirs = np.flatnonzero((of == i) & (first == shape.codes))
+            for signs, homes in zip(shape.signs, home, strict=True):
+                probed = nearest_axes(shape.scaled(q[i : i + 1], True), signs, probes)[0][0]
+                order = np.argsort(probed)
+                at = order[np.minimum(np.searchsorted(probed, homes[theirs], sorter=order), len(order) - 1)]
+                first[theirs] = np.where(probed[at] == homes[theirs], np.minimum(first[theirs], at), first[theirs])
+        if (enough := np.sort(first)[needed]) < probes:
+            return int(enough) + 1
+    return None
 
 
 def _top(s: np.ndarray, k: int) -> np.ndarray:
@@ -298,7 +307,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     total = classes.count()
     shape = Shape(total, size, norm, uneven)
     probes = _probes(classes, asked, shape, k)
-    found = cut(_blocks(_placed(classes, shape, 1, False), _placed(asked, shape, probes, True), size, k + 1 + SPARE).groupBy("query", "rep").agg(F.max("score").alias("score")))
+    members, asking = (_lone(classes, size, False), _lone(asked, size, True)) if probes is None else (_placed(classes, shape, 1, False), _placed(asked, shape, probes, True))
+    found = cut(_blocks(members, asking, size, k + 1 + SPARE).groupBy("query", "rep").agg(F.max("score").alias("score")))
     got = found.groupBy("query").agg(F.count("*").alias("reps"))
     # queries that met too few classes: all there are, in blocks
     short = asked.join(got, asked["query_id"] == got["query"], "left").where(F.coalesce("reps", F.lit(0)) < min(k + 1, total))
