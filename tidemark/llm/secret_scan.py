@@ -6,9 +6,12 @@ On top, every assignment in source or configuration syntax (``name = expr``,
 ``x["name"] = expr``, ``name: type = expr``, ``<name>text</name>``,
 ``key="name" value="text"``) is lexed into a target name and the literals on its
 right-hand side: quoted ones (also triple-quoted, over several lines where a
-``+`` or parenthesis says so, and as arguments of calls) and bare ones. Bare
-words that read as a reference (``self.request.token``, ``getPassword``) are no
-literals. Names already assigned are constants and are followed
+``+`` or parenthesis says so, in brackets, and as arguments of calls) and bare
+ones; also the lines of YAML's block texts, what follows ``Bearer`` and the like,
+the sides of ``a, b = x, y``, what a setter is called with, and what a name is
+compared to. Bare words that read as a reference (``self.request.token``,
+``getPassword``) are no literals, nor are names that stand for something about a
+secret (``token_url``). Names already assigned are constants and are followed
 (``a = "x"; password = a + "y"`` reports both literals). A literal is reported (kind ``literal``) when the
 weight of the sensitive words in its target's name, times a factor for how
 secret-like the whole value is, reaches ``min_score``.
@@ -38,8 +41,8 @@ _BASE_ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # 16 or more with the prefix; a
 _BASE_HEX = re.compile(r"[0-9a-f]{32,}")
 
 _OPERATOR = re.compile(r":=|=>|[=:]")
-_QUOTED = r"\"\"\"(.*?)\"\"\"|'''(.*?)'''|\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'"
-_TERM = re.compile(rf"[ \t]*(?:(?<![A-Za-z0-9_])(?:[rbfu]{{1,2}}(?=[\"']))?(?:{_QUOTED})|([A-Za-z0-9_+/.\-=~$@%{{}}<>!*#]+))", re.DOTALL)
+_QUOTED = r"\"\"\"(.*?)\"\"\"|'''(.*?)'''|\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`"
+_TERM = re.compile(rf"[ \t]*(?:(?<![A-Za-z0-9_])(?:[rbfu]{{1,2}}(?=[\"'`]))?(?:{_QUOTED})|([A-Za-z0-9_+/.\-=~$@%{{}}<>!*#]+))", re.DOTALL)
 _ARGUMENT = re.compile(rf"{_QUOTED}|[()\n=:]", re.DOTALL)
 _PLUS = re.compile(r"[ \t]*[+.]?[ \t]*(?=[\"'])|[ \t]*\+[ \t]*(?:\r?\n[ \t]*)?")
 _PLUS_WITHIN = re.compile(r"\s*[+.]?\s*(?=[\"'])|\s*\+\s*")
@@ -48,7 +51,20 @@ _TYPED = re.compile(r":[ \t]*[A-Za-z_][A-Za-z0-9_.<>\[\]|, ?]{0,80}?[ \t]*=(?![=
 _ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:-]*)(?: [^<>]*)?>[ \t]*([^<>\s]+)[ \t]*</")
 _PAIR = re.compile(r"\b(?:key|name)=[\"']([^\"'\n]+)[\"'][ \t]+value=[\"']([^\"'\n]+)[\"']", re.IGNORECASE)
 #: Bare words that are references rather than values: plain words, with digits at their ends at most, joined by dots and dashes.
-_REFERENCE = re.compile(r"[A-Za-z_]+[0-9]{0,2}(?:[._-]+[A-Za-z_]*[0-9]{0,2})*\Z")
+_REFERENCE = re.compile(r"(?=[A-Za-z_])(?:(?<![0-9])[A-Za-z]+|[._-]+|(?<=[A-Za-z._-])[0-9]{1,2}(?![0-9]))++\Z|[A-Za-z]++(?:_++(?:[A-Za-z]++[0-9]{0,2}|[0-9]{1,4}))++\Z")
+#: A way of authorization, before what is secret.
+_SCHEME = re.compile(r"(?i)(?:bearer|basic|token|digest|negotiate)[ \t]+(?=\S)")
+_BLOCK_TEXT = re.compile(r"[ \t]*[|>][-+0-9]{0,2}[ \t]*\r?\n")
+_LINE = re.compile(r"([ \t]*)([^\r\n]*)(?:\r?\n|\Z)")
+_LIST = re.compile(r"[ \t]*\[\s*(?=[\"'`])")
+_ITEM = re.compile(rf"(?:[rbfu]{{1,2}}(?=[\"'`]))?(?:{_QUOTED})\s*(,?)\s*", re.DOTALL)
+#: Names before the last one of ``a, b = x, y``, from the start of its line.
+_NAMES = re.compile(r"[ \t]*((?:[A-Za-z_][A-Za-z0-9_.]*+[ \t]*,[ \t]*)+)\Z")
+_COMMA = re.compile(r"[ \t]*,")
+_INSERTED = re.compile(r"\{([A-Za-z_][A-Za-z0-9_.]*)\}")
+_SETTER = re.compile(rf"(?<![A-Za-z0-9_])(?:set|with|put)_?([A-Za-z][A-Za-z0-9_]*+)\(\s*(?>{_QUOTED})\s*\)", re.DOTALL)
+_COMPARED = re.compile(rf"(?<![A-Za-z0-9_.])([A-Za-z_][A-Za-z0-9_.]*+)[ \t]*[=!]==?[ \t]*(?:{_QUOTED})", re.DOTALL)
+_PRIVATE_KEY = re.compile(r"\s*-----BEGIN [A-Z ]*PRIVATE KEY-----")
 _NAME_CHAR = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.-")
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*\Z")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -58,17 +74,26 @@ _PLACEHOLDER_WITHIN = re.compile(_PLACEHOLDER.pattern.split(r"|\Anull", 1)[0])
 
 #: How much each word in a target's name says that its value is secret; the largest counts.
 NAME_WEIGHTS = {
-    "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "secrets": 1.0, "token": 0.9, "apikey": 1.0,
+    "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pass": 0.8, "pwd": 0.9, "secret": 1.0, "secrets": 1.0, "token": 0.9, "apikey": 1.0,
     "credential": 0.9, "credentials": 0.9, "auth": 0.7, "authorization": 0.8, "bearer": 0.8, "signature": 0.6, "salt": 0.6, "cookie": 0.6, "dsn": 0.6, "pin": 0.5,
 }
 #: "key" counts next to one of these.
 KEY_NEIGHBOURS = frozenset("api private access secret encryption signing auth master session client account storage service ssh aes hmac".split())
 
+#: Words that weigh as much at the end of a fused one, as in PGPASSWORD.
+FUSED = ("password", "passwd", "passphrase", "pwd", "secret", "token", "apikey")
+#: A name with such a last word tells something about a secret.
+ABOUT = frozenset("url uri urls endpoint name names path file filename dir directory type types length size count limit expiry expires ttl timeout format prefix label title hint help policy field column param version issuer audience".split())
+
 
 def name_weight(name: str) -> float:
     """How sensitive a target name is, 0 to 1: camelCase, snake_case, kebab-case and dotted names are split first."""
     parts = [p.lower() for p in _PARTS.findall(name)]
+    if len(parts) > 1 and parts[-1] in ABOUT:
+        return 0.0
     best = max((NAME_WEIGHTS.get(p, 0.0) for p in parts), default=0.0)
+    fused = max((NAME_WEIGHTS[w] for p in parts for w in FUSED if p.endswith(w)), default=0.0)
+    best = max(best, fused)
     if ("key" in parts or "keys" in parts) and KEY_NEIGHBOURS & set(parts):
         best = max(best, 0.9)
     return best
@@ -76,6 +101,8 @@ def name_weight(name: str) -> float:
 
 def value_factor(value: str) -> float:
     """How secret-like a value is, 0 to 1: long enough, no placeholder, mixed letters."""
+    if _PRIVATE_KEY.match(value):
+        return 1.0
     if len(value) < 8 or _PLACEHOLDER.search(value) or " " in value.strip():
         return 0.0
     return _mixed(Counter(value), len(value))
@@ -140,6 +167,8 @@ class Value:
         """As :func:`value_factor` of the whole; a placeholder in angle brackets is seen across pieces only within 64 characters of where they meet."""
         if self.text is not None and self.n <= _HELD:
             return value_factor(self.text)
+        if _PRIVATE_KEY.match(self.head):
+            return 1.0
         if self.never or len({c.lower() for c in self.counts}) == 1 or not self.blank and self.counts[" "] > self.first + self.last:
             return 0.0
         return _mixed(self.counts, self.n)
@@ -153,8 +182,38 @@ class Term(NamedTuple):
 
 
 def _quoted(m: re.Match) -> tuple[str, int] | None:
-    g = next((g for g in range(1, 5) if m[g] is not None), 0)
-    return (m[g], m.start(g)) if g else None
+    return _quoted_from(m, 1)
+
+
+def _quoted_from(m: re.Match, first: int) -> tuple[str, int] | None:
+    """The text of a match of quotes whose groups begin at `first`, without a way of authorization, and its place."""
+    g = next((g for g in range(first, first + 5) if m[g] is not None), 0)
+    if not g:
+        return None
+    skip = scheme.end() if (scheme := _SCHEME.match(m[g])) else 0
+    return m[g][skip:], m.start(g) + skip
+
+
+def _inserted(text: str, start: int) -> list[Term]:
+    """The literals and names of a format string."""
+    terms: list[Term] = []
+    at = 0
+    for m in _INSERTED.finditer(text):
+        if m.start() > at:
+            terms.append(Term(None, text[at : m.start()], start + at, True))
+        terms.append(Term(m[1], m[1], start + m.start(1), False))
+        at = m.end()
+    return terms + ([Term(None, text[at:], start + at, True)] if at < len(text) else [])
+
+
+def _block_text(text: str, at: int, indent: int) -> list[Term]:
+    """The lines from a place on that are indented by more than `indent`."""
+    terms: list[Term] = []
+    while at < len(text) and (m := _LINE.match(text, at)) and (not m[2] or len(m[1]) > indent):
+        if m[2].strip():
+            terms.append(Term(None, m[2].rstrip(), m.start(2), True))
+        at = m.end()
+    return terms
 
 
 def _arguments(text: str, at: int) -> tuple[list[Term], int]:
@@ -183,10 +242,15 @@ def _right(text: str, at: int) -> tuple[list[Term], int]:
     while t := _TERM.match(text, at):
         if q := _quoted(t):
             at = t.end()
-            if q[0]:
+            if q[0] and "f" in text[t.start() : q[1]]:
+                terms += _inserted(*q)
+            elif q[0]:
                 terms.append(Term(None, *q, True))
+        elif not terms and (scheme := _SCHEME.match(text, t.start(6))):
+            at = scheme.end()
+            continue
         else:
-            bare = t[5].rstrip(".")
+            bare = t[6].rstrip(".")
             at = t.end()
             if text[at : at + 1] == "(":
                 call = call or at + 1
@@ -194,7 +258,7 @@ def _right(text: str, at: int) -> tuple[list[Term], int]:
                 terms += more
             elif bare:
                 name = bare if _IDENTIFIER.match(bare) else None
-                terms.append(Term(name, bare, t.start(5), text[at : at + 1] != "[" and not _REFERENCE.match(bare)))
+                terms.append(Term(name, bare, t.start(6), text[at : at + 1] != "[" and not _REFERENCE.match(bare)))
         p = plus.match(text, at)
         if not q and not (p and "+" in p[0]) or not p or p.end() == at:
             break
@@ -223,7 +287,32 @@ def assignments(text: str) -> Iterator[tuple[str, list[Term]]]:
             continue
         if m[0] == ":" and (typed := _TYPED.match(text, m.start())):
             after = typed.end()
+        if m[0] == ":" and (block := _BLOCK_TEXT.match(text, after)):
+            if name_weight(name):
+                line = text[max(text.rfind("\n", done, i) + 1, done) : i]
+                yield name, _block_text(text, block.end(), len(line) - len(line.lstrip(" \t")))
+            done = block.end()  # the lines may be assignments themselves
+            continue
+        if each := _LIST.match(text, after):
+            done = each.end()
+            while item := _ITEM.match(text, done):
+                if (q := _quoted(item)) and q[0]:
+                    yield name, [Term(None, *q, True)]
+                done = item.end()
+                if not item[6]:
+                    break
+            continue
         terms, upto = _right(text, after)
+        if m[0] == "=" and terms and (comma := _COMMA.match(text, upto)) and text[i - 2 : i] == ", ":
+            line = max(text.rfind("\n", done, i) + 1, done)
+            if several := _NAMES.match(text[line:i]):
+                for one in [*(x.strip() for x in several[1].split(",")[:-1]), name]:
+                    if terms:
+                        yield one, terms
+                        done = upto
+                    terms, upto = _right(text, comma.end()) if comma else ([], upto)
+                    comma = _COMMA.match(text, upto) if terms else None
+                continue
         if terms:
             # a bare word may be the target of the next operator
             first = terms[0]
@@ -235,7 +324,7 @@ def assignments(text: str) -> Iterator[tuple[str, list[Term]]]:
 
 
 def _marked_up(text: str) -> Iterator[tuple[str, list[Term]]]:
-    """Names and values of elements and of key-value attributes."""
+    """Names and values of elements, of key-value attributes, of setters and of comparisons."""
     if "</" in text:
         for m in _ELEMENT.finditer(text):
             if text.startswith(m[1], m.end()):
@@ -243,6 +332,11 @@ def _marked_up(text: str) -> Iterator[tuple[str, list[Term]]]:
     if "value=" in text:
         for m in _PAIR.finditer(text):
             yield m[1], [Term(None, m[2], m.start(2), True)]
+    for sign, pattern in (("(", _SETTER), ("==", _COMPARED), ("!=", _COMPARED)):
+        if sign in text:
+            for m in pattern.finditer(text):
+                if name_weight(m[1]) and (q := _quoted_from(m, 2)):
+                    yield m[1], [Term(None, *q, True)]
 
 
 def literals(text: str, min_score: float = 0.5) -> list[tuple[str, int, int]]:
@@ -258,7 +352,7 @@ def literals(text: str, min_score: float = 0.5) -> list[tuple[str, int, int]]:
             continue
         value = known[name] = Value(pieces)
         kept.append(value)
-        weight = name_weight(name)
+        weight = 1.0 if _PRIVATE_KEY.match(value.head) else name_weight(name)
         if weight and weight * value.factor() >= min_score:
             todo = [value]
             while todo:
@@ -283,7 +377,7 @@ def scan_text(text: str | None, min_score: float = 0.5) -> tuple[list[tuple[str,
     base: list[tuple[str, int, int]] = []
     more: list[tuple[str, int, int]] = []
     if text:
-        if ":" in text or "=" in text or "</" in text:
+        if ":" in text or "=" in text or "</" in text or "(" in text:
             base += [("assign", *m.span()) for m in _assigned(text)]
             more = literals(text, min_score)
         if "AKIA" in text:
