@@ -75,6 +75,8 @@ FLOW = frozenset("p li dt dd tr td th option blockquote pre".split())
 LEAST_PAGES, SHARE = 3, 0.5
 #: Template texts, and parts with names of boilerplate, that hold such a share of a page's slot are its content after all.
 MOST_TEMPLATE, MOST_DOUBT = 0.75, 0.5
+#: Share of the varying text that may stand directly in nodes around the slot; where more does, the slot is the first of them.
+MOST_LOST = 0.1
 #: Largest sum of wrappers, in bytes, that is sent to all tasks; beyond it pages are joined by host.
 BROADCAST = 16 << 20
 
@@ -406,12 +408,15 @@ def slot(node: list, mass: dict[int, float]) -> int:
     weight: dict[int, float] = {}
     for x in reversed(list(_nodes(node))):  # children come before their parents
         weight[id(x)] = vote(x[0]) * (mass.get(number[id(x)], 0.0) + sum(weight[id(c)] for c in x[1]))
+    lost, held = 0.0, node  # text left on the way down, and where that began
     while node[1]:
         top = max(node[1], key=lambda c: weight[id(c)])
         if not top[1] or weight[id(top)] < 0.7 * (mass.get(number[id(node)], 0.0) + sum(weight[id(c)] for c in node[1])):
             break
+        held = held if lost else node
+        lost += mass.get(number[id(node)], 0.0)
         node = top
-    return number[id(node)]
+    return number[id(held if lost > MOST_LOST * sum(mass.values()) else node)]
 
 
 def _nodes(node: list) -> Iterator[list]:
