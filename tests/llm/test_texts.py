@@ -100,6 +100,25 @@ def test_secret_redaction(spark):
     assert secret_scan.scan(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def evaluate(tokens):
+    """The alternatives that an expression allows, each a set of licences that hold together, and whether it was well formed. "x with y" is one licence."""
+    stack, whole = [], True
+    for t in tokens:
+        if t not in licenses.PRECEDENCE:
+            stack.append([frozenset([t.lower()])])
+        elif len(stack) < 2:
+            whole = False
+        else:
+            b, a = stack.pop(), stack.pop()
+            if t == "or":
+                stack.append(list(dict.fromkeys(a + b)))
+            elif t == "and":
+                stack.append(list(dict.fromkeys(x | y for x in a for y in b)))
+            else:
+                stack.append([frozenset(f"{x}-with-{y}" for x in one for y in frozenset().union(*b)) for one in a])
+    return [x for s in stack for x in s], whole and len(stack) == 1
+
+
 def test_license_labels_of_long_expressions():
     names = [f"A{i}" for i in range(200)]
     both = f"({' OR '.join(names[:20])}) AND ({' OR '.join(names[20:60])})"
@@ -118,7 +137,7 @@ def test_license_labels_against_alternatives():
 
     for _ in range(300):
         tokens = licenses.postfix(e := grown(3))
-        ways, whole = licenses.evaluate(tokens)
+        ways, whole = evaluate(tokens)
         assert whole and licenses.licences(tokens) == (set().union(*ways), True)
         assert licenses.scan_text(f"SPDX-License-Identifier: {e}")["labels"] == ",".join(sorted(set().union(*ways)))
 
@@ -144,7 +163,7 @@ def test_license_places(spark, small):
 
 
 def test_license_expressions():
-    ev = lambda s: licenses.evaluate(licenses.postfix(s))
+    ev = lambda s: evaluate(licenses.postfix(s))
     assert ev("MIT or (Apache-2.0 AND BSD-3-Clause)") == ([frozenset({"mit"}), frozenset({"apache-2.0", "bsd-3-clause"})], True)
     assert ev("GPL-2.0 WITH Classpath-exception-2.0")[0] == [frozenset({"gpl-2.0-with-classpath-exception-2.0"})]
     assert ev("MIT AND")[1] is False and ev("")[0] == [] and ev(") x")[0] == []
@@ -153,6 +172,30 @@ def test_license_expressions():
     assert r["labels"] == "apache-2.0,mit" and r["score"] > 0.9
 
 
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("SPDX-License-Identifier: see the LICENSE file", ""), ("SPDX-License-Identifier: NOASSERTION", ""), ("SPDX-License-Identifier: the terms of this file", ""), ("SPDX-License-Identifier:", ""), ("SPDX-License-Identifier: proprietary", ""),
+        ("// SPDX-License-Identifier: (MIT OR\n//   Apache-2.0) AND\n// Zlib\n// more text", "apache-2.0,mit,zlib"), (" * SPDX-License-Identifier: (GPL-2.0\r\n * OR BSD-3-Clause)\r\n */", "bsd-3-clause,gpl-2.0"),
+        ("/* SPDX-License-Identifier: MIT */", "mit"), ("<!-- SPDX-License-Identifier: LicenseRef-My-Own -->", "licenseref-my-own"), ("SPDX-License-Identifier: MIT, see the LICENSE file", "mit"), ("SPDX-License-Identifier: MIT\nApache is a server", "mit"),
+        ("# SPDX-License-Identifier: MIT OR\n# SPDX-License-Identifier: ISC", "isc,mit"), ("SPDX-License-Identifier: ACME-1.0", "acme-1.0"),
+        ("It is released under MIT.", "mit"), ("GPLv3 license", "gpl-3.0"), ("licensed under the GNU LGPL-2.1", "lgpl,lgpl-2.1"), ("an Apache-2.0 licensed tool", "apache-2.0"), ("available under the BSD 3-Clause licence", "bsd,bsd-3-clause"), ("under the terms of the MPL 2.0", "mpl,mpl-2.0"),
+        ("not under the MIT license", ""), ("This is no longer licensed under the GPLv2.", ""), ("It isn't released under the Apache License.", ""), ("not all rights reserved", "reserved"), ("What is not mine is under the MIT license", "mit"),
+        ("he went to MIT and sat under the apache tree", ""), ("the submit license form", ""),
+    ],
+)
+def test_license_operands_and_notices(text, labels):
+    r = licenses.scan_text(text)
+    assert r["labels"] == labels and (r["score"] > 0) == bool(labels)
+
+
+def test_license_hostile_text_is_linear():
+    start = time.perf_counter()
+    for hostile in ("SPDX-License-Identifier: (MIT OR\n" * 30_000, "SPDX-License-Identifier: " + "(" * 10**6, "SPDX-License-Identifier: (" + "MIT OR\n" * 150_000, "not under the " * 70_000, "SPDX-License-Identifier:" + " " * 10**6, "SPDX-License-Identifier: MIT" + "-" * 10**6 + "x"):
+        licenses.scan_text(hostile)
+    assert time.perf_counter() - start < 15
+
+
 def plain_viterbi(v, text):
     """All segmentations by score: one character after the other, no automaton."""
     lengths = sorted({len(v.pieces[i]) for i in v.score}, reverse=True)
