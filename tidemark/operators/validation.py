@@ -150,30 +150,36 @@ def in_context(v: Column, source: Column) -> Column:
     return F.when((source == "external_api") & (v == "SUSPICIOUS"), "INVALID").otherwise(v)
 
 
+# What goes from a field of each kind, what replaces it in safe texts and file paths.
+UNSAFE_AGGRESSIVE = r"[^\w\s.,!?()-]"
+UNSAFE = {
+    "search_term": (r"[<>{}$`\\;|&]",),
+    "lucene_query": (r"(?is)<script[^>]*>.*?</script>", r"(?i)javascript:", r"(?i)\b(union|select|drop|insert|delete|exec)\b", r"[;&|`$]", r"[<>]"),
+    "ticket_id": (r"[^a-zA-Z0-9._-]",),
+    "username": (r"[^a-zA-Z0-9._-]",),
+    "assignee": (r"[^a-zA-Z0-9._-]",),
+    "safe_text": (r"[\x00-\x1f\x7f-\x9f]",),
+    "file_path": (r"\.\./", r"\.\.\\"),
+    "command": (r"[;&|`$()]", r"[\x00-\x1f\x7f-\x9f]"),
+}
+ESCAPED = {"safe_text": (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"))}
+TRIMMED = ("search_term", "safe_text", "file_path", "sql_query", "command")
+
+
 def sanitized(c: str | Column, kind: str, aggressive: bool = False) -> Column:
     """A field made safe for its kind."""
     t = F.regexp_replace(F.trim(column(c)), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
     t = F.regexp_replace(t, r"\s+", " ")
-    gone = lambda t, *patterns: _without(t, patterns)
-    if kind == "search_term":
-        t = F.trim(gone(t, r"[^\w\s.,!?()-]" if aggressive else r"[<>{}$`\\;|&]"))
-    elif kind == "lucene_query":
-        t = gone(t, r"(?is)<script[^>]*>.*?</script>", r"(?i)javascript:", r"(?i)\b(union|select|drop|insert|delete|exec)\b", r"[;&|`$]", r"[<>]")
-    elif kind in ("ticket_id", "username", "assignee"):
-        t = gone(t, r"[^a-zA-Z0-9._-]")
-    elif kind == "safe_text":
-        for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
-            t = F.replace(t, F.lit(a), F.lit(b))
-        t = F.trim(gone(t, r"[\x00-\x1f\x7f-\x9f]"))
-    elif kind == "url":
+    for a, b in ESCAPED.get(kind, ()):
+        t = F.replace(t, F.lit(a), F.lit(b))
+    t = _without(t, (UNSAFE_AGGRESSIVE,) if aggressive and kind == "search_term" else UNSAFE.get(kind, ()))
+    if kind == "url":
         t = F.when(t.rlike("^https?://"), t).otherwise(F.concat(F.lit("https://"), t))
     elif kind == "file_path":
-        t = F.trim(F.replace(gone(t, r"\.\./", r"\.\.\\"), F.lit("\\"), F.lit("/")))
+        t = F.replace(t, F.lit("\\"), F.lit("/"))
     elif kind == "sql_query":
-        t = F.trim(F.regexp_replace(t, rf"(?i)\b({SQL_WORDS})\b", "[REDACTED]"))
-    elif kind == "command":
-        t = F.trim(gone(t, r"[;&|`$()]", r"[\x00-\x1f\x7f-\x9f]"))
-    return F.left(t, F.lit(LENGTHS.get(kind, 1000)))
+        t = F.regexp_replace(t, rf"(?i)\b({SQL_WORDS})\b", "[REDACTED]")
+    return F.left(F.trim(t) if kind in TRIMMED else t, F.lit(LENGTHS.get(kind, 1000)))
 
 
 def _without(t: Column, patterns: Sequence[str]) -> Column:
