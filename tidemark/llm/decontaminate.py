@@ -39,11 +39,11 @@ NEEDED = 6
 LITERAL = 5
 #: Sizes of the bitmap, as powers of two.
 LEAST_BITS, MOST_BITS = 18, 22
-#: Units that may follow a number.
+#: A list of our own: units that may follow a number.
 UNITS = "km|m|cm|mm|kg|g|mg|l|ml|h|hours?|min|minutes?|s|seconds?|days?|weeks?|months?|years?|miles?|feet|inches|pounds?|dollars?|euros?|cents?|percent|degrees?"
-#: Words that are numbers ("one" is more often none).
+#: A list of our own: words that are numbers ("one" is more often none).
 NUMBER_WORDS = "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million half twice".split()
-#: Words that begin sentences and are no names.
+#: A list of our own: words that begin sentences and are no names.
 STARTS = (
     "a an the this that these those there here it its he she they we you i his her their our your my one if when while after before since because as so but and or nor yet then than how what which who whom whose where why is are was were do does did has have had can could will would shall should may might must "
     "in on at by for from to of off up out with without into over under about between among during per each every all both some any no not now let find calculate compute determine given suppose assume explain write solve show prove choose select answer question problem total also only just"

@@ -49,7 +49,7 @@ _STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([A-Za-z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([A-Za-z_:-]+)")
 _WORDS = re.compile(r"[A-Za-z]+")
 
-# Elements by kind.
+# Elements by kind, as the HTML standard has them, and which of them hold no article text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
 DROPPED = frozenset("head nav footer aside form script style noscript iframe button select textarea template dialog menu svg math canvas audio video object label fieldset input title".split())

@@ -14,6 +14,10 @@ each). All other bigrams are dealt out by their rarer words, many packed in one
 row, and meet those words' counts there. The weights are learned from sums over
 bins of an eighth of an octave of both estimates, each at its bin's mean.
 
+Words are keyed by 64 bits of a hash, and by 63 where they meet as parts of
+bigrams, so two of n words share a key with a probability of about n**2 / 2**64
+(5e-8 for a million different words); such words would be counted as one.
+
 Null and empty texts have one token, the end. Without training texts every
 count is zero. Each input row gives one row, repeated ones too; other columns
 play no part.
