@@ -66,3 +66,68 @@ def test_timed_alerts_with_restarts(spark, tmp_path):
     s = spark.createDataFrame(samples, "rule string, ts timestamp_ntz, bad boolean")
     alerts = monitoring.held(s, 5, "rule", until=F.lit(at(280)).cast("timestamp_ntz"))
     assert sorted((r.rule, r.fired) for r in monitoring.cooled(alerts, 60, "rule").collect()) == [(k, t) for k, e, t in want if e == "fired"]
+
+
+class _Kept:
+    """A list or a value of the state; every call of it counts, as each waits for an answer."""
+
+    def __init__(self, calls):
+        self.calls, self.held = calls, None
+
+    def exists(self):
+        self.calls.append("exists")
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def put(self, x):
+        self.calls.append("put")
+        self.held = x
+
+    update = put
+
+    def appendValue(self, x):  # noqa: N802
+        self.put([*(self.held or []), x])
+
+    def clear(self):
+        self.calls.append("clear")
+        self.held = None
+
+
+class _Handle:
+    def __init__(self):
+        self.calls, self.timers = [], []
+
+    def getListState(self, name, schema):  # noqa: N802
+        return _Kept(self.calls)
+
+    getValueState = getListState  # noqa: N815
+
+    def listTimers(self):  # noqa: N802
+        return iter(self.timers)
+
+    def deleteTimer(self, t):  # noqa: N802
+        self.timers.remove(t)
+
+    def registerTimer(self, t):  # noqa: N802
+        self.timers.append(t)
+
+
+class _Mark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.ms
+
+
+def test_timed_alerts_ask_the_state_a_few_times_a_batch():
+    handle, second = _Handle(), 1_000_000
+    p = E._Held(5 * second, 0, 10**12)
+    p.init(handle)
+    samples = [{"at": i * second, "bad": i % 10 > 0} for i in range(1, 1001)]
+    assert list(p.handleInputRows(("r",), iter(samples), _Mark(0))) == [] and len(handle.calls) < 10
+    got = [(r.event, r.at // second) for r in p.handleExpiredTimer(("r",), _Mark(1_000_000), None)]
+    assert len(handle.calls) < 20
+    assert got == sorted([("fired", k + 6) for k in range(0, 1000, 10)] + [("resolved", k) for k in range(10, 1001, 10)], key=lambda x: x[1])

@@ -6,7 +6,7 @@ watermark are dropped, and the state of closed windows with them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 import pandas as pd
@@ -117,17 +117,16 @@ class _Held(StatefulProcessor):
         self.run = handle.getValueState("run", "start long, due long, sent long, active boolean, newest long")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        for r in rows:
-            self.waiting.appendValue((r["at"], bool(r["bad"])))
-        yield from self._upto(key[0], timerValues.getCurrentWatermarkInMs())
+        yield from self._upto(key[0], timerValues.getCurrentWatermarkInMs(), [(r["at"], bool(r["bad"])) for r in rows])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
         yield from self._upto(key[0], timerValues.getCurrentWatermarkInMs())
 
-    def _upto(self, rule, mark_ms: int) -> Iterator[Row]:
+    def _upto(self, rule, mark_ms: int, new: Sequence[tuple[int, bool]] = ()) -> Iterator[Row]:
+        """What happened up to the watermark, from samples that waited and new ones. Each call of the state waits for an answer, so there are a few of them a batch, whatever the number of samples."""
         mark = max(mark_ms, 0) * 1000
         start, due, sent, active, newest = self.run.get() if self.run.exists() else (None, None, None, False, 0)
-        waiting = sorted((x[0], x[1]) for x in self.waiting.get()) if self.waiting.exists() else []
+        waiting = sorted([*((x[0], x[1]) for x in self.waiting.get()), *new]) if self.waiting.exists() else sorted(new)
         out = []
 
         def fire() -> None:
