@@ -1,6 +1,7 @@
 """Operators on hand-made rows."""
 
 import random
+import time
 from datetime import datetime, timedelta
 from functools import reduce
 
@@ -395,3 +396,29 @@ def test_word_boundaries_are_of_ascii_words(spark):
     assert [r.pii for r in got] == pii and [r.rules for r in got] == rules and [r.either for r in got] == [p if k else q for k, p, q in zip(kinds, pii, rules, strict=True)]
     assert [r.n_pii for r in got] == [sum(len(c.execute("SELECT regexp_extract_all(?, ?)", [t, privacy.any_engine(p)]).fetchone()[0]) for p in privacy.PII.values()) for t in texts]
     assert got[0].risk == "MEDIUM"
+
+
+def test_injections_are_looked_for_where_they_may_be(spark):
+    """The same verdicts as from every pattern; on texts that have none of their marks, in less than half the time of running them all."""
+    r = random.Random(4)
+    bits = ["'", ";", "%27", "UNION  select", "drop+table", "Insert\tinto", "DELETE from", "exec  xpx", "exec sp", "<script>x</SCRIPT>", "<script", "JavaScript:", "onclick =", "on", "<iframe a>", "<object>", "<embed>", "eval (", "exec(", "${a}", "{{a}}", "<%a%>", "&", "../x", "..", "\\x1f", "%2f"]
+    bits += ["update a set", "update  x", "system(", "shell_exec (", "$(a)", "`a`", "..\\", "%2e%2E%2f", "(", ")", "!", "|", "<!entity", "$ne", "a", " ", "drop", "uion", "Ab1", "-", "\n", ">", "}", "é"]
+    texts = [*bits, None, ""] + ["".join(r.choice(bits[-10:] if r.random() < 0.6 else bits) for _ in range(r.randint(1, 6))) for _ in range(600)]
+    d = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    every = lambda patterns: F.size(validation.matches("text", patterns)) > 0
+    odd = F.col("text").rlike(validation.SUSPICIOUS)
+    got = d.select(
+        (F.array_contains(validation.field_errors("text", "title"), "dangerous") == every(validation.INJECTION)).alias("errors"),
+        (validation.verdict("text") == F.when(every(validation.DANGERS), "INVALID").when(odd, "SUSPICIOUS").otherwise("VALID")).alias("verdict"),
+    )
+    assert got.where("errors and verdict").count() == len(texts)
+    harmless = spark.range(8000).select(F.concat(F.repeat(F.lit("ab "), 400), F.col("id").cast("string")).alias("text")).repartition(1).cache()
+    assert harmless.count() == 8000
+
+    def seconds(test):
+        started = time.monotonic()
+        assert harmless.where(test).count() == 0
+        return time.monotonic() - started
+
+    guarded = min(seconds(F.array_contains(validation.field_errors("text", "title"), "dangerous")) for _ in range(2))
+    assert 2 * guarded < min(seconds(every(validation.INJECTION)) for _ in range(2))
